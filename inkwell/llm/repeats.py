@@ -14,8 +14,9 @@ from inkwell.llm.common import materialise, small
 
 MIN_WORDS = 50
 PREFIX = 25  # words of a suffix that select minimisers and are compared first
-_MASK = (1 << 64) - 1
 _BLOCK = 1 << 20  # bytes hashed at once
+#: Runs over partition cuts that are settled by a literal rather than a join.
+SETTLED_KEYS = 2_000
 _RUN = 200_000  # rows of one key that are held at once
 _BASE, _WORD_BASE = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F  # odd, so invertible modulo 2**64
 
@@ -171,13 +172,20 @@ def _shared(rows: DataFrame, label: str) -> DataFrame:
     ``first`` (the smallest document with the key) of keys in two documents or more.
 
     Ranges are cut by key and document, so a key that a third of the rows share spreads over
-    tasks. Runs at the cuts are settled by their extremes, two keys a task at most.
+    tasks. Only runs at the cuts need settling: their extremes are summed by key, and those in
+    two documents or more, two keys a task at most, come to the driver and go back as a literal.
+    Beyond ``SETTLED_KEYS`` (that many tasks) they are joined instead.
     """
     ordered = rows.repartitionByRange("key", "doc_id").sortWithinPartitions("key", "doc_id", "pos")
     out = materialise(ordered.mapInArrow(_compare, "key long, doc_id long, pos int, low long, high long, edge boolean"), label)
-    edges = out.where("edge")
-    ends = edges.groupBy(F.col("key").alias("_key")).agg(F.min("low").alias("_low"), F.max("high").alias("_high")).where("_low <> _high")
-    settled = edges.join(small(materialise(ends, f"{label}-edges")), F.col("key") == F.col("_key"))
+    ends = out.where("edge").groupBy(F.col("key").alias("_key")).agg(F.min("low").alias("_low"), F.max("high").alias("_high")).where("_low <> _high")
+    ends = materialise(ends.drop("_high"), f"{label}-edges")
+    if ends.count() <= SETTLED_KEYS:
+        known = [F.lit(x) for r in ends.collect() for x in (r["_key"], r["_low"])]
+        low = F.create_map(*known)[F.col("key")] if known else F.lit(None).cast("long")
+        first = F.when(F.col("edge"), low).otherwise(F.col("low"))
+        return out.select("key", "doc_id", "pos", first.alias("first")).where("first is not null")
+    settled = out.where("edge").join(small(ends), F.col("key") == F.col("_key"))
     return (
         out.where("not edge").select("key", "doc_id", "pos", F.col("low").alias("first"))
         .unionByName(settled.select("key", "doc_id", "pos", F.col("_low").alias("first")))

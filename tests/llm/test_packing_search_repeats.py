@@ -4,6 +4,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from inkwell.llm import ann, packing, repeats, tokens
@@ -205,7 +206,10 @@ def test_shared_passages_equal_brute_force(spark, odd, odd_rows, prose):
     assert all(r.first_doc_id <= r.doc_id for r in found)
 
 
-def test_runs_over_partition_edges(spark, monkeypatch):
+@pytest.mark.parametrize("settled", [2000, 0])
+def test_runs_over_partition_edges(spark, monkeypatch, settled):
+    monkeypatch.setattr(repeats, "SETTLED_KEYS", settled)
+    monkeypatch.setattr(repeats, "_RUN", 100)
     rows = [(k, d, p) for k in (5, 6, 7) for d in range(300) for p in range(2)] + [(8, 1, 0), (8, 1, 4), (9, 2, 0)]
     df = spark.createDataFrame(rows, "key long, doc_id long, pos int")
     got = repeats._shared(df, "test").collect()
