@@ -47,14 +47,18 @@ def fit(
     their id, at most ``chars_per_row`` characters of each and ``dictionary_bytes`` a language, of
     the ``max_languages`` languages with most rows. Sampled texts that compress below
     ``min_ratio`` repeat themselves and teach nothing; they are used only where nothing else is.
-    Ids are ranked without their texts, each task first keeping its own best rows, so a language
-    with most of the rows is no hot key. Null texts, languages and ids don't teach; without any
+    Ids are ranked without their texts, first within 64 hash classes of a language, so one task
+    ranks 64 * ``rows_per_language`` ids at most, whatever share of the rows a language has. Null texts, languages and ids don't teach; without any
     labelled row the model is empty and predicts ``und``.
     """
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
     counts = rows.groupBy(F.col(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
-    rank = Window.partitionBy(lang_col).orderBy(F.xxhash64(F.col(id_col)), F.col(id_col))
-    ids = rows.select(id_col, lang_col).withColumn("_r", F.row_number().over(rank)).where(F.col("_r") <= rows_per_language)
+    order = [F.xxhash64(F.col(id_col)), F.col(id_col)]
+    some = Window.partitionBy(lang_col, "_salt").orderBy(*order)
+    ids = rows.select(id_col, lang_col, F.pmod(F.xxhash64(F.col(id_col), F.lit(1)), F.lit(64)).alias("_salt"))
+    ids = ids.withColumn("_r", F.row_number().over(some)).where(F.col("_r") <= rows_per_language)
+    rank = Window.partitionBy(lang_col).orderBy(*order)
+    ids = ids.withColumn("_r", F.row_number().over(rank)).where(F.col("_r") <= rows_per_language)
     picked = ids.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"), "_r").distinct()
     sample = rows.join(  # at most rows_per_language * languages rows
         F.broadcast(picked), (F.col(id_col) == F.col("_id")) & (F.col(lang_col) == F.col("_lang"))

@@ -146,30 +146,30 @@ def lower_bound(counts: dict[int, int], capacity: int = CAPACITY) -> int:
     return bound
 
 
-def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = 2000, width: int = 24) -> list[tuple[int, tuple]]:
+def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, evaluations: int = 120, width: int = 8) -> list[tuple[int, tuple]]:
     """Pack a histogram of lengths: the best of best-fit and a branch-and-bound by bin completion.
 
     The best-fit packing is the incumbent; if it meets the lower bound it is optimal and no
     search is needed. Otherwise each node fills bins around the largest length left with one of
     the undominated fillings (least waste first, at most ``width``), as often as the counts
     allow, and is pruned when the bins so far and the lower bound of the rest reach the
-    incumbent. Best fit completes every node, so each may give a new incumbent. ``nodes`` bounds
-    the search; the result is always whole.
+    incumbent. Best fit completes every child, so each may give a new incumbent. At most
+    ``evaluations`` children are looked at; the result is always whole.
     """
     counts = {x: n for x, n in counts.items() if n}
     if not counts:
         return []
     best, bound = best_fit(counts, capacity), lower_bound(counts, capacity)
-    fewest, budget = sum(t for t, _ in best), nodes
+    fewest, budget = sum(t for t, _ in best), evaluations
     stack = [(counts, 0, [])]
     while stack and budget > 0 and fewest > bound:
         left, used, plan = stack.pop()
-        budget -= 1
         if not left or used + lower_bound(left, capacity) >= fewest:
             continue
         largest = max(left)
         children = []
         for filling in undominated_fillings(largest, left, capacity, width):
+            budget -= 1
             need = dict(filling)
             need[largest] = need.get(largest, 0) + 1
             times = min(left[x] // k for x, k in need.items())

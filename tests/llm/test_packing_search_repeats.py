@@ -48,7 +48,7 @@ def test_bin_completion_is_optimal_on_small_cases():
         capacity = rng.choice([10, 20, 30])
         items = [rng.randint(1, capacity) for _ in range(rng.randint(0, 9))]
         counts = Counter(items)
-        plan = packing.bin_completion(counts, capacity)
+        plan = packing.bin_completion(counts, capacity, evaluations=5000)
         n = check_plan(plan, counts, capacity)
         best = fewest(items, capacity)
         assert packing.lower_bound(counts, capacity) <= best == n
@@ -60,7 +60,7 @@ def test_bin_completion_is_optimal_on_small_cases():
 def test_best_fit_of_a_large_histogram():
     rng = random.Random(1)
     counts = {x: rng.randint(1, 10**6) for x in rng.sample(range(1, 4097), 2500)}
-    plan = packing.bin_completion(counts, nodes=20)
+    plan = packing.bin_completion(counts, evaluations=20)
     assert check_plan(plan, counts, 4096) <= packing.lower_bound(counts) * 1.01 + 3
     assert len(packing.best_fit(counts)) <= 3 * 4096
 
