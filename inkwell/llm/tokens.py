@@ -8,6 +8,7 @@ other text goes to the library whole, so results are always the library's.
 from __future__ import annotations
 
 import json
+import struct
 
 import pyarrow as pa
 import regex
@@ -19,21 +20,25 @@ PRETOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(
 #: Outside of these, Unicode tables of libraries might differ, or white space meets white space.
 _RARE = regex.compile(r"[^\n\x20-\x7eÀ-ÿ]|\s\s")
 _RARE_WORDS = regex.compile(r"[^\t\n\r\x0b\x0c\x20-\x7eÀ-ÿ]")
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 500_000
 CACHE_LENGTH = 200
 
 
 class _Bounded(dict):
-    """A cache that computes what is missing; it is emptied when full and skips long keys."""
+    """A cache that computes what is missing, in two generations: when one is full it becomes the
+    old one, whose entries move back when they are used. Long keys are not kept."""
 
     def __init__(self, compute):
         super().__init__()
-        self.compute = compute
+        self.compute, self.old = compute, {}
 
     def __missing__(self, key):
-        value = self.compute(key)
+        value = self.old.pop(key, None)
+        if value is None:
+            value = self.compute(key)
         if len(key) <= CACHE_LENGTH:
             if len(self) >= CACHE_ENTRIES:
+                self.old = dict(self)
                 self.clear()
             self[key] = value
         return value
@@ -133,21 +138,35 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 
 
 def make_id_encoder(path: str):
-    """A function text -> the ids as little-endian unsigned 32-bit integers, for a vocabulary whose
-    pre-tokens never hold white space (it is dropped)."""
+    """A function text -> the ids as little-endian unsigned 32-bit integers, for a lower-casing
+    vocabulary whose pre-tokens never hold white space (it is dropped).
+
+    Letters and the punctuation after them are always pre-tokens of their own, so "word," costs
+    no merges once "word" and "," are known; a word of ASCII letters alone needs the merges only.
+    """
     t = load(path)
+    merge = t.model.tokenize
+
+    def pack(ids) -> bytes:
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def library(text: str) -> bytes:
-        ids = t.encode(text, add_special_tokens=False).ids
-        return b"".join(i.to_bytes(4, "little") for i in ids)
+        return pack(t.encode(text, add_special_tokens=False).ids)
+
+    def word(chunk: str) -> bytes:
+        if chunk.isalpha():
+            return pack([x.id for x in merge(chunk)]) if chunk.isascii() else library(chunk)
+        if len(chunk) > 1 and chunk[-1] in ".,!?;:" and chunk[:-1].isalpha():
+            return words[chunk[:-1]] + words[chunk[-1]]
+        return library(chunk)
 
-    words = _Bounded(library)
+    words = _Bounded(word)
 
     def encode(text: str | None) -> bytes:
         if not text:
             return b""
-        if _RARE_WORDS.search(text):
+        if _RARE_WORDS.search(text) or "<|" in text:
             return library(text)
-        return b"".join(map(words.__getitem__, text.split()))
+        return b"".join(map(words.__getitem__, text.lower().split()))
 
     return encode
