@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from inkwell.operators import decontam
+from inkwell import hashing, textfn
+from inkwell.functions import cleaning, decode
+from inkwell.operators import decontam, dedup, gates, metrics, sampling
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -44,3 +46,359 @@ def decontam_overlap(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").where("lang = 'en'")
     ref = decontam.reference(table(spark, sf_dir, "benchmark"))
     return decontam.overlap(docs, ref).where(F.col("n_shared") >= decontam.MIN_SHARED)
+
+
+#: A derived score in [0, 1), the same in both engines.
+_SCORE = "(CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) / 4294967296.0)"
+_TYPES = "CASE doc_id % 3 WHEN 0 THEN 'human_written' WHEN 1 THEN 'ai_generated' ELSE 'ai_edited' END"
+
+
+def score(salt: str = ""):
+    return F.conv(F.substring(F.md5(F.concat(F.lit(salt), F.col("doc_id").cast("string"))), 1, 8), 16, 10).cast("double") / 4294967296.0
+
+
+def text_type():
+    return F.element_at(F.array(F.lit("human_written"), F.lit("ai_generated"), F.lit("ai_edited")), (F.col("doc_id") % 3 + 1).cast("int"))
+
+
+def docs_of(spark, sf_dir):
+    return table(spark, sf_dir, "documents")
+
+
+def labelled(spark, sf_dir):
+    """Labels with a score and the source as domain."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("int").alias("label"))
+    return labels.join(docs_of(spark, sf_dir).select("doc_id", "source", "lang"), "doc_id").withColumn("score", score())
+
+
+_LABELLED = f"SELECT doc_id, quality::INT AS label, source, lang, {_SCORE} AS score FROM labels JOIN documents USING (doc_id)"
+
+
+@query(r"""SELECT doc_id, len(regexp_extract_all(text, '[\p{L}\p{N}_]+'))::BIGINT AS n_words,
+  len(regexp_extract_all(text, '[\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{FF66}-\x{FF9F}]'))::BIGINT AS n_cjk,
+  lang <> 'en' AND false OR lang = 'en' AND len(regexp_extract_all(text, '[\p{L}\p{N}_]+')) >= 75 AS floor_ok FROM documents""")
+def word_cjk_counts(spark, sf_dir):
+    t = F.col("text")
+    return docs_of(spark, sf_dir).select("doc_id", textfn.word_count(t).cast("long").alias("n_words"), F.regexp_count(t, F.lit(textfn.CJK)).cast("long").alias("n_cjk"), gates.passes_floor(t, F.col("lang")).alias("floor_ok"))
+
+
+_ASCII_CLEAN = r"""trim(regexp_replace(lower(CASE WHEN len(ps) > 1 AND regexp_matches(regexp_replace(ps[1], '^[^a-zA-Z0-9]*', ''), '^(Sure|Here|Abstract|Title|I''m happy to help|Certainly)')
+  THEN array_to_string(ps[2:], chr(10)) ELSE t END), '\s+', ' ', 'g'))"""
+
+
+@query(rf"""WITH x AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'Sure, here it is:' || chr(10) || text ELSE text END AS t FROM documents),
+y AS (SELECT doc_id, t, list_filter(string_split(t, chr(10)), lambda p: trim(regexp_replace(p, '\s', '', 'g')) <> '') AS ps FROM x)
+SELECT doc_id, {_ASCII_CLEAN} AS clean FROM y""")
+def clean_text_ascii(spark, sf_dir):
+    t = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("Sure, here it is:\n"), F.col("text"))).otherwise(F.col("text"))
+    return docs_of(spark, sf_dir).select("doc_id", cleaning.clean_ascii(t).alias("clean"))
+
+
+@query()
+def clean_text_full(spark, sf_dir):
+    d = cleaning.clean_text(docs_of(spark, sf_dir).select("doc_id", "text"), "text", "clean")
+    return d.select("doc_id", "clean", cleaning.strip_wrapper(F.col("text")).alias("wrapper"))
+
+
+@query()
+def post_text(spark, sf_dir):
+    t = F.col("text")
+    return docs_of(spark, sf_dir).select("doc_id", cleaning.clean_post(t).alias("plain"), cleaning.topic(t, F.col("lang")).alias("topic"), cleaning.length_hint(t, F.col("lang")).alias("hint"))
+
+
+def _gate_rows(spark, sf_dir):
+    """Documents as mirrors and edits of the document before them."""
+    d = docs_of(spark, sf_dir)
+    src = d.select((F.col("doc_id") + 1).alias("doc_id"), F.col("text").alias("source_text"))
+    return d.join(src, "doc_id", "left").select(
+        "doc_id", "text", F.col("lang").alias("language"), text_type().alias("text_type"), "source_text", F.when(F.col("doc_id") % 11 == 0, "length").otherwise("stop").alias("finish_reason")
+    )
+
+
+@query(rf"""WITH d AS (SELECT a.doc_id, a.text, a.lang, {_TYPES.replace('doc_id', 'a.doc_id')} AS tt, b.text AS src, CASE WHEN a.doc_id % 11 = 0 THEN 'length' ELSE 'stop' END AS fr
+  FROM documents a LEFT JOIN documents b ON b.doc_id + 1 = a.doc_id WHERE a.lang = 'en'),
+w AS (SELECT *, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+') AS tw, regexp_extract_all(lower(coalesce(src, '')), '[\p{{L}}\p{{N}}_]+') AS sw FROM d)
+SELECT doc_id, CASE WHEN tt <> 'human_written' AND trim(regexp_replace(text, '\s', '', 'g')) = '' THEN 'empty'
+ WHEN tt <> 'human_written' AND fr = 'length' THEN 'truncated'
+ WHEN tt = 'ai_generated' AND len(sw) > 0 AND (len(tw) / len(sw) < 0.33 OR len(tw) / len(sw) > 3.0) THEN 'length_mismatch'
+ WHEN tt = 'ai_generated' AND len(tw) >= 15 AND len(sw) >= 15 AND list_has_any(list_transform(range(1, (len(tw) - 13)::BIGINT), lambda i: array_to_string(tw[i:i+14], ' ')), list_transform(range(1, (len(sw) - 13)::BIGINT), lambda i: array_to_string(sw[i:i+14], ' '))) THEN 'regurgitation'
+ WHEN tt = 'ai_edited' AND src IS NOT NULL AND regexp_replace(text, '^\s+|\s+$', '', 'g') = regexp_replace(src, '^\s+|\s+$', '', 'g') THEN 'noop_edit' END AS drop_reason FROM w""")
+def gate_first_failure(spark, sf_dir):
+    return _gate_rows(spark, sf_dir).where("language = 'en'").select("doc_id", gates.drop_reason().alias("drop_reason"))
+
+
+_SETS = r"""WITH t AS (SELECT doc_id, lang, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM documents),
+s AS (SELECT doc_id, lang, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, (len(w) - 3)::BIGINT), lambda i: array_to_string(w[i:i+4], ' '))) ELSE [array_to_string(w, ' ')] END AS g FROM t WHERE len(w) > 0),
+k AS (SELECT min(doc_id) AS id, lang, any_value(g) AS g FROM (SELECT doc_id, lang, list_sort(g) AS g FROM s) GROUP BY lang, g),
+e AS (SELECT id, lang, len(g) AS n, unnest(g) AS x FROM k),
+c AS (SELECT a.id AS a, b.id AS b, count(*) AS c, any_value(a.n) AS na, any_value(b.n) AS nb FROM e a JOIN e b ON a.x = b.x AND a.lang = b.lang AND a.id < b.id GROUP BY a.id, b.id)
+"""
+
+
+@query(_SETS + "SELECT a, b, round(c / (na + nb - c), 6) AS jaccard FROM c WHERE c / (na + nb - c) >= 0.8")
+def near_dup_pairs(spark, sf_dir):
+    sets = dedup.distinct_sets(dedup.shingled(docs_of(spark, sf_dir), "doc_id", ["lang"])).where("id = rep").select("id", "grp", "grams")
+    return dedup.near_pairs(sets).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
+
+
+@query()
+def near_dedup_keep(spark, sf_dir):
+    from inkwell.sources.store import materialise
+
+    docs = docs_of(spark, sf_dir)
+    gone = dedup.near_dedup(docs, "doc_id", ["lang"], materialise)
+    return docs.join(gone, docs["doc_id"] == gone["id"], "left_anti").select("doc_id")
+
+
+_SPLIT = "CASE doc_id % 10 WHEN 8 THEN 'val' WHEN 9 THEN 'test' WHEN 7 THEN 'external' ELSE 'train' END"
+
+
+@query(rf"""SELECT doc_id, split FROM (SELECT doc_id, {_SPLIT} AS split, row_number() OVER (PARTITION BY regexp_replace(text, '^\s+|\s+$', '', 'g')
+ ORDER BY CASE {_SPLIT} WHEN 'external' THEN -1 WHEN 'train' THEN 0 WHEN 'val' THEN 1 ELSE 2 END, doc_id) AS n FROM documents) WHERE n = 1 OR split = 'external'""")
+def exact_text_dedup(spark, sf_dir):
+    m = F.col("doc_id") % 10
+    d = docs_of(spark, sf_dir).withColumn("split", F.when(m == 8, "val").when(m == 9, "test").when(m == 7, "external").otherwise("train"))
+    rank = F.when(F.col("split") == "train", 0).when(F.col("split") == "val", 1).otherwise(2)
+    return dedup.dedup_splits(d, rank, F.col("split") == "external", order="doc_id").select("doc_id", "split")
+
+
+@query("""SELECT doc_id, origin FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY origin) AS n FROM
+ (SELECT doc_id, 0 AS origin FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, 1 FROM documents)) WHERE n = 1""")
+def id_dedup_keep_first(spark, sf_dir):
+    d = docs_of(spark, sf_dir).select("doc_id")
+    both = d.where("doc_id % 2 = 0").withColumn("origin", F.lit(0)).unionByName(d.withColumn("origin", F.lit(1)))
+    return dedup.keep_first(both, ["doc_id"], ["origin"])
+
+
+def _duck_mod(m: int, text: str) -> str:
+    return f"list_reduce(list_transform(range(8), lambda i: CAST('0x' || substr(sha256({text}), (i * 8 + 1)::INT, 8) AS BIGINT)), lambda a, b: (a * {(1 << 32) % m} + b) % {m})"
+
+
+@query(f"SELECT doc_id, {_duck_mod(1000, 'doc_id::VARCHAR')}::BIGINT AS m, CASE WHEN {_duck_mod(5, 'CONCAT(doc_id, chr(0), lang)')} < 3 THEN 'a' WHEN {_duck_mod(5, 'CONCAT(doc_id, chr(0), lang)')} < 4 THEN 'b' ELSE 'c' END AS model FROM documents")
+def hash_modulo_pick(spark, sf_dir):
+    key = F.col("doc_id")
+    return docs_of(spark, sf_dir).select("doc_id", hashing.sha_modulo(1000, key).alias("m"), hashing.weighted_pick([("a", 3), ("b", 1), ("c", 1)], key, F.col("lang")).alias("model"))
+
+
+@query(f"""WITH d AS (SELECT lang, source, min(CASE WHEN doc_id % 50 = 3 THEN 'external' END) AS inherited, max((doc_id % 97 = 5)::INT) AS held,
+ arg_min(CASE WHEN doc_id % 2 = 0 THEN 'val' ELSE 'train' END, doc_id) FILTER (WHERE doc_id % 3 = 2 AND doc_id % 5 = 0) AS tag FROM documents GROUP BY ALL),
+h AS (SELECT *, {_duck_mod(1000, 'CONCAT(lang, chr(0), source)')} AS m FROM d)
+SELECT lang, source, CASE WHEN inherited IS NOT NULL THEN inherited WHEN source = 'src7' THEN 'ood_domain' WHEN held = 1 THEN 'ood_generator' WHEN tag IS NOT NULL THEN tag
+ WHEN m < 800 THEN 'train' WHEN m < 900 THEN 'val' ELSE 'test' END AS split FROM h""")
+def doc_split_assignment(spark, sf_dir):
+    """A document's rows share a split: inherited, held-out domain, held-out model, edit tag, hash."""
+    i = F.col("doc_id")
+    edit = F.when((i % 3 == 2) & (i % 5 == 0), F.when(i % 2 == 0, "val").otherwise("train"))
+    g = docs_of(spark, sf_dir).groupBy("lang", "source").agg(
+        F.min(F.when(i % 50 == 3, "external")).alias("inherited"), F.max((i % 97 == 5).cast("int")).alias("held"), F.min_by(edit, F.when(edit.isNotNull(), i)).alias("tag")
+    )
+    m = hashing.sha_modulo(1000, F.col("lang"), F.col("source"))
+    fallback = F.when(m < 800, "train").when(m < 900, "val").otherwise("test")
+    split = F.coalesce("inherited", F.when(F.col("source") == "src7", "ood_domain"), F.when(F.col("held") == 1, "ood_generator"), "tag", fallback)
+    return g.select("lang", "source", split.alias("split"))
+
+
+@query(f"""WITH d AS (SELECT doc_id, lang, {_TYPES} || '|' || source AS cell FROM documents WHERE doc_id % 3 <> 0),
+t AS (SELECT *, row_number() OVER (PARTITION BY lang, cell ORDER BY sha256(doc_id::VARCHAR) DESC) AS turn FROM d)
+SELECT doc_id, lang FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY turn, cell) AS n FROM t) WHERE n <= 60""")
+def round_robin_sample(spark, sf_dir):
+    d = docs_of(spark, sf_dir).where("doc_id % 3 <> 0").withColumn("text_type", text_type())
+    return sampling.round_robin(d, "lang", ["text_type", "source"], "doc_id", 60).select("doc_id", "lang")
+
+
+@query("SELECT doc_id, lang FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY sha256(doc_id::VARCHAR)) AS n FROM documents) WHERE n <= 25")
+def per_language_first_n(spark, sf_dir):
+    return sampling.first_per_group(docs_of(spark, sf_dir), ["lang"], [F.sha2(F.col("doc_id").cast("string"), 256)], 25).select("doc_id", "lang")
+
+
+_QUOTA = """sizes AS (SELECT s, count(*) AS c FROM base GROUP BY s), q AS (SELECT s, c * {n}.0 / sum(c) OVER () AS x FROM sizes),
+q2 AS (SELECT s, floor(x) + CASE WHEN row_number() OVER (ORDER BY x - floor(x) DESC, s) <= {n} - sum(floor(x)) OVER () THEN 1 ELSE 0 END AS q FROM q)"""
+
+
+@query(f"""WITH base AS (SELECT o_orderkey, o_orderpriority || chr(0) || o_orderstatus AS s FROM orders), {_QUOTA.format(n=333)}
+SELECT o_orderkey FROM (SELECT o_orderkey, s, row_number() OVER (PARTITION BY s ORDER BY o_orderkey) AS n FROM base) JOIN q2 USING (s) WHERE n <= q""")
+def proportional_sample(spark, sf_dir):
+    return sampling.proportional(table(spark, sf_dir, "orders"), ["o_orderpriority", "o_orderstatus"], "o_orderkey", 333).select("o_orderkey")
+
+
+@query(f"""WITH base AS (SELECT l_orderkey, l_returnflag AS s FROM lineitem WHERE l_linenumber = 1), {_QUOTA.format(n=100)},
+picked AS (SELECT l_orderkey FROM (SELECT l_orderkey, s, row_number() OVER (PARTITION BY s ORDER BY l_orderkey) AS n FROM base) JOIN q2 USING (s) WHERE n <= q)
+SELECT l_orderkey, l_linenumber::INT AS l_linenumber FROM lineitem SEMI JOIN picked USING (l_orderkey)""")
+def document_sample_complete(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem")
+    first = lines.where("l_linenumber = 1")
+    picked = sampling.proportional(first, ["l_returnflag"], "l_orderkey", 100).select("l_orderkey")
+    return lines.join(picked, "l_orderkey", "left_semi").select("l_orderkey", F.col("l_linenumber").cast("int").alias("l_linenumber"))
+
+
+@query("SELECT event_id, event_type FROM (SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type, user_id % 7 ORDER BY event_id) AS n FROM events) WHERE n <= 3")
+def topk_per_cell(spark, sf_dir):
+    return sampling.first_per_group(table(spark, sf_dir, "events"), ["event_type", F.col("user_id") % 7], ["event_id"], 3).select("event_id", "event_type")
+
+
+@query("""WITH p AS (SELECT a.vec_id, list_transform(range(1, len(a.embedding) + 1), lambda i: a.embedding[i]::DOUBLE * b.embedding[i]::DOUBLE) AS m,
+ list_transform(a.embedding, lambda x: x::DOUBLE * x::DOUBLE) AS aa, list_transform(b.embedding, lambda x: x::DOUBLE * x::DOUBLE) AS bb FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1),
+s AS (SELECT vec_id, (1 - list_sum(m) / (sqrt(list_sum(aa)) * sqrt(list_sum(bb)))) / 2 AS d FROM p)
+SELECT vec_id, round(d, 6) AS magnitude, CASE WHEN d <= 0.4 THEN 0 WHEN d >= 0.6 THEN 3 ELSE least(1 + floor((d - 0.4) / (0.6 - 0.4) * 2), 2) END::INT AS bucket FROM s""")
+def edit_magnitude_bucket(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    pairs = e.join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other")), "vec_id")
+    d = pairs.withColumn("d", (1 - decode.cosine(F.col("embedding"), F.col("other"))) / 2)
+    return d.select("vec_id", F.round("d", 6).alias("magnitude"), decode.score_to_bucket(F.col("d"), 4, F.lit(0.4), F.lit(0.6)).alias("bucket"))
+
+
+@query(f"""WITH s AS (SELECT lang, {_SCORE} AS score FROM documents WHERE doc_id % 3 = 2), r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score) AS r, count(*) OVER (PARTITION BY lang) AS n FROM s)
+SELECT lang, round(max(CASE WHEN r = least(n - 1, floor(0.22 * n)) + 1 THEN score END), 9) AS p22, round(max(CASE WHEN r = least(n - 1, floor(0.8 * n)) + 1 THEN score END), 9) AS p80, max(n)::BIGINT AS n FROM r GROUP BY lang""")
+def recommended_cuts(spark, sf_dir):
+    d = docs_of(spark, sf_dir).where("doc_id % 3 = 2").select("lang", score().alias("score"))
+    r = d.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("score"))).withColumn("n", F.count("*").over(Window.partitionBy("lang")))
+    at = lambda q: F.round(F.max(F.when(F.col("r") == F.least(F.col("n") - 1, F.floor(F.lit(q) * F.col("n"))) + 1, F.col("score"))), 9)
+    return r.groupBy("lang").agg(at(0.22).alias("p22"), at(0.8).alias("p80"), F.max("n").alias("n"))
+
+
+@query(f"""WITH x AS ({_LABELLED}) SELECT a.lang, round(sum(CASE WHEN a.score > b.score THEN 1.0 WHEN a.score = b.score THEN 0.5 ELSE 0 END) / count(*), 6) AS auroc
+ FROM x a JOIN x b ON a.lang = b.lang AND a.label = 1 AND b.label = 0 GROUP BY a.lang""")
+def auroc_by_group(spark, sf_dir):
+    return metrics.auroc(labelled(spark, sf_dir), ["lang"]).where("auroc is not null").select("lang", F.round("auroc", 6).alias("auroc"))
+
+
+@query(f"""WITH x AS ({_LABELLED}), t AS (SELECT lang, quantile_cont(score, 0.95) AS th FROM x WHERE label = 0 GROUP BY lang),
+b AS (SELECT x.lang, avg(CASE WHEN label = 1 THEN (score > th)::INT END) AS gt, avg(CASE WHEN label = 1 THEN (score >= th)::INT END) AS ge FROM x JOIN t USING (lang) GROUP BY x.lang),
+c AS (SELECT DISTINCT lang, score AS cut FROM x), s AS (SELECT c.lang, cut, sum((label = 1 AND score >= cut)::INT) / nullif(sum((label = 1)::INT), 0) AS tp, sum((label = 0 AND score >= cut)::INT) / nullif(sum((label = 0)::INT), 0) AS fp FROM c JOIN x USING (lang) GROUP BY c.lang, cut)
+SELECT b.lang, round(gt, 6) AS tpr_gt, round(ge, 6) AS tpr_ge, round(coalesce((SELECT max(tp) FROM s WHERE s.lang = b.lang AND fp <= 0.05), 0), 6) AS tpr_stairs FROM b""")
+def tpr_at_fpr_variants(spark, sf_dir):
+    t = metrics.tpr_variants(labelled(spark, sf_dir), ["lang"], 0.05)
+    return t.select("lang", *[F.round(c, 6).alias(c) for c in ("tpr_gt", "tpr_ge", "tpr_stairs")])
+
+
+@query(f"""WITH x AS ({_LABELLED}), g AS (SELECT i / 999.0 AS t FROM range(1000) r(i)),
+f AS (SELECT t, round(coalesce(2.0 * sum((label = 1 AND score >= t - 1e-12)::INT) / nullif(sum((score >= t - 1e-12)::INT) + sum(label), 0), 0), 9) AS f1 FROM g, x GROUP BY t)
+SELECT round(t, 6) AS threshold, round(f1, 6) AS f1 FROM f ORDER BY f.f1 DESC, t LIMIT 1""")
+def best_threshold(spark, sf_dir):
+    return metrics.best_threshold(labelled(spark, sf_dir)).select(F.round("threshold", 6).alias("threshold"), F.round("f1", 6).alias("f1"))
+
+
+@query(f"""WITH x AS ({_LABELLED}), h AS (SELECT lang, score, row_number() OVER (PARTITION BY lang ORDER BY score) AS r, count(*) OVER (PARTITION BY lang) AS n FROM x WHERE label = 0)
+SELECT lang, round(coalesce(max(CASE WHEN r = ceil(round((n + 1) * 0.95, 9)) THEN score END), 'inf'::DOUBLE), 9) AS threshold FROM h GROUP BY lang""")
+def conformal_by_group(spark, sf_dir):
+    return metrics.conformal_threshold(labelled(spark, sf_dir), ["lang"], 0.05).select("lang", F.round("threshold", 9).alias("threshold"))
+
+
+@query(f"""WITH x0 AS ({_LABELLED}), m AS (SELECT avg(CASE WHEN label = 1 THEN score END) AS m1, avg(CASE WHEN label = 0 THEN score END) AS m0 FROM x0),
+x AS (SELECT source AS domain, label, CASE WHEN m0 > m1 THEN -score ELSE score END AS score FROM x0, m), t AS (SELECT domain, quantile_cont(score, 0.95) AS th FROM x WHERE label = 0 GROUP BY domain)
+SELECT domain, round(any_value(th), 6) AS threshold, round(avg(CASE WHEN label = 1 THEN (score > th)::INT END), 6) AS tpr, round(avg(CASE WHEN label = 0 THEN (score > th)::INT END), 6) AS fpr
+FROM x JOIN t USING (domain) GROUP BY domain HAVING count(*) FILTER (WHERE label = 1) > 0""")
+def per_domain_protocol(spark, sf_dir):
+    t = metrics.domain_protocol(labelled(spark, sf_dir).withColumnRenamed("source", "domain"), 0.05)
+    return t.select("domain", *[F.round(c, 6).alias(c) for c in ("threshold", "tpr", "fpr")])
+
+
+@query(f"""WITH x AS (SELECT (doc_id % 3)::INT AS t, CASE WHEN {_SCORE} > 0.66 THEN 1 WHEN {_SCORE} < 0.33 THEN 0 ELSE 2 END AS p FROM documents), c AS (SELECT unnest([0, 1, 2]) AS k)
+SELECT k::INT AS class, sum((t = k)::INT)::BIGINT AS support, sum((t = k AND p = k)::INT)::BIGINT AS tp, round(2.0 * sum((t = k AND p = k)::INT) / (sum((t = k)::INT) + sum((p = k)::INT)), 6) AS f1 FROM c, x GROUP BY k""")
+def ternary_confusion(spark, sf_dir):
+    d = docs_of(spark, sf_dir).select((F.col("doc_id") % 3).cast("int").alias("t"), decode.ternary(score(), F.lit(0.33), F.lit(0.66)).alias("p"))
+    return metrics.class_f1(d, "t", "p", [0, 1, 2]).select("class", "support", "tp", F.round("f1", 6).alias("f1"))
+
+
+@query(f"""WITH x AS (SELECT lang, {_TYPES} AS tt, {_SCORE} AS score FROM documents)
+SELECT lang, tt AS text_type, count(*)::BIGINT AS n, round(avg(score), 6) AS mean, round(median(score), 6) AS median FROM x GROUP BY GROUPING SETS ((), (lang), (tt), (lang, tt))""")
+def grouped_metrics(spark, sf_dir):
+    d = docs_of(spark, sf_dir).select("lang", text_type().alias("text_type"), score().alias("score"))
+    return d.cube("lang", "text_type").agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("mean"), F.round(F.median("score"), 6).alias("median"))
+
+
+@query("""WITH x AS (SELECT vec_id, 1 / (1 + exp(-embedding[1]::DOUBLE)) AS a, 1 / (1 + exp(-embedding[2]::DOUBLE)) AS b, 1 / (1 + exp(-embedding[3]::DOUBLE)) AS c FROM embeddings)
+SELECT vec_id, round((a + a * b + a * b * c) / 3, 6) AS corn_score, ((a > 0.5)::INT + (a * b > 0.5)::INT + (a * b * c > 0.5)::INT)::INT AS corn_rank, round(a * b - a * b * c, 6) AS p2 FROM x""")
+def corn_decode(spark, sf_dir):
+    x = F.transform(F.slice("embedding", 1, 3), lambda v: v.cast("double"))
+    d = table(spark, sf_dir, "embeddings").select("vec_id", decode.corn_cumulative(x).alias("c"))
+    return d.select("vec_id", F.round(decode.corn_score(F.col("c")), 6).alias("corn_score"), decode.corn_rank(F.col("c")).alias("corn_rank"), F.round(decode.corn_buckets(F.col("c"))[2], 6).alias("p2"))
+
+
+@query("""WITH x AS (SELECT vec_id, exp(embedding[1]::DOUBLE) AS a, exp(embedding[2]::DOUBLE) AS b, exp(embedding[3]::DOUBLE) AS c, exp(embedding[4]::DOUBLE) AS d FROM embeddings),
+y AS (SELECT vec_id, (b + 2 * c + 3 * d) / (a + b + c + d) / 3 AS s FROM x)
+SELECT vec_id, round(s, 6) AS score, CASE WHEN least(greatest((s - 0.4) / (0.6 - 0.4), 0), 1) < 0.4 THEN 0 WHEN least(greatest((s - 0.4) / (0.6 - 0.4), 0), 1) > 0.7 THEN 1 ELSE 2 END::INT AS label FROM y""")
+def softmax_decode(spark, sf_dir):
+    x = F.transform(F.slice("embedding", 1, 4), lambda v: v.cast("double"))
+    d = table(spark, sf_dir, "embeddings").select("vec_id", decode.expected_rank(decode.softmax(x)).alias("s"))
+    return d.select("vec_id", F.round("s", 6).alias("score"), decode.shipped_label(decode.calibrated(F.col("s"), 0.4, 0.6), F.lit(0.4), F.lit(0.7)).alias("label"))
+
+
+@query(f"""WITH x AS (SELECT lang, {_SCORE} AS a, n_chars::DOUBLE AS b FROM documents), r AS (SELECT *, rank() OVER (PARTITION BY lang ORDER BY a) + (count(*) OVER (PARTITION BY lang, a) - 1) / 2.0 AS ra, rank() OVER (PARTITION BY lang ORDER BY b) + (count(*) OVER (PARTITION BY lang, b) - 1) / 2.0 AS rb FROM x)
+SELECT lang, round(corr(a, b), 6) AS pearson, round(corr(ra, rb), 6) AS spearman, round(avg(abs(a - b / 40000)), 6) AS mae, round(max(abs(a - b / 40000)), 6) AS max_diff, round(avg(((a > 0.5) = (b > 2000))::INT), 6) AS agree FROM r GROUP BY lang""")
+def rank_correlation(spark, sf_dir):
+    d = docs_of(spark, sf_dir).select("lang", score().alias("a"), F.col("n_chars").cast("double").alias("b"))
+    d = d.withColumn("ra", metrics.average_rank("a", ["lang"])).withColumn("rb", metrics.average_rank("b", ["lang"]))
+    gap = F.abs(F.col("a") - F.col("b") / 40000)
+    agree = ((F.col("a") > 0.5) == (F.col("b") > 2000)).cast("int")
+    return d.groupBy("lang").agg(*[F.round(c, 6).alias(n) for n, c in (("pearson", F.corr("a", "b")), ("spearman", F.corr("ra", "rb")), ("mae", F.avg(gap)), ("max_diff", F.max(gap)), ("agree", F.avg(agree)))])
+
+
+@query("""WITH c AS (SELECT lang, count(*) AS n FROM documents GROUP BY lang), w AS (SELECT lang, n, power(n, -0.5) AS w FROM c)
+SELECT lang, round(sum(n) OVER () / (count(*) OVER () * n), 6) AS class_weight, round(w * sum(n) OVER () / sum(n * w) OVER (), 6) AS sample_weight FROM w""")
+def class_and_sample_weights(spark, sf_dir):
+    c = docs_of(spark, sf_dir).groupBy("lang").agg(F.count("*").alias("n")).withColumn("w", F.pow("n", F.lit(-0.5)))
+    w = Window.partitionBy()
+    return c.select("lang", F.round(F.sum("n").over(w) / (F.count("*").over(w) * F.col("n")), 6).alias("class_weight"), F.round(F.col("w") * F.sum("n").over(w) / F.sum(F.col("n") * F.col("w")).over(w), 6).alias("sample_weight"))
+
+
+@query("""WITH p(role, price) AS (VALUES ('user', 0.5), ('assistant', 1.5)), t AS (SELECT role, trunc(length(text) / 4.0)::BIGINT AS n FROM conversations)
+SELECT t.role, count(*)::BIGINT AS calls, sum(n)::BIGINT AS tokens, round(sum(n) * coalesce(any_value(price), 0) / 1000000, 9) AS cost FROM t LEFT JOIN p USING (role) GROUP BY t.role""")
+def cost_by_model(spark, sf_dir):
+    prices = spark.createDataFrame([("user", 0.5), ("assistant", 1.5)], "role string, price double")
+    t = table(spark, sf_dir, "conversations").select("role", (F.length("text") / 4.0).cast("long").alias("n"))
+    return t.join(F.broadcast(prices), "role", "left").groupBy("role").agg(
+        F.count("*").alias("calls"), F.sum("n").alias("tokens"), F.round(F.sum("n") * F.coalesce(F.first("price"), F.lit(0.0)) / 1000000, 9).alias("cost")
+    )
+
+
+@query("""SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) FILTER (WHERE text <> '') AS passage, count(*)::BIGINT AS turns FROM conversations GROUP BY conv_id""")
+def thread_passages(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"), F.count("*").alias("turns"))
+    passage = F.array_join(F.transform(F.filter("t", lambda x: x["text"] != ""), lambda x: x["text"]), "\n")
+    return c.select("conv_id", passage.alias("passage"), "turns")
+
+
+_ROW = r"regexp_replace(text, '^\s+|\s+$', '', 'g')"
+
+
+@query(rf"""SELECT doc_id, sha256(concat('documents', chr(0), source, chr(0), {_TYPES}, chr(0), sha256({_ROW}), chr(0), doc_id)) AS row_id, sha256({_ROW}) AS text_sha256 FROM documents""")
+def release_normalize(spark, sf_dir):
+    return _release(spark, sf_dir).select("doc_id", "row_id", "text_sha256")
+
+
+def _release(spark, sf_dir):
+    clean = textfn.strip(F.col("text"))
+    d = docs_of(spark, sf_dir).withColumn("text", F.when(clean == "", F.raise_error(F.lit("empty text"))).otherwise(clean))
+    return d.withColumn("text_sha256", F.sha2("text", 256)).withColumn(
+        "row_id", hashing.sha_key(F.lit("documents"), F.col("source"), text_type(), F.col("text_sha256"), F.col("doc_id"))
+    )
+
+
+@query(rf"""WITH r AS (SELECT sha256(concat('documents', chr(0), source, chr(0), {_TYPES}, chr(0), sha256({_ROW}), chr(0), doc_id)) AS row_id FROM documents)
+SELECT count(*)::BIGINT AS n, sha256(string_agg(row_id, chr(10) ORDER BY row_id)) AS rows_sha256 FROM r""")
+def snapshot_digest(spark, sf_dir):
+    r = _release(spark, sf_dir).agg(F.count("*").alias("n"), F.array_sort(F.collect_list("row_id")).alias("ids"))
+    return r.select("n", F.sha2(F.array_join("ids", "\n"), 256).alias("rows_sha256"))
+
+
+@query("""SELECT 'missing' AS kind, count(*)::BIGINT AS n FROM documents ANTI JOIN labels USING (doc_id) UNION ALL
+SELECT 'unexpected', count(*)::BIGINT FROM labels ANTI JOIN documents USING (doc_id) UNION ALL SELECT 'repeated', count(*)::BIGINT FROM (SELECT doc_id FROM labels GROUP BY doc_id HAVING count(*) > 1)""")
+def coverage_check(spark, sf_dir):
+    d, x = docs_of(spark, sf_dir).select("doc_id"), table(spark, sf_dir, "labels").select("doc_id")
+    n = lambda df, kind: df.agg(F.lit(kind).alias("kind"), F.count("*").alias("n"))
+    return n(d.join(x, "doc_id", "left_anti"), "missing").unionByName(n(x.join(d, "doc_id", "left_anti"), "unexpected")).unionByName(n(x.groupBy("doc_id").count().where("count > 1"), "repeated"))
+
+
+_DUCK_POISSON = " + ".join(f"(u >= {p})::INT" for p in (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183))
+
+
+@query(f"""WITH x AS ({_LABELLED}), r AS (SELECT x.*, i AS rep, CAST('0x' || substr(md5(i || '|' || source), 1, 8) AS BIGINT) / 4294967296.0 AS u FROM x, range(50) t(i)), w AS (SELECT *, {_DUCK_POISSON} AS w FROM r),
+m AS (SELECT rep, sum(w * (label = 1 AND score >= 0.5)::INT) / nullif(sum(w * (label = 1)::INT), 0) AS tpr FROM w WHERE w > 0 GROUP BY rep)
+SELECT count(tpr)::BIGINT AS samples, round(quantile_cont(tpr, 0.025), 6) AS low, round(quantile_cont(tpr, 0.975), 6) AS high FROM m""")
+def bootstrap_ci(spark, sf_dir):
+    """Interval of TPR at 0.5, resampling whole sources."""
+    w = metrics.bootstrap_weights(labelled(spark, sf_dir), "source", 50)
+    hit = (F.col("label") == 1) & (F.col("score") >= 0.5)
+    m = w.groupBy("rep").agg(metrics.ratio(F.sum(F.col("w") * hit.cast("int")), F.sum(F.col("w") * F.col("label"))).alias("tpr"))
+    return m.agg(F.count("tpr").alias("samples"), F.round(F.percentile("tpr", F.lit(0.025)), 6).alias("low"), F.round(F.percentile("tpr", F.lit(0.975)), 6).alias("high"))
