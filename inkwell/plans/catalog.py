@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from inkwell import hashing, textfn
 from inkwell.functions import cleaning, decode
 from inkwell.operators import decontam, dedup, gates, metrics, sampling
+from inkwell.sources import passages, store
+from inkwell.streaming.scoring import resumable_scores
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -143,10 +145,8 @@ def near_dup_pairs(spark, sf_dir):
 
 @query()
 def near_dedup_keep(spark, sf_dir):
-    from inkwell.sources.store import materialise
-
     docs = docs_of(spark, sf_dir)
-    gone = dedup.near_dedup(docs, "doc_id", ["lang"], materialise)
+    gone = dedup.near_dedup(docs, "doc_id", ["lang"], store.materialise)
     return docs.join(gone, docs["doc_id"] == gone["id"], "left_anti").select("doc_id")
 
 
@@ -402,3 +402,21 @@ def bootstrap_ci(spark, sf_dir):
     hit = (F.col("label") == 1) & (F.col("score") >= 0.5)
     m = w.groupBy("rep").agg(metrics.ratio(F.sum(F.col("w") * hit.cast("int")), F.sum(F.col("w") * F.col("label"))).alias("tpr"))
     return m.agg(F.count("tpr").alias("samples"), F.round(F.percentile("tpr", F.lit(0.025)), 6).alias("low"), F.round(F.percentile("tpr", F.lit(0.975)), 6).alias("high"))
+
+
+@query()
+def passage_chunks(spark, sf_dir):
+    p = passages.chunks(F.col("text"), textfn.word_count, 120, 20)
+    return docs_of(spark, sf_dir).select("doc_id", F.posexplode(p).alias("piece", "passage"))
+
+
+@query()
+def html_extract(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", passages.page_text("html").alias("page")).select("page_id", "page.title", "page.body")
+
+
+@query()
+def resumable_scoring(spark, sf_dir):
+    docs = docs_of(spark, sf_dir)
+    root = store.folder(spark)
+    return resumable_scores(spark, f"{sf_dir}/documents.parquet", docs.schema, lambda b: b.select("doc_id", score().alias("score")), f"{root}/out", f"{root}/state")
