@@ -419,4 +419,4 @@ def html_extract(spark, sf_dir):
 def resumable_scoring(spark, sf_dir):
     docs = docs_of(spark, sf_dir)
     root = store.folder(spark)
-    return resumable_scores(spark, f"{sf_dir}/documents.parquet", docs.schema, lambda b: b.select("doc_id", score().alias("score")), f"{root}/out", f"{root}/state")
+    return resumable_scores(spark, f"{sf_dir}/documents.parque[t]", docs.schema, lambda b: b.select("doc_id", score().alias("score")), f"{root}/out", f"{root}/state")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def resumable_scores(spark: SparkSession, source: str, schema, score, out: str, checkpoint: str, id_col: str = "doc_id", files_per_batch: int = 1) -> DataFrame:
     """Score the Parquet files of ``source`` that no earlier run scored; returns all scores.
 
-    ``score`` maps a frame to (``id_col``, ``score``). The stream stops when all files are read;
+    ``source`` is a folder or, as a pattern, a file. ``score`` maps a frame to (``id_col``, ``score``). The stream stops when all files are read;
     a rerun goes on from its checkpoint. A batch that is replayed after a failure writes the same
     folder again, so no row is scored twice. Scores that are null or not finite fail the batch.
     """
