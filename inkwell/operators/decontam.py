@@ -14,13 +14,13 @@ BROADCAST_GRAMS = 2_000_000
 
 
 def grams(text: Column, k: int = K_WORDS) -> Column:
-    """Lower-cased word k-grams; a shorter text is one gram, a text without words none."""
-    return textfn.ngrams(textfn.words(text), k, whole_if_short=True)
+    """Hashes of the lower-cased word k-grams; a shorter text is one gram, a text without words none."""
+    return textfn.ngrams(textfn.words(text), k, whole_if_short=True, hashed=True)
 
 
 def reference(texts: DataFrame, text_col: str = "text", k: int = K_WORDS) -> DataFrame:
     """The distinct gram hashes of the reference texts."""
-    return texts.select(F.explode(F.transform(grams(F.col(text_col), k), lambda g: F.xxhash64(g))).alias("gram")).distinct()
+    return texts.select(F.explode(grams(F.col(text_col), k)).alias("gram")).distinct()
 
 
 def overlap(docs: DataFrame, ref: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K_WORDS, ref_rows: int | None = None) -> DataFrame:
@@ -31,7 +31,7 @@ def overlap(docs: DataFrame, ref: DataFrame, id_col: str = "doc_id", text_col: s
     """
     rows = ref.count() if ref_rows is None else ref_rows
     ref = F.broadcast(ref) if rows <= BROADCAST_GRAMS else ref
-    exploded = docs.select(id_col, F.explode(F.transform(grams(F.col(text_col), k), lambda g: F.xxhash64(g))).alias("gram"))
+    exploded = docs.select(id_col, F.explode(grams(F.col(text_col), k)).alias("gram"))
     return exploded.join(ref, "gram", "left_semi").groupBy(id_col).agg(F.count("*").alias("n_shared"))
 
 

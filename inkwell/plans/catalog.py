@@ -139,7 +139,8 @@ c AS (SELECT a.id AS a, b.id AS b, count(*) AS c, any_value(a.n) AS na, any_valu
 
 @query(_SETS + "SELECT a, b, round(c / (na + nb - c), 6) AS jaccard FROM c WHERE c / (na + nb - c) >= 0.8")
 def near_dup_pairs(spark, sf_dir):
-    sets = dedup.distinct_sets(dedup.shingled(docs_of(spark, sf_dir), "doc_id", ["lang"])).where("id = rep").select("id", "grp", "grams")
+    grams = store.materialise(dedup.shingled(docs_of(spark, sf_dir), "doc_id", ["lang"]))
+    sets = store.materialise(dedup.distinct_sets(grams).where("id = rep").select("id", "grp", "grams"))
     return dedup.near_pairs(sets).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
 
 
