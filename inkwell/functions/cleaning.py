@@ -110,6 +110,20 @@ def clean_post(text: Column) -> Column:
     return strip(text)
 
 
+def plain_markdown(text: Column) -> Column:
+    """A detector's plain text: Markdown, tables and tags go, entities are decoded, white space becomes one space."""
+    steps = [
+        (r"(?s)```.*?```", ""), (r"`[^`]*`", ""), (r"!\[.*?\]\(.*?\)", ""), (r"\[([^\]]+)\]\(.*?\)", "$1"),
+        (r"(\*\*|__)(.*?)\1", "$2"), (r"(\*|_)(.*?)\1", "$2"), (r"#+ ", ""), (r"(?m)^>.*$", ""),
+        (r"(?m)^(\s*[-*+]|\d+\.)\s+", ""), (r"(?m)^\s*[-*_]{3,}\s*$", ""), (r"\|.*?\|", ""), (r"<.*?>", ""),
+    ]
+    for pattern, to in steps:
+        text = F.regexp_replace(text, pattern, to)
+    text = F.when(F.contains(text, F.lit("&")), unescape(text)).otherwise(text)
+    text = F.replace(F.translate(F.replace(text, F.lit("^M"), F.lit(" ")), "\n\t\r", "   "), F.lit(" ,"), F.lit(","))
+    return F.regexp_replace(text, " +", " ")
+
+
 def topic(text: Column, language: Column) -> Column:
     """The first sentence's first 12 words, or 30 characters of the first clause outside English."""
     t = strip(text)

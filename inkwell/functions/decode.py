@@ -77,3 +77,35 @@ def cosine(a: Column, b: Column) -> Column:
     dot = total(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")))
     norm = F.sqrt(total(F.transform(a, lambda x: x.cast("double") * x.cast("double")))) * F.sqrt(total(F.transform(b, lambda x: x.cast("double") * x.cast("double"))))
     return F.when(norm > 0, dot / norm).otherwise(0.0)
+
+
+def logit_score(logits: Column, ai_label: int | None = None) -> Column:
+    """The sigmoid of one logit; of several the probability of ``ai_label``, or the expected rank."""
+    p = softmax(logits)
+    many = expected_rank(p) if ai_label is None else F.get(p, F.lit(ai_label))
+    return F.when(F.size(logits) == 1, 1 / (1 + F.exp(-logits[0]))).otherwise(many)
+
+
+def graded_score(logits: Column, head: Column) -> Column:
+    """The expected rank by the head's kind, ``seqcls`` or ``corn``; other kinds fail."""
+    other = F.raise_error(F.concat(F.lit("unknown head "), F.coalesce(head, F.lit("null")))).cast("double")
+    return F.when(head == "seqcls", logit_score(logits)).when(head == "corn", corn_score(corn_cumulative(logits))).otherwise(other)
+
+
+def decoded(logits: Column, calibration: dict, binary: bool = False) -> Column:
+    """struct(label, ai_involvement, bucket_probs) by a calibration's head, range, sign and thresholds."""
+    if calibration.get("head_type", "seqcls") == "corn":
+        scalar, probs = corn_score(corn_cumulative(logits)), corn_buckets(corn_cumulative(logits))
+    else:
+        scalar, probs = expected_rank(softmax(logits)), softmax(logits)
+    scaled = calibrated(scalar, calibration["score_min"], calibration["score_max"], calibration["flip"])
+    if binary:
+        label = F.when(scaled > calibration["binary_threshold"], "AI").otherwise("human")
+    else:
+        place = shipped_label(scaled, F.lit(calibration["h_thresh"]), F.lit(calibration["ai_thresh"]))
+        label = F.get(F.array(*map(F.lit, calibration["label_names"])), place)
+    names = F.array(*map(F.lit, calibration["bucket_descriptions"]))
+    return F.struct(
+        label.alias("label"), F.bround(scaled, 3).alias("ai_involvement"),
+        F.map_from_arrays(names, F.transform(probs, lambda p: F.bround(p, 3))).alias("bucket_probs"),
+    )

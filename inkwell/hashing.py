@@ -18,9 +18,9 @@ def sha_key(*parts: Column) -> Column:
     return F.sha2(nul_joined(*parts), 256)
 
 
-def sha_modulo(modulus: int, *parts: Column) -> Column:
+def sha_modulo(modulus: int | Column, *parts: Column) -> Column:
     """The SHA-256 of the NUL-joined parts as a 256-bit integer, modulo ``modulus`` (under 2**31)."""
-    step = (1 << 32) % modulus
+    step = (F.lit(1 << 32) if isinstance(modulus, Column) else 1 << 32) % modulus
 
     def fold(digest: Column) -> Column:
         chunks = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.conv(F.substring(digest, i * 8 + 1, F.lit(8)), 16, 10).cast("long"))

@@ -41,3 +41,43 @@ def complete_documents(rows: DataFrame, doc: str, strata: list[str], key: str, n
     """Documents by ``proportional`` of their first row, with all their rows."""
     first = first_per_group(rows, [doc], [key], 1)
     return rows.join(proportional(first, strata, key, n).select(doc).distinct(), doc, "left_semi")
+
+
+def hash_order(key: str) -> list:
+    return [F.sha2(F.col(key).cast("string"), 256), F.col(key)]
+
+
+def probe(rows: DataFrame, groups: list[str], size, key: str, k: int) -> DataFrame:
+    """Of each group the longest row (ties by key) and ``k`` others in hash order of the key."""
+    longest = first_per_group(rows, groups, [size.desc(), F.col(key)], 1)
+    # the longest is among the first k + 1 of the hash order or not; either way k others are left
+    some = first_per_group(rows, groups, hash_order(key), k + 1)
+    rest = some.join(longest.select(key), key, "left_anti").select(*rows.columns)
+    return longest.select(*rows.columns).unionByName(first_per_group(rest, groups, hash_order(key), k))
+
+
+def with_all(rows: DataFrame, unit: list[str], kind: str, kinds: list[str]) -> DataFrame:
+    """All rows of the units that have a row of every one of ``kinds``."""
+    full = rows.where(F.col(kind).isin(kinds)).groupBy(*unit).agg(F.bit_or(_bit(kind, kinds)).alias("_bits"))
+    return rows.join(full.where(F.col("_bits") == (1 << len(kinds)) - 1).select(*unit), unit, "left_semi")
+
+
+def _bit(kind: str, kinds: list[str]):
+    return F.coalesce(*[F.when(F.col(kind) == k, F.lit(1 << i).cast("long")) for i, k in enumerate(kinds)])
+
+
+def balanced_models(candidates: DataFrame, source: str, model: str, n: int) -> dict:
+    """A model for each of the first ``n`` sources in hash order, of those the source has, each
+    time the least used (ties by hash of source and model). The turn of one source depends on all before, so this runs
+    on the driver, over ``n`` sources: the size of a frozen evaluation subset, not of the corpus."""
+    options = candidates.select(source, model).distinct()
+    chosen = options.select(source).distinct().orderBy(*hash_order(source)).limit(n)
+    tie = F.sha2(F.concat_ws("\0", F.col(source).cast("string"), model), 256)
+    rows = options.join(chosen, source).groupBy(source).agg(F.array_sort(F.collect_list(F.struct(tie.alias("tie"), F.col(model).alias("model")))).alias("o"))
+    used: dict = {}
+    out = {}
+    for r in rows.orderBy(*hash_order(source)).collect():
+        best = min(r["o"], key=lambda o: (used.get(o["model"], 0), o["tie"]))["model"]
+        used[best] = used.get(best, 0) + 1
+        out[r[source]] = best
+    return out

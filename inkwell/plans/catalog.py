@@ -2,35 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from inkwell import hashing, textfn
 from inkwell.functions import cleaning, decode
-from inkwell.operators import decontam, dedup, gates, metrics, sampling
+from inkwell.operators import decontam, dedup, gates, metrics, ranking, sampling
+from inkwell.plans import evaluation, rows  # noqa: F401  (they register their queries)
+from inkwell.plans.registry import LABELLED as _LABELLED
+from inkwell.plans.registry import ORACLES, QUERIES, docs_of, labelled, query, score, table, text_type  # noqa: F401
+from inkwell.plans.registry import SCORE as _SCORE
+from inkwell.plans.registry import TYPES as _TYPES
 from inkwell.sources import passages, store
 from inkwell.streaming.scoring import resumable_scores
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Register a query function by its name, with its SQL if there is one."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 _GRAMS = """
 CASE WHEN len(w) >= 13 THEN list_distinct(list_transform(range(1, (len(w) - 11)::BIGINT), lambda i: array_to_string(w[i:i+12], ' ')))
      WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END
@@ -50,32 +35,6 @@ def decontam_overlap(spark, sf_dir):
     return decontam.overlap(docs, ref).where(F.col("n_shared") >= decontam.MIN_SHARED)
 
 
-#: A derived score in [0, 1), the same in both engines.
-_SCORE = "(CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) / 4294967296.0)"
-_TYPES = "CASE doc_id % 3 WHEN 0 THEN 'human_written' WHEN 1 THEN 'ai_generated' ELSE 'ai_edited' END"
-
-
-def score(salt: str = ""):
-    return F.conv(F.substring(F.md5(F.concat(F.lit(salt), F.col("doc_id").cast("string"))), 1, 8), 16, 10).cast("double") / 4294967296.0
-
-
-def text_type():
-    return F.element_at(F.array(F.lit("human_written"), F.lit("ai_generated"), F.lit("ai_edited")), (F.col("doc_id") % 3 + 1).cast("int"))
-
-
-def docs_of(spark, sf_dir):
-    return table(spark, sf_dir, "documents")
-
-
-def labelled(spark, sf_dir):
-    """Labels with a score and the source as domain."""
-    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("int").alias("label"))
-    return labels.join(docs_of(spark, sf_dir).select("doc_id", "source", "lang"), "doc_id").withColumn("score", score())
-
-
-_LABELLED = f"SELECT doc_id, quality::INT AS label, source, lang, {_SCORE} AS score FROM labels JOIN documents USING (doc_id)"
-
-
 @query(r"""SELECT doc_id, len(regexp_extract_all(text, '[\p{L}\p{N}_]+'))::BIGINT AS n_words,
   len(regexp_extract_all(text, '[\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{FF66}-\x{FF9F}]'))::BIGINT AS n_cjk,
   lang <> 'en' AND false OR lang = 'en' AND len(regexp_extract_all(text, '[\p{L}\p{N}_]+')) >= 75 AS floor_ok FROM documents""")
@@ -251,10 +210,10 @@ def edit_magnitude_bucket(spark, sf_dir):
 @query(f"""WITH s AS (SELECT lang, {_SCORE} AS score FROM documents WHERE doc_id % 3 = 2), r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score) AS r, count(*) OVER (PARTITION BY lang) AS n FROM s)
 SELECT lang, round(max(CASE WHEN r = least(n - 1, floor(0.22 * n)) + 1 THEN score END), 9) AS p22, round(max(CASE WHEN r = least(n - 1, floor(0.8 * n)) + 1 THEN score END), 9) AS p80, max(n)::BIGINT AS n FROM r GROUP BY lang""")
 def recommended_cuts(spark, sf_dir):
-    d = docs_of(spark, sf_dir).where("doc_id % 3 = 2").select("lang", score().alias("score"))
-    r = d.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("score"))).withColumn("n", F.count("*").over(Window.partitionBy("lang")))
-    at = lambda q: F.round(F.max(F.when(F.col("r") == F.least(F.col("n") - 1, F.floor(F.lit(q) * F.col("n"))) + 1, F.col("score"))), 9)
-    return r.groupBy("lang").agg(at(0.22).alias("p22"), at(0.8).alias("p80"), F.max("n").alias("n"))
+    d = ranking.counted(docs_of(spark, sf_dir).where("doc_id % 3 = 2").select("lang", score().alias("score")), ["lang"], "score")
+    total = F.col("n_total")
+    at = lambda q: F.round(ranking.at(F.least(total - 1, F.floor(F.lit(q) * total)), "score"), 9)
+    return d.groupBy("lang").agg(at(0.22).alias("p22"), at(0.8).alias("p80"), F.max("n_total").alias("n"))
 
 
 @query(f"""WITH x AS ({_LABELLED}) SELECT a.lang, round(sum(CASE WHEN a.score > b.score THEN 1.0 WHEN a.score = b.score THEN 0.5 ELSE 0 END) / count(*), 6) AS auroc
@@ -305,7 +264,14 @@ def ternary_confusion(spark, sf_dir):
 SELECT lang, tt AS text_type, count(*)::BIGINT AS n, round(avg(score), 6) AS mean, round(median(score), 6) AS median FROM x GROUP BY GROUPING SETS ((), (lang), (tt), (lang, tt))""")
 def grouped_metrics(spark, sf_dir):
     d = docs_of(spark, sf_dir).select("lang", text_type().alias("text_type"), score().alias("score"))
-    return d.cube("lang", "text_type").agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("mean"), F.round(F.median("score"), 6).alias("median"))
+    level = lambda k, lang, kind: F.struct(F.lit(k).alias("level"), lang.cast("string").alias("lang"), kind.cast("string").alias("text_type"))
+    lang, kind, none = F.col("lang"), F.col("text_type"), F.lit(None)
+    levels = F.explode(F.array(level(0, none, none), level(1, lang, none), level(2, none, kind), level(3, lang, kind)))
+    v = d.groupBy("lang", "text_type", "score").count().select(levels.alias("g"), "score", "count").select("g.*", "score", "count")
+    groups = ["level", "lang", "text_type"]
+    v = ranking.running(v.groupBy(*groups, "score").agg(F.sum("count").alias("n")), groups, "score", ["n"])
+    mean = F.sum(F.col("score") * F.col("n")) / F.sum("n")
+    return v.groupBy(*groups).agg(F.sum("n").alias("n"), F.round(mean, 6).alias("mean"), F.round(ranking.interpolated(0.5, "score"), 6).alias("median")).drop("level")
 
 
 @query("""WITH x AS (SELECT vec_id, 1 / (1 + exp(-embedding[1]::DOUBLE)) AS a, 1 / (1 + exp(-embedding[2]::DOUBLE)) AS b, 1 / (1 + exp(-embedding[3]::DOUBLE)) AS c FROM embeddings)
@@ -329,7 +295,7 @@ def softmax_decode(spark, sf_dir):
 SELECT lang, round(corr(a, b), 6) AS pearson, round(corr(ra, rb), 6) AS spearman, round(avg(abs(a - b / 40000)), 6) AS mae, round(max(abs(a - b / 40000)), 6) AS max_diff, round(avg(((a > 0.5) = (b > 2000))::INT), 6) AS agree FROM r GROUP BY lang""")
 def rank_correlation(spark, sf_dir):
     d = docs_of(spark, sf_dir).select("lang", score().alias("a"), F.col("n_chars").cast("double").alias("b"))
-    d = d.withColumn("ra", metrics.average_rank("a", ["lang"])).withColumn("rb", metrics.average_rank("b", ["lang"]))
+    d = ranking.with_average_rank(ranking.with_average_rank(d, ["lang"], "a", "ra"), ["lang"], "b", "rb")
     gap = F.abs(F.col("a") - F.col("b") / 40000)
     agree = ((F.col("a") > 0.5) == (F.col("b") > 2000)).cast("int")
     return d.groupBy("lang").agg(*[F.round(c, 6).alias(n) for n, c in (("pearson", F.corr("a", "b")), ("spearman", F.corr("ra", "rb")), ("mae", F.avg(gap)), ("max_diff", F.max(gap)), ("agree", F.avg(agree)))])
@@ -379,8 +345,7 @@ def _release(spark, sf_dir):
 @query(rf"""WITH r AS (SELECT sha256(concat('documents', chr(0), source, chr(0), {_TYPES}, chr(0), sha256({_ROW}), chr(0), doc_id)) AS row_id FROM documents)
 SELECT count(*)::BIGINT AS n, sha256(string_agg(row_id, chr(10) ORDER BY row_id)) AS rows_sha256 FROM r""")
 def snapshot_digest(spark, sf_dir):
-    r = _release(spark, sf_dir).agg(F.count("*").alias("n"), F.array_sort(F.collect_list("row_id")).alias("ids"))
-    return r.select("n", F.sha2(F.array_join("ids", "\n"), 256).alias("rows_sha256"))
+    return store.ordered_digest(_release(spark, sf_dir), "row_id", "rows_sha256")
 
 
 @query("""SELECT 'missing' AS kind, count(*)::BIGINT AS n FROM documents ANTI JOIN labels USING (doc_id) UNION ALL
@@ -399,10 +364,10 @@ m AS (SELECT rep, sum(w * (label = 1 AND score >= 0.5)::INT) / nullif(sum(w * (l
 SELECT count(tpr)::BIGINT AS samples, round(quantile_cont(tpr, 0.025), 6) AS low, round(quantile_cont(tpr, 0.975), 6) AS high FROM m""")
 def bootstrap_ci(spark, sf_dir):
     """Interval of TPR at 0.5, resampling whole sources."""
-    w = metrics.bootstrap_weights(labelled(spark, sf_dir), "source", 50)
-    hit = (F.col("label") == 1) & (F.col("score") >= 0.5)
-    m = w.groupBy("rep").agg(metrics.ratio(F.sum(F.col("w") * hit.cast("int")), F.sum(F.col("w") * F.col("label"))).alias("tpr"))
-    return m.agg(F.count("tpr").alias("samples"), F.round(F.percentile("tpr", F.lit(0.025)), 6).alias("low"), F.round(F.percentile("tpr", F.lit(0.975)), 6).alias("high"))
+    hit = ((F.col("label") == 1) & (F.col("score") >= 0.5)).cast("int")
+    m = metrics.bootstrap_sums(labelled(spark, sf_dir), "source", 50, {"hit": hit, "pos": F.col("label")})
+    m = metrics.interval(m.withColumn("tpr", metrics.ratio(F.col("hit"), F.col("pos"))), "tpr")
+    return m.select("samples", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
 
 
 @query()

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -22,3 +24,23 @@ def materialise(df: DataFrame) -> DataFrame:
     path = folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ordered_digest(rows: DataFrame, key: str, name: str) -> DataFrame:
+    """``n`` and the SHA-256 of the sorted keys joined by newlines.
+
+    Keys are ranged over all tasks; one task then sorts and streams range after range, since the
+    digest is one chain. It holds a range at a time, whatever their number.
+    """
+    sorted_keys = rows.select(key).orderBy(key).coalesce(1)
+
+    def run(batches):
+        digest, n = hashlib.sha256(), 0
+        for b in batches:
+            keys = b.column(0).to_pylist()
+            if keys:
+                digest.update((("\n" if n else "") + "\n".join(keys)).encode())
+                n += len(keys)
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([digest.hexdigest()])], names=["n", name])
+
+    return sorted_keys.mapInArrow(run, f"n long, {name} string")
