@@ -20,7 +20,7 @@ def grams(text: Column, k: int = K_WORDS) -> Column:
 
 def reference(texts: DataFrame, text_col: str = "text", k: int = K_WORDS) -> DataFrame:
     """The distinct gram hashes of the reference texts."""
-    return texts.select(F.explode(grams(F.col(text_col), k)).alias("gram")).distinct()
+    return texts.select(F.explode_outer(grams(F.col(text_col), k)).alias("gram")).where("gram is not null").distinct()
 
 
 def overlap(docs: DataFrame, ref: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K_WORDS, ref_rows: int | None = None) -> DataFrame:
@@ -31,7 +31,8 @@ def overlap(docs: DataFrame, ref: DataFrame, id_col: str = "doc_id", text_col: s
     """
     rows = ref.count() if ref_rows is None else ref_rows
     ref = F.broadcast(ref) if rows <= BROADCAST_GRAMS else ref
-    exploded = docs.select(id_col, F.explode(grams(F.col(text_col), k)).alias("gram"))
+    # an inner explode would filter by the arrays' size first, which makes them twice
+    exploded = docs.select(id_col, F.explode_outer(grams(F.col(text_col), k)).alias("gram"))
     return exploded.join(ref, "gram", "left_semi").groupBy(id_col).agg(F.count("*").alias("n_shared"))
 
 

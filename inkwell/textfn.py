@@ -38,14 +38,15 @@ def strip(text: Column) -> Column:
 
 def ngrams(tokens: Column, n: int, whole_if_short: bool = False, hashed: bool = False) -> Column:
     """The distinct n-grams of an array of strings, joined by spaces; of fewer tokens none, or one
-    of them all if ``whole_if_short`` (none of no tokens). ``hashed`` gives their 64-bit hashes,
-    whose duplicates are found by a hash set; those of strings are found by comparing all pairs."""
-    of = F.xxhash64 if hashed else (lambda g: g)
+    of them all if ``whole_if_short`` (none of no tokens). ``hashed`` gives 64-bit hashes of the
+    tokens' hashes: no string is built, and duplicates are found by a hash set, not by comparing
+    all pairs."""
+    of = F.xxhash64 if hashed else (lambda g: F.array_join(g, " "))
     none = F.array().cast("array<bigint>" if hashed else "array<string>")
 
     def body(w: Column) -> Column:
-        grams = F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: of(F.array_join(F.slice(w, i, n), " ")))
-        short = F.array(of(F.array_join(w, " "))) if whole_if_short else none
+        grams = F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: of(F.slice(w, i, n)))
+        short = F.array(of(w)) if whole_if_short else none
         return F.when(F.size(w) >= n, F.array_distinct(grams)).when(F.size(w) > 0, short).otherwise(none)
 
-    return let(tokens, body)
+    return let(F.transform(tokens, lambda t: F.xxhash64(t)) if hashed else tokens, body)
