@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkwell import textfn
+from inkwell.sources import store
 
 K_WORDS = 13
 MIN_SHARED = 2
@@ -29,8 +30,10 @@ def overlap(docs: DataFrame, ref: DataFrame, id_col: str = "doc_id", text_col: s
     Only matching grams are shuffled when the reference is broadcast, which its counted size
     decides; a larger one joins by gram, which adaptive execution splits where a gram is hot.
     """
-    rows = ref.count() if ref_rows is None else ref_rows
-    ref = F.broadcast(ref) if rows <= BROADCAST_GRAMS else ref
+    if ref_rows is None:
+        ref = store.materialise(ref)  # counted and read, but made once
+        ref_rows = ref.count()
+    ref = F.broadcast(ref) if ref_rows <= BROADCAST_GRAMS else ref
     # an inner explode would filter by the arrays' size first, which makes them twice
     exploded = docs.select(id_col, F.explode_outer(grams(F.col(text_col), k)).alias("gram"))
     return exploded.join(ref, "gram", "left_semi").groupBy(id_col).agg(F.count("*").alias("n_shared"))
