@@ -216,3 +216,20 @@ def bootstrap_weights(rows: DataFrame, unit: str, samples: int) -> DataFrame:
     for p in cdf:
         weight = weight + F.when(u >= p, 1).otherwise(0)
     return rep.withColumn("w", weight).where("w > 0")
+
+
+def slice_auroc(rows: DataFrame, slices: Column, by: str = "slice") -> DataFrame:
+    """``by``, ``n``, AUROC of each slice a row is in (``slices``, an array of names) and, for a
+    slice of one class, the mean score instead."""
+    each = rows.select(F.explode(slices).alias(by), "label", "score")
+    c = curve(each, [by])
+    mean = F.sum(F.col("score") * (F.col("p") + F.col("neg"))) / F.sum(F.col("p") + F.col("neg"))
+    return c.groupBy(by).agg(F.sum(F.col("p") + F.col("neg")).alias("n"), _area().alias("auroc"), F.when(F.sum("p") * F.sum("neg") == 0, mean).alias("mean"))
+
+
+def agreement(rows: DataFrame, groups: list[str], max_mean: float = 0.01, max_any: float = 0.05) -> DataFrame:
+    """How well scores ``a`` and ``b`` of the same rows agree, per group: ``n``, Pearson, mean and
+    largest difference, and whether both stay within the limits."""
+    gap = F.abs(F.col("a") - F.col("b"))
+    r = rows.groupBy(*groups).agg(F.count("*").alias("n"), F.corr("a", "b").alias("pearson"), F.avg(gap).alias("mae"), F.max(gap).alias("max_diff"))
+    return r.withColumn("passes", (F.col("mae") <= max_mean) & (F.col("max_diff") <= max_any))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from inkwell.operators import filters, metrics, sampling
+from inkwell.operators import filters, joins, metrics, sampling
 from inkwell.plans.registry import LABELLED, SCORE, TYPES, docs_of, labelled, query, score, text_type
 
 _TPR = "round(avg(CASE WHEN y = 1 THEN (score > {t})::INT END), 6)"
@@ -127,3 +127,24 @@ def complete_generations(spark, sf_dir):
     i = F.col("doc_id")
     d = docs_of(spark, sf_dir).select((i % 40).alias("src"), F.concat(F.lit("g"), (i % 5).cast("string")).alias("model"), F.concat(F.lit("a"), (F.floor(i / 40) % 2).cast("string")).alias("attack"))
     return sampling.with_all(d, ["src", "model"], "attack", ["a0", "a1"]).groupBy("src", "model").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH x AS ({LABELLED}), s AS (SELECT label, score, unnest(['all', 'lang:' || lang, 'label:' || label]) AS slice FROM x)
+SELECT slice, count(*)::BIGINT AS n, min(label) = max(label) AS one_class,
+ round(CASE WHEN min(label) = max(label) THEN avg(score) END, 6) AS mean, any_value(p) AS auroc FROM s LEFT JOIN (SELECT a.slice, round(sum(CASE WHEN a.score > b.score THEN 1.0 WHEN a.score = b.score THEN 0.5 ELSE 0 END) / count(*), 6) AS p FROM s a JOIN s b ON a.slice = b.slice AND a.label = 1 AND b.label = 0 GROUP BY a.slice) USING (slice) GROUP BY slice""")
+def slice_auroc(spark, sf_dir):
+    names = F.array(F.lit("all"), F.concat(F.lit("lang:"), F.col("lang")), F.concat(F.lit("label:"), F.col("label").cast("string")))
+    r = metrics.slice_auroc(labelled(spark, sf_dir), names)
+    return r.select("slice", "n", F.col("auroc").isNull().alias("one_class"), F.round("mean", 6).alias("mean"), F.round("auroc", 6).alias("auroc"))
+
+
+@query(f"""WITH x AS (SELECT lang, {SCORE} AS a, {SCORE} + (doc_id % 7) * 0.002 * (CASE WHEN lang = 'de' THEN 3 ELSE 1 END) AS b FROM documents),
+s AS (SELECT lang, count(*)::BIGINT AS n, corr(a, b) AS c, avg(abs(a - b)) AS m, max(abs(a - b)) AS d FROM x GROUP BY lang)
+SELECT lang, n, round(c, 6) AS pearson, round(m, 6) AS mae, round(d, 6) AS max_diff, m <= 0.01 AND d <= 0.05 AS passes FROM s""")
+def runtime_agreement(spark, sf_dir):
+    """Two results of the same rows, aligned by id with the texts' hashes equal."""
+    d = docs_of(spark, sf_dir).select("doc_id", "lang", F.sha2("text", 256).alias("sha"), score().alias("score"))
+    off = (F.col("doc_id") % 7) * 0.002 * F.when(F.col("lang") == "de", 3).otherwise(1)
+    both = joins.aligned(d, d.withColumn("score", F.col("score") + off), "doc_id", "sha")
+    r = metrics.agreement(both, ["lang"])
+    return r.select("lang", "n", *[F.round(c, 6).alias(c) for c in ("pearson", "mae", "max_diff")], "passes")

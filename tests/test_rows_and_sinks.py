@@ -188,3 +188,41 @@ def test_requests_skip_failures_and_stop_at_refusals(spark):
 
     with pytest.raises(Exception, match="PermissionError"):
         sinks.run_requests(plan, refused).collect()
+
+
+def test_graded_scores_by_head(spark):
+    df = spark.createDataFrame([("seqcls", [0.0, 0.0, 50.0]), ("corn", [50.0, 50.0, -50.0])], "head string, x array<double>")
+    got = [r.s for r in df.select(decode.graded_score(F.col("x"), F.col("head")).alias("s")).collect()]
+    assert abs(got[0] - 1.0) < 1e-9 and abs(got[1] - 2 / 3) < 1e-9
+    with pytest.raises(Exception, match="unknown head"):
+        df.withColumn("head", F.lit("other")).select(decode.graded_score(F.col("x"), F.col("head"))).collect()
+
+
+def test_reports_manifests_and_top_ups(spark):
+    rows = [("train", "en", "human_written", "news", None, None), ("train", "en", "ai_edited", None, "m", 0.5), ("val", "ja", "ai_generated", None, "m", 0.25)]
+    shipped = spark.createDataFrame(rows, "split string, language string, text_type string, text_register string, model string, cost double")
+    dropped = spark.createDataFrame([("empty",), ("empty",), ("refusal",)], "drop_reason string")
+    hits = spark.createDataFrame([(2,), (9,), (4,)], "n_shared long")
+    r = {k: sorted(tuple(x) for x in v.collect()) for k, v in sinks.build_report(shipped, dropped, hits).items()}
+    assert r["splits"] == [("train", 2), ("val", 1)] and r["classes"] == [("en", 1, 0, 1), ("ja", 0, 1, 0)]
+    assert r["registers"] == [("en", "news", 1)] and r["drops"] == [("empty", 2), ("refusal", 1)]
+    assert r["overlap"] == [(3, 9, 4)] and r["cost"] == [("m", 2, 0.75)]
+    p = spark.createDataFrame([("en", "p1", "do"), ("en", "p1", "do")], "language string, prompt_id string, text string")
+    assert [tuple(x) for x in sinks.prompt_manifest(p, p, p).orderBy("kind").collect()] == [(k, "en", "p1", "do") for k in ("edit", "mirror", "system")]
+    pool = spark.createDataFrame([(i,) for i in range(6)], "k int")
+    assert sorted(x.k for x in sinks.top_up(pool, pool.where("k < 2"), ["k"], 3, ["k"]).collect()) == [2, 3, 4]
+
+
+def test_empty_frames(spark):
+    none = spark.createDataFrame([], "g string, label int, score double")
+    for f in (metrics.auroc, metrics.detection):
+        assert f(none, ["g"]).count() == 0
+    assert metrics.tpr_variants(none, ["g"], 0.05).count() == 0
+    assert metrics.conformal_threshold(none, ["g"], 0.05).count() == 0
+    assert ranking.with_average_rank(none, ["g"], "score", "r").columns == ["g", "label", "score", "r"]
+
+
+def test_null_group_keeps_its_ranks(spark):
+    df = spark.createDataFrame([(None, 1.0), (None, 1.0), (None, 2.0), ("a", None), ("a", 3.0)], "g string, x double")
+    got = sorted(((r.g or "", r.x or 0.0, r.k) for r in ranking.with_average_rank(df, ["g"], "x", "k").collect()), key=repr)
+    assert got == [("", 1.0, 1.5), ("", 1.0, 1.5), ("", 2.0, 3.0), ("a", 0.0, None), ("a", 3.0, 1.0)]
