@@ -233,3 +233,30 @@ def agreement(rows: DataFrame, groups: list[str], max_mean: float = 0.01, max_an
     gap = F.abs(F.col("a") - F.col("b"))
     r = rows.groupBy(*groups).agg(F.count("*").alias("n"), F.corr("a", "b").alias("pearson"), F.avg(gap).alias("mae"), F.max(gap).alias("max_diff"))
     return r.withColumn("passes", (F.col("mae") <= max_mean) & (F.col("max_diff") <= max_any))
+
+
+def calibration(val: DataFrame, test: DataFrame, fpr: float = 0.01, least: float | None = None, steps: int = 1000) -> DataFrame:
+    """One row: ``flip``, ``score_min``, ``score_max``, ``h_thresh``, ``ai_thresh``, ``binary_threshold``,
+    ``binding`` and the ``macro_f1`` on ``test`` (both with ``group``, ``label`` 0 human, 1 generated,
+    2 edited, and ``score``).
+
+    Scores are oriented and scaled by the range of ``val``; the binary threshold is the largest of the
+    human groups' at ``fpr``, ties to the smaller name. A test macro-F1 of ``least`` or under fails.
+    """
+    fit = store.materialise(fit_scale(val, []))
+    inside = F.least(F.greatest(scaled(), F.lit(0.0)), F.lit(1.0))
+    both = [x.join(F.broadcast(fit)).withColumn("score", inside) for x in (val, test)]  # fit is one row
+    v = store.materialise(both[0].select("group", "label", "score"))
+    human = best_threshold(v.withColumn("label", (F.col("label") > 0).cast("int")), steps).select(F.col("threshold").alias("h_thresh"))
+    ai = best_threshold(v.withColumn("label", (F.col("label") == 1).cast("int")), steps).select(F.col("threshold").alias("ai_thresh"))
+    cuts = store.materialise(quantile_threshold(v.where("label = 0"), ["group"], fpr))
+    top = cuts.orderBy(F.desc("threshold"), "group").limit(1).select(F.col("threshold").alias("binary_threshold"), F.col("group").alias("binding"))
+    out = fit.select((F.col("sign") < 0).alias("flip"), F.col("low").alias("score_min"), F.col("high").alias("score_max"))
+    for one in (human, ai, top):
+        out = out.join(F.broadcast(one))
+    out = store.materialise(out)
+    called = both[1].join(F.broadcast(out.select("h_thresh", "ai_thresh"))).withColumn("pred", decode.ternary(F.col("score"), F.col("h_thresh"), F.col("ai_thresh")))
+    f1 = F.col("macro_f1")
+    if least is not None:
+        f1 = F.when(f1 > least, f1).otherwise(F.raise_error(F.lit("the calibration misses its check on test")).cast("double"))
+    return out.join(F.broadcast(ternary_report(called, [], "label", "pred").select(f1.alias("macro_f1"))))
