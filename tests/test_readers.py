@@ -110,3 +110,28 @@ def test_calibration_checks_itself(spark):
     wrong = d.withColumn("label", (F.col("label") + 1) % 3)
     with pytest.raises(Exception, match="misses its check"):
         metrics.calibration(d, wrong, least=0.8).collect()
+
+
+def test_rows_of_the_other_sources(spark):
+    def one(name, row, schema):
+        (r,) = readers.human_rows(spark.createDataFrame([row], schema), readers.SOURCES[name]).collect()
+        return r
+
+    r = one("editlens", (WORDS, "news", "9", "human_written"), "text string, source string, source_id string, text_type string")
+    assert (r["text_register"], r["source_id"], r["meta"]["sub_source"]) == ("journalistic", "9", "news")
+    r = one("wiki40b-ja", (f"_START_ARTICLE_ 題 _START_PARAGRAPH_ {KANJI}", "b'Q1'", "5"), "text string, wikidata_id string, version_id string")
+    assert (r["text"], r["source_id"], r["meta"]["topic"]) == (KANJI, "Q1@5", "題")
+    r = one("amazon-reviews-ja", (KANJI + "a", "3", 4), "text string, id string, label int")
+    assert (r["meta"]["rating"], r["meta"]["cjk"], r["meta"]["length"]) == (4, 160, 161)
+    r = one("wikinews-ja", ("【2008年2月3日】" + KANJI, 1, 2, "t", "2009-05-06T00:00:00Z"), "body string, pageid long, revid long, title string, timestamp string")
+    assert (r["text"], r["source_id"], r["meta"]["pub_date"]) == (KANJI, "1@2", "2008-02-03")
+    r = one("arxiv-abstracts", (f" {WORDS}\n", "x/1", "2001-02-03T04:05"), "text string, id string, created string")
+    assert (r["text"], r["meta"]["created"]) == (WORDS, "2001-02-03")
+    r = one("wikinews-en", ([WORDS, "", "end"], 7, "t", "2010-01-01", "en"), "text array<string>, pageid long, title string, date string, lang string")
+    assert (r["text"], r["source_id"]) == (WORDS + "\nend", "7")
+    r = one("amazon-reviews-en", (WORDS, "p", "u", 5.0, "Books"), "text string, parent_asin string, user_id string, rating double, category string")
+    assert (r["source_id"], r["meta"]["category"]) == ("p/u", "Books")
+    r = one("stackexchange", ("q" * 300, WORDS, "site"), "INSTRUCTION string, RESPONSE string, SOURCE string")
+    assert len(r["source_id"]) == 16 and len(r["meta"]["question"]) == 200
+    r = one("reddit-l2", (WORDS, "ask", "i", "t", "Spain"), "body string, subreddit string, id string, title string, country string")
+    assert (r["source_id"], r["text_register"]) == ("ask/i", "casual")
