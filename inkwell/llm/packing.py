@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left, bisect_right
-from itertools import accumulate
+from bisect import bisect_left, insort
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -50,33 +50,49 @@ def pieces(
 
 
 def undominated_fillings(largest: int, counts: dict[int, int], capacity: int, limit: int):
-    """Fillings of a bin around its ``largest`` item, least waste first, at most ``limit`` looked at.
+    """Fillings of a bin around its ``largest`` item: of all, the ``limit`` with the least waste.
 
     A filling is a tuple of (length, times) in descending length. One is dominated if another
-    item still left would fit into its rest, so only maximal ones come: adding is always tried
-    before leaving out.
+    item still left would fit into its rest, so only maximal ones come. Sums that can be reached
+    are bits of integers, one a length, so each waste is tried in turn and only fillings that
+    have it are walked; of equal waste, those with fewer short items come first.
     """
-    lengths = sorted((x for x, n in counts.items() if n > (x == largest)), reverse=True)
-    left = {x: counts[x] - (x == largest) for x in lengths}
-    found: list[tuple[int, tuple]] = []
-    budget = 16 * limit
-
-    def search(i: int, room: int, chosen: tuple) -> None:
-        nonlocal budget
-        budget -= 1
-        used = dict(chosen)
-        if not any(x <= room and used.get(x, 0) < left[x] for x in lengths):
-            found.append((room, chosen))
+    room = capacity - largest
+    lengths = sorted((x for x, n in counts.items() if x <= room and n > (x == largest)), reverse=True)
+    left = [counts[x] - (x == largest) for x in lengths]
+    mask, reach = (1 << (room + 1)) - 1, [1]  # reach[j]: the sums of lengths[:j]
+    for x, n in zip(lengths, left):
+        sums, n, part = reach[-1], min(n, room // x), 1
+        while n:
+            part = min(part, n)
+            sums |= sums << (part * x) & mask
+            n, part = n - part, 2 * part
+        reach.append(sums)
+
+    def walk(i: int, need: int, chosen: tuple):
+        if not need:
+            yield chosen
             return
-        for j in range(i, len(lengths)):
-            x = lengths[j]
-            for k in range(min(left[x], room // x), 0, -1):
-                if budget <= 0 or len(found) >= limit or (found and found[-1][0] == 0):
-                    return
-                search(j + 1, room - k * x, (*chosen, (x, k)))
-
-    search(0, capacity - largest, ())
-    return [f for _, f in sorted(found, key=lambda f: f[0])] or [()]
+        first = bisect_left(reach, 1, 0, i, key=lambda sums: sums >> need & 1)
+        for j in range(first, i + 1):  # lengths[j - 1] is the shortest in it; the longer ones come first
+            x = lengths[j - 1]
+            for k in range(1, min(left[j - 1], need // x) + 1):
+                if reach[j - 1] >> (need - k * x) & 1:
+                    yield from walk(j - 1, need - k * x, ((x, k), *chosen))
+
+    def by_waste():
+        j, forced, filled = len(lengths), (), 0  # what would fit into the waste is all in the bin
+        for waste in range(room + 1):
+            while j and lengths[j - 1] <= waste:
+                j -= 1
+                forced, filled = ((lengths[j], left[j]), *forced), filled + lengths[j] * left[j]
+            need = room - waste - filled
+            if need < 0:
+                return
+            if reach[j] >> need & 1:
+                yield from walk(j, need, forced)
+
+    return list(islice(by_waste(), limit))
 
 
 def best_fit(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, tuple]]:
@@ -126,61 +142,121 @@ def best_fit(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int
     return [(times, filling) for groups in by_room.values() for times, filling in groups]
 
 
+def best_fit_bins(counts: dict[int, int], capacity: int, enough: int) -> int:
+    """The number of bins of ``best_fit``, or any number from ``enough`` on if it is that or more.
+
+    Bins of equal room are alike for the number, so they are counted together.
+    """
+    by_room: dict[int, int] = {}
+    rooms: list[int] = []  # the keys of by_room, sorted; rooms that no length fits into are left out
+    bins, least = 0, min(counts, default=0)
+
+    def put(room: int, times: int) -> None:
+        if room < least or not times:
+            return
+        if room not in by_room:
+            by_room[room] = times
+            insort(rooms, room)
+        else:
+            by_room[room] += times
+
+    for length in sorted(counts, reverse=True):
+        n = counts[length]
+        while n and (at := bisect_left(rooms, length)) < len(rooms):
+            room = rooms.pop(at)
+            times, fit = by_room.pop(room), room // length
+            full = min(times, n // fit)
+            put(room - fit * length, full)
+            n -= full * fit
+            if full < times:
+                put(room - n * length, 1 if n else 0)
+                put(room, times - full - (n > 0))
+                n = 0
+        if n:
+            per = capacity // length
+            full, rest = divmod(n, per)
+            bins += full + (rest > 0)
+            if bins >= enough:
+                return bins
+            put(capacity - per * length, full)
+            put(capacity - rest * length, 1 if rest else 0)
+    return bins
+
+
 def lower_bound(counts: dict[int, int], capacity: int = CAPACITY) -> int:
     """No packing has fewer bins: the volume bound and, for every threshold, the bound that
     items above capacity - k stand alone and those over half share no bin."""
-    total = sum(x * n for x, n in counts.items())
-    bound = -(-total // capacity)
-    lengths = sorted(counts)
-    number = [0, *accumulate(counts[x] for x in lengths)]
-    volume = [0, *accumulate(x * counts[x] for x in lengths)]
-    half = bisect_right(lengths, capacity // 2)
-    for i in range(half):
-        k = lengths[i]
-        big = bisect_right(lengths, capacity - k)  # from here on: alone but for items under k
-        alone = number[-1] - number[big]
-        halves = number[big] - number[half]
-        volume_mid = volume[big] - volume[half]
-        rest = max(0, (volume[half] - volume[i]) - (halves * capacity - volume_mid))
-        bound = max(bound, alone + halves + -(-rest // capacity))
+    if not counts:
+        return 0
+    lengths = np.array(sorted(counts), dtype=np.int64)
+    n = np.array([counts[x] for x in lengths.tolist()], dtype=np.int64)
+    number, volume = np.concatenate([[0], np.cumsum(n)]), np.concatenate([[0], np.cumsum(n * lengths)])
+    bound = -(-int(volume[-1]) // capacity)
+    half = int(np.searchsorted(lengths, capacity // 2, side="right"))
+    if half:
+        big = np.searchsorted(lengths, capacity - lengths[:half], side="right")  # from here on: alone but for items under k
+        alone, halves = number[-1] - number[big], number[big] - number[half]
+        rest = np.maximum(0, volume[half] - volume[:half] - (halves * capacity - (volume[big] - volume[half])))
+        bound = max(bound, int((alone + halves - (-rest // capacity)).max()))
     return bound
 
 
-def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, evaluations: int = 120, width: int = 8) -> list[tuple[int, tuple]]:
+def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, evaluations: int = 48_000, width: int = 24) -> list[tuple[int, tuple]]:
     """Pack a histogram of lengths: the best of best-fit and a branch-and-bound by bin completion.
 
     The best-fit packing is the incumbent; if it meets the lower bound it is optimal and no
     search is needed. Otherwise each node fills bins around the largest length left with one of
-    the undominated fillings (least waste first, at most ``width``), as often as the counts
-    allow, and is pruned when the bins so far and the lower bound of the rest reach the
-    incumbent. Best fit completes every child, so each may give a new incumbent. At most
-    ``evaluations`` children are looked at; the result is always whole.
+    the undominated fillings (the ``width`` with the least waste), as often as the counts allow,
+    and is pruned when the bins so far and the lower bound of the rest reach the incumbent. Best
+    fit completes every node, so each may give a new incumbent. The search goes depth first and
+    ends at the lower bound, when all is tried, or after ``evaluations`` nodes (2000 times 24)
+    without a new incumbent; the result is always whole. What is left is made again from the
+    steps to a node, so only steps are held.
     """
     counts = {x: n for x, n in counts.items() if n}
     if not counts:
         return []
     best, bound = best_fit(counts, capacity), lower_bound(counts, capacity)
     fewest, budget = sum(t for t, _ in best), evaluations
-    stack = [(counts, 0, [])]
+
+    def take(left: dict[int, int], times: int, filling: tuple) -> None:
+        for x, k in filling:
+            left[x] -= times * k
+            if not left[x]:
+                del left[x]
+
+    def steps(node: tuple | None):
+        while node:
+            yield node[:2]
+            node = node[3]
+
+    def children(node: tuple | None, left: dict[int, int]):
+        if left:
+            largest = max(left)
+            for filling in reversed(undominated_fillings(largest, left, capacity, width)):
+                need = dict(filling)
+                need[largest] = need.get(largest, 0) + 1
+                yield node, tuple(sorted(need.items(), reverse=True))
+
+    left, at = dict(counts), None  # a node is (times, filling, bins so far, the node before)
+    stack = [*children(at, left)]
     while stack and budget > 0 and fewest > bound:
-        left, used, plan = stack.pop()
-        if not left or used + lower_bound(left, capacity) >= fewest:
+        parent, filling = stack.pop()
+        budget -= 1
+        if parent is not at:
+            left = dict(counts)
+            for step in steps(parent):
+                take(left, *step)
+        times = min(left[x] // k for x, k in filling)
+        take(left, times, filling)
+        used = times + (parent[2] if parent else 0)
+        at = (times, filling, used, parent)
+        if used + lower_bound(left, capacity) >= fewest:
             continue
-        largest = max(left)
-        children = []
-        for filling in undominated_fillings(largest, left, capacity, width):
-            budget -= 1
-            need = dict(filling)
-            need[largest] = need.get(largest, 0) + 1
-            times = min(left[x] // k for x, k in need.items())
-            rest = {x: n - times * need.get(x, 0) for x, n in left.items() if n > times * need.get(x, 0)}
-            step = [*plan, (times, tuple(sorted(need.items(), reverse=True)))]
-            tail = best_fit(rest, capacity)
-            total = used + times + sum(t for t, _ in tail)
-            if total < fewest:
-                best, fewest = [*step, *tail], total
-            children.append((rest, used + times, step))
-        stack.extend(reversed(children))
+        total = used + best_fit_bins(left, capacity, fewest - used)
+        if total < fewest:
+            best, fewest, budget = [*steps(at), *best_fit(left, capacity)], total, evaluations
+        stack.extend(children(at, left))
     return best
 
 

@@ -65,6 +65,54 @@ def test_best_fit_of_a_large_histogram():
     assert len(packing.best_fit(counts)) <= 3 * 4096
 
 
+def maximal(lengths, left, room):
+    """The wastes and fillings of a bin to which nothing left can be added, by trying them all."""
+    for ks in itertools.product(*[range(n + 1) for n in left]):
+        rest = room - sum(x * k for x, k in zip(lengths, ks))
+        if rest >= 0 and not any(x <= rest and k < n for x, k, n in zip(lengths, ks, left)):
+            yield rest, tuple((x, k) for x, k in zip(lengths, ks) if k)
+
+
+def test_fillings_are_the_least_waste_of_all():
+    rng = random.Random(12)
+    for _ in range(200):
+        capacity = rng.randint(8, 40)
+        counts = {x: rng.randint(1, 4) for x in rng.sample(range(1, capacity + 1), rng.randint(1, min(6, capacity)))}
+        largest = max(counts)
+        lengths = sorted(counts, reverse=True)
+        want = sorted(maximal(lengths, [counts[x] - (x == largest) for x in lengths], capacity - largest))
+        waste = lambda f: capacity - largest - sum(x * k for x, k in f)
+        for limit in (1, 3, 10**6):
+            got = packing.undominated_fillings(largest, counts, capacity, limit)
+            assert [waste(f) for f in got] == [w for w, _ in want[:limit]] and len(set(got)) == len(got)
+            assert {(waste(f), f) for f in got} <= set(want)
+
+
+def test_bin_completion_is_optimal_as_it_is_called():
+    rng = random.Random(4)
+    better = 0
+    for _ in range(150):
+        capacity = rng.choice([20, 30, 60])
+        counts = Counter(rng.randint(capacity // 6, capacity // 2) for _ in range(rng.randint(6, 11)))
+        n = check_plan(packing.bin_completion(counts, capacity), counts, capacity)
+        assert n == fewest(counts.elements(), capacity)
+        better += n < sum(t for t, _ in packing.best_fit(counts, capacity))
+    assert better
+    for seed in range(2):  # best fit takes 3 or 4 bins more than the lower bound
+        rng = random.Random(seed)
+        counts = Counter(rng.randint(700, 1500) for _ in range(300))
+        assert check_plan(packing.bin_completion(counts), counts, 4096) == packing.lower_bound(counts)
+
+
+def test_bins_of_best_fit_and_lower_bound():
+    rng = random.Random(8)
+    for _ in range(100):
+        capacity = rng.choice([20, 100, 4096])
+        counts = {x: rng.choice([1, 2, 5, 1000]) for x in rng.sample(range(1, capacity + 1), rng.randint(1, min(capacity, 60)))}
+        bins = sum(t for t, _ in packing.best_fit(counts, capacity))
+        assert packing.lower_bound(counts, capacity) <= packing.best_fit_bins(counts, capacity, 10**9) == bins
+
+
 def test_packing_round_trip(odd, odd_rows):
     path = vocabulary("word_bpe_49k.json")
     library = tokens.load(path)
