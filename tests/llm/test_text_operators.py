@@ -181,5 +181,13 @@ def test_added_spans_leave_prose_alone(spark):
     assert added <= 5
 
 
+def test_pii_spelled_out_addresses_in_texts_without_digits(spark):
+    texts = ["mail john at example[dot]com", "write ann at example(dot)org", "contact bob at example.com", "mail eve(at)example.net"]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(100 + i, t + " ok 7") for i, t in enumerate(texts)]
+    got = {r.doc_id: [tuple(s) for s in r.added] for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i] == got[100 + i] for i in range(len(texts)))  # a digit elsewhere changes nothing
+    assert got[0] == [(5, 1, len(texts[0]))] and got[1] == [(6, 1, len(texts[1]))]
+
+
 def test_pii_empty(empty):
     assert pii.digest(pii.find_pii(empty)).count() == 0
