@@ -35,6 +35,15 @@ CANDIDATES = {
     "ip": (r"[0-9] ?[\[(]\.[\])] ?[0-9]", r"(?<![0-9])[0-9]{1,3}+(?: ?[\[(]?\.[\])]? ?[0-9]{1,3}+){3}(?![0-9])"),
     "number": (r"[0-9](?:[ ().-]{0,3}[0-9]){8}", r"(?<![0-9A-Za-z+.-])\(?[0-9](?:[ ().-]{0,3}+[0-9])++"),
 }
+_END = "(?![0-9])"
+#: Shapes inside a run of numbers: a phone, plain digits, a card in fours, a card of fifteen. Each is
+#: looked for at every start of a number, and no string has two of them.
+SHAPES = (
+    rf"\(?[0-9]{{3}}\)?[ .-]{{1,2}}[0-9]{{3}}[ .-][0-9]{{4}}{_END}",
+    rf"[0-9]{{9,19}}{_END}",
+    rf"[0-9]{{4}}(?:[ ().-]{{1,3}}[0-9]{{4}}){{2}}[ ().-]{{1,3}}[0-9]{{2,4}}{_END}",
+    rf"[0-9]{{4}}[ ().-]{{1,3}}[0-9]{{6}}[ ().-]{{1,3}}[0-9]{{5}}{_END}",
+)
 _CONTEXT = 24
 _SPAN = "array<struct<start:int,end:int,m:string>>"
 
@@ -56,6 +65,22 @@ def located(text: Column, pattern: str) -> Column:
     return F.aggregate(F.filter(pairs, lambda p: p["m"].isNotNull()), none, step, lambda acc: acc["out"])
 
 
+def located_ahead(text: Column, shape: str) -> Column:
+    """The matches of ``shape`` at every start of a number; they may overlap."""
+    pattern = rf"(?<![0-9])(?=({shape}))\(?[0-9]"
+    longer = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
+    return F.zip_with(
+        located(text, pattern), longer, lambda s, m: F.struct(s["start"].alias("start"), (s["start"] + F.length(m)).alias("end"), m.alias("m"))
+    )
+
+
+def _inside(text: Column, runs: Column) -> Column:
+    """The shapes inside ``runs`` that are not a whole run."""
+    shapes = F.concat(*[located_ahead(text, shape) for shape in SHAPES])
+    part = lambda r, s: (r["start"] <= s["start"]) & (s["end"] <= r["end"]) & ((r["start"] < s["start"]) | (s["end"] < r["end"]))
+    return F.filter(shapes, lambda s: F.exists(runs, lambda r: part(r, s)))
+
+
 def _found(text: Column, test: str, pattern: str) -> Column:
     return F.when(text.rlike(test), located(text, pattern)).otherwise(F.array().cast(_SPAN))
 
@@ -127,12 +152,15 @@ def _proposal(text: Column, kind: str):
     return one
 
 
-def candidates(text: Column) -> Column:
-    """Proposed spans of all generators with their features; they may overlap."""
+def candidates(text: Column, inside: bool = True) -> Column:
+    """Proposed spans of all generators with their features; they may overlap. ``inside`` adds the
+    parts of a known shape inside runs of numbers."""
     parts = []
     for kind, (test, pattern) in CANDIDATES.items():
         spans = _found(text, test, pattern)
         if kind == "number":
+            if inside:  # a run joins neighbours, so its parts are proposed too, from runs of any length
+                parts.append(F.transform(F.when(text.rlike(test), _inside(text, spans)).otherwise(F.array().cast(_SPAN)), _proposal(text, kind)))
             spans = F.filter(spans, lambda s: F.length(digits(s["m"])).between(9, 19))
         parts.append(F.transform(spans, _proposal(text, kind)))
     return F.concat(*parts)
@@ -188,12 +216,14 @@ def fit(spark: SparkSession, examples: int = 3000, seed: int = 11, precision: fl
 
     The examples are made by rule (there are no labelled spans to learn from); a third is held
     out, and a kind's threshold is the lowest score at which ``precision`` of its held-out
-    candidates from there on are personal. Features come from the same SQL that scores.
+    candidates from there on are personal. Features come from the same SQL that scores. An example
+    has one label, so parts inside runs of numbers are not learned from: the thresholds are not
+    calibrated on them.
     """
     key = (examples, seed, precision)
     if key not in _models:
         made = spark.createDataFrame(_examples(examples, seed), "n int, text string, label int")
-        rows = made.select("n", "label", F.explode(candidates(F.col("text"))).alias("c")).select("n", "label", "c.kind", "c.x").collect()
+        rows = made.select("n", "label", F.explode(candidates(F.col("text"), inside=False)).alias("c")).select("n", "label", "c.kind", "c.x").collect()
         rows.sort(key=lambda row: (row["n"], row["kind"], row["x"]))
         x, y = np.array([row["x"] for row in rows]), np.array([row["label"] for row in rows], dtype=float)
         kind, held = np.array([row["kind"] for row in rows]), np.array([row["n"] // 2 % 3 == 0 for row in rows])

@@ -189,5 +189,19 @@ def test_pii_spelled_out_addresses_in_texts_without_digits(spark):
     assert got[0] == [(5, 1, len(texts[0]))] and got[1] == [(6, 1, len(texts[1]))]
 
 
+def test_pii_numbers_next_to_each_other(spark):
+    a, b, card = "650-555-1234", "(650) 555-9876", "4111.1111.1111.1111"
+    rows = [(1, f"{a} 650-555-9876"), (2, f"{a} {b}"), (3, f"in 2024 {a}"), (4, f"{a} {b} {a}"), (5, f"card {card} {a}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    proposed = {r.doc_id: [tuple(c)[:3] for c in r.c] for r in df.select("doc_id", pii.candidates(F.col("text")).alias("c")).collect()}
+    added = {r.doc_id: sorted(tuple(s) for s in r.added) for r in pii.find_pii(df).collect()}
+    at = lambda i, s, kind, nth=0: (rows[i - 1][1].index(s, nth), kind, rows[i - 1][1].index(s, nth) + len(s))
+    phones = {1: [at(1, a, 4), at(1, "650-555-9876", 4)], 2: [at(2, a, 4), at(2, b, 4)], 3: [at(3, a, 4)], 4: [at(4, a, 4), at(4, b, 4), at(4, a, 4, 5)]}
+    for i, want in phones.items():
+        assert added[i] == want and set(want) <= set(proposed[i])
+    assert {at(5, card, 3), at(5, a, 4)} <= set(proposed[5])
+    assert all(len(set(p)) == len(p) for p in proposed.values())
+
+
 def test_pii_empty(empty):
     assert pii.digest(pii.find_pii(empty)).count() == 0
