@@ -13,6 +13,11 @@ def test_greedy_dedup_keeps_the_end_of_a_chain(spark):
     assert sorted(r.id for r in dedup.greedy_keep(pairs, store.materialise).collect()) == [2, 5, 6]
 
 
+def test_greedy_dedup_of_a_long_chain(spark):
+    pairs = spark.createDataFrame([(i, i + 1) for i in range(1, 120)], "a long, b long").coalesce(1)
+    assert sorted(r.id for r in dedup.greedy_keep(pairs, store.materialise).collect()) == list(range(2, 121, 2))
+
+
 def test_gates_in_order(spark):
     rows = [
         (1, " ", "ai_generated", "en", "x", "stop", "empty"),
