@@ -88,6 +88,12 @@ def gate_first_failure(spark, sf_dir):
     return _gate_rows(spark, sf_dir).where("language = 'en'").select("doc_id", gates.drop_reason().alias("drop_reason"))
 
 
+@query()
+def gate_first_failure_all(spark, sf_dir):
+    """Every document's verdict, whatever its language; ``gate_first_failure`` is the English part, with SQL."""
+    return _gate_rows(spark, sf_dir).select("doc_id", gates.drop_reason().alias("drop_reason"))
+
+
 _SETS = r"""WITH t AS (SELECT doc_id, lang, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM documents),
 s AS (SELECT doc_id, lang, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, (len(w) - 3)::BIGINT), lambda i: array_to_string(w[i:i+4], ' '))) ELSE [array_to_string(w, ' ')] END AS g FROM t WHERE len(w) > 0),
 k AS (SELECT min(doc_id) AS id, lang, any_value(g) AS g FROM (SELECT doc_id, lang, list_sort(g) AS g FROM s) GROUP BY lang, g),

@@ -1,9 +1,13 @@
 """Cases that the tables don't hold: chains, scripts, wrappers, metric laws."""
 
+import random
+import re
+
 from pyspark.sql import functions as F
 
 from inkwell.functions import cleaning, decode
 from inkwell.operators import dedup, gates, metrics, sampling
+from inkwell.plans import catalog
 from inkwell.sources import passages, store
 from inkwell.textfn import word_count
 
@@ -18,6 +22,47 @@ def test_greedy_dedup_of_a_long_chain(spark):
     assert sorted(r.id for r in dedup.greedy_keep(pairs, store.materialise).collect()) == list(range(2, 121, 2))
 
 
+def first_gate(text, kind, lang, src, finish):
+    """The first gate a row fails, in plain Python."""
+    ai, en = kind != "human_written", lang == "en"
+    size = lambda t: len(re.findall(r"\w+", t)) if en else len(re.findall("[\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f]", t))
+    units = lambda t: re.findall(r"\w+", t.lower()) if en else list(re.sub(r"\s+", "", t))
+    n = gates.COPY_WORDS if en else gates.COPY_CHARS
+    grams = lambda t: {tuple(units(t)[i : i + n]) for i in range(len(units(t)) - n + 1)}
+    if ai and not text.strip():
+        return "empty"
+    if ai and finish == "length":
+        return "truncated"
+    if ai and any(p in text[:200].lower() for p in gates.REFUSALS):
+        return "refusal"
+    if ai and lang == "zh-tw" and size(text) and sum(c in gates.SIMPLIFIED for c in text) / size(text) > gates.SIMPLIFIED_SHARE:
+        return "wrong_script_simplified"
+    if kind == "ai_generated" and src:
+        if size(src) and not gates.LENGTH_BAND[0] <= size(text) / size(src) <= gates.LENGTH_BAND[1]:
+            return "length_mismatch"
+        if grams(text) & grams(src):
+            return "regurgitation"
+    if kind == "ai_edited" and src and text.strip() == src.strip():
+        return "noop_edit"
+    return None
+
+
+def test_gates_of_every_language(spark, tmp_path):
+    rng = random.Random(3)
+    han = lambda n: "".join(rng.choice("東京都議會今天決定水火木金土日月山川") for _ in range(n))
+    copied, latin = han(40), "un deux trois quatre cinq six sept huit neuf dix onze douze treize"
+    texts = [(0, han(50), "zh-tw"), (1, han(200), "zh-tw"), (2, "们这国说时" + han(20), "zh-tw"), (3, copied + han(9), "ja"), (4, han(5) + copied, "ja"),
+             (6, latin, "fr"), (7, latin, "fr"), (8, latin, "fr"), (9, latin, None), (10, latin + " x", None), (11, latin, "de"), (12, han(60), None), (13, han(8), None),
+             (14, "I cannot help", "de"), (15, latin, "en"), (16, latin, "en")]
+    spark.createDataFrame(texts, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.drop_reason for r in catalog.QUERIES["gate_first_failure_all"](spark, str(tmp_path)).collect()}
+    by_id = {i: t for i, t, _ in texts}
+    kinds = ["human_written", "ai_generated", "ai_edited"]
+    want = {i: first_gate(t, kinds[i % 3], lang, by_id.get(i - 1), "length" if i % 11 == 0 else "stop") for i, t, lang in texts}
+    assert got == want
+    assert {"length_mismatch", "wrong_script_simplified", "regurgitation", "noop_edit", "refusal", "truncated", None} <= set(want.values())
+
+
 def test_gates_in_order(spark):
     rows = [
         (1, " ", "ai_generated", "en", "x", "stop", "empty"),
