@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -18,10 +19,13 @@ _written: list[str] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where it is unset (tests, a laptop), a temporary folder of this machine is used and set.
+    Where it is unset and all runs in one process (tests, a laptop), a temporary folder of this
+    machine is used and set; a cluster without a shared folder is refused.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir is unset: executors need a folder that all of them and the driver share")
         path = "file://" + tempfile.mkdtemp(prefix="inkwell-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -38,20 +42,39 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(spark)}/inkwell-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
 
 
-def release(spark: SparkSession) -> int:
-    """Delete what ``materialise`` wrote in this process; returns the number of folders.
+def written() -> int:
+    """How many folders of ``materialise`` there are; a mark for ``release``."""
+    return len(_written)
+
+
+def release(spark: SparkSession, since: int = 0, keep: DataFrame | None = None) -> int:
+    """Delete what ``materialise`` wrote in this process after the mark ``since``, but for the
+    folder that ``keep`` reads; returns the number of folders.
 
     Results that still read those folders must have been written before.
     """
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    n = 0
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        n += bool(path.getFileSystem(conf).delete(path, True))
-    return n
+    own = getattr(keep, "written_to", None)
+    gone = [p for p in _written[since:] if p != own]
+    _written[since:] = [p for p in _written[since:] if p == own]
+    return sum(_delete(spark, p) for p in gone)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the folder of a materialised frame that nothing reads any more."""
+    path = getattr(df, "written_to", None)
+    if path in _written:
+        _written.remove(path)
+        _delete(df.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True))
 
 
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -69,5 +92,10 @@ def unit_hash(seed: int, *cols: Column) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    """Words of a text as long; 0 for null."""
-    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+    """Words of a text as long; 0 for null.
+
+    Each word, with the white space before it, becomes one character, so no array of the words
+    of a long text is built.
+    """
+    marks = F.rtrim(F.regexp_replace(text, r"[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++", "x"), F.lit(" \t\n\x0b\x0c\r"))
+    return F.coalesce(F.length(marks), F.lit(0)).cast("long")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkwell.llm import ann, langid, lines, mixing, packing, pii, quality, repeats, simhash, tokens
-from inkwell.llm.common import word_count
+from inkwell.llm.common import materialise, word_count
 
 
 def vocabulary(name: str) -> str:
@@ -25,8 +25,8 @@ def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size"))
-    mixed = mixing.mix(docs, F.col("size"))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("same"))
+    mixed = mixing.mix(materialise(docs, "words"), F.col("size"), identity=("same",))
     return mixed.select("doc_id", "size", "mix.source_size", "mix.target", (F.col("size") * F.col("mix.copies")).alias("taken"))
 
 
