@@ -5,17 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import materialise
+from inkwell.llm.common import discard, materialise
 
 #: Up to so many edges, the table of minima (two rows an edge at most) is broadcast.
 STAR_BROADCAST_EDGES = 500_000
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """Label the nodes of ``edges`` (columns ``u``, ``v``, long) with their smallest reachable node.
 
-    Alternates large-star and small-star contraction, O(log n) rounds, each written to the
-    shared folder. Returns ``node``, ``component`` for every node but the smallest of each
+    Alternates large-star and small-star contraction until nothing changes, O(log n) rounds, each
+    written to the shared folder in place of the one before. Returns ``node``, ``component`` for every node but the smallest of each
     component; isolated nodes, self-loops and edges with a null end give no row. An empty edge
     list gives an empty result. Hubs are safe: minima are aggregated before they are shuffled,
     and joins read written tables, so adaptive execution splits a hub's rows.
@@ -27,13 +27,14 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     )
     e = materialise(e, "edges")
     before = None
-    for _ in range(max_rounds):
+    while True:
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before or not now[0]:
             break
-        before, few = now, now[0] <= STAR_BROADCAST_EDGES
+        before, few, last = now, now[0] <= STAR_BROADCAST_EDGES, e
         e = _large_star(e, few)
         e = materialise(_small_star(e if few else materialise(e, "star"), few), "star")
+        discard(last)
     return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 

@@ -8,12 +8,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import materialise
+from inkwell.llm.common import materialise, small
 from inkwell.llm.graph import connected_components
 
 SEED = 42
 SEGMENTS = 8  # of 8 bits, on a ring
 DISTANCE = 3
+HELD = 8192  # fingerprints of a bucket that are compared in one task
 _BLOCK = 1 << 16  # shingles voted at once: 4 MB whatever the text's length
 
 
@@ -38,16 +39,18 @@ def fingerprint(text: bytes | None, shingle: int = 3, seed: int = SEED) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = SEED) -> DataFrame:
-    """``doc_id``, ``fp`` (the fingerprint's bits as a signed long) of every row; a narrow map."""
+    """``doc_id``, ``digest`` (64 bits of the text's hash), ``fp`` (the fingerprint's bits as a
+    signed long) of every row; a narrow map."""
 
     def run(batches):
         for b in batches:
-            texts = b.column(1).cast(pa.binary()).to_pylist()
+            texts = b.column(2).cast(pa.binary()).to_pylist()
             fps = np.fromiter((fingerprint(t, shingle, seed) for t in texts), dtype=np.uint64, count=len(texts))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps.view(np.int64))], names=["doc_id", "digest", "fp"])
 
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return src.mapInArrow(run, "doc_id long, fp long")
+    text = F.col(text_col).cast("string")
+    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("digest"), text.alias("text"))
+    return src.mapInArrow(run, "doc_id long, digest long, fp long")
 
 
 def _chain_keys() -> list:
@@ -100,51 +103,149 @@ def _group_links(fps: np.ndarray, reps: np.ndarray, start: int) -> list[tuple[np
     return out
 
 
-def _bucket_links(batches):
-    """Buckets arrive sorted by key; one that runs over batches is carried."""
-    held = None
+def _further(mask: int) -> list[int]:
+    """``mask`` with one of four parts of its other bits more: of 3 differing bits, none is in one
+    of the parts."""
+    rest = [i for i in range(64) if not mask >> i & 1]
+    return [mask | sum(1 << int(i) for i in part) for part in np.array_split(rest, DISTANCE + 1)]
 
-    def links(keys, fps, reps):
-        edge = np.flatnonzero(np.diff(keys)) + 1
-        lo, hi = np.r_[0, edge], np.r_[edge, len(keys)]
+
+def _first_masks() -> dict[int, int]:
+    """The exact bits of each of the 24 kinds of first keys."""
+    out = {}
+    for start in range(SEGMENTS):
+        for odd in range(2, 5):
+            segments = [(start + at) % SEGMENTS for at in range(5) if at != odd]
+            out[start * 3 + odd - 2] = sum(255 << 8 * i for i in segments)
+    return out
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _bucket_links(parse, held_rows: int):
+    """Buckets arrive sorted; one that runs over batches is carried. ``parse`` gives a batch's
+    grouping columns, fingerprints, starts and masks. Out come links (``start`` -1) and, of
+    buckets of more than ``held_rows`` fingerprints, the rows themselves: ``u`` the fingerprint, ``v``
+    the mask of its exact bits."""
+
+    def batch(us, vs, starts):
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.concatenate(us).view(np.int64)), pa.array(np.concatenate(vs).view(np.int64)), pa.array(np.concatenate(starts).astype(np.int32))],
+            names=["u", "v", "start"],
+        )
+
+    def buckets(edge, fps, starts, masks):
+        lo, hi = np.r_[0, edge], np.r_[edge, len(fps)]
         size = hi - lo
-        starts = (keys[lo] >> 32) // 3
+        us, vs, kinds = [], [], []
+
+        def put(u, v, kind):
+            us.append(u)
+            vs.append(v)
+            kinds.append(kind)
+
         two = lo[size == 2]
-        us, vs = [], []
         if len(two):
-            ok = within_budgets(fps[two], fps[two + 1], starts[size == 2].astype(np.uint64))
-            us.append(reps[two[ok]])
-            vs.append(reps[two[ok] + 1])
+            ok = two[within_budgets(fps[two], fps[two + 1], starts[two].astype(np.uint64))]
+            put(fps[ok], fps[ok + 1], np.full(len(ok), -1))
         for i in np.flatnonzero(size > 2):
-            for u, v in _group_links(fps[lo[i] : hi[i]], reps[lo[i] : hi[i]], int(starts[i])):
-                us.append(u)
-                vs.append(v)
+            part = slice(lo[i], hi[i])
+            if size[i] > held_rows:
+                put(fps[part], masks[part], starts[part])
+                continue
+            for u, v in _group_links(fps[part], fps[part], int(starts[lo[i]])):
+                put(u, v, np.full(len(u), -1))
         if us and sum(map(len, us)):
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], names=["u", "v"])
+            yield batch(us, vs, kinds)
+
+    def run(batches):
+        held, flood = None, None  # flood: the bucket whose rows go out as they come
+        for b in batches:
+            if not b.num_rows:
+                continue
+            part = parse(b)
+            if held is not None:
+                part = [np.concatenate(x) for x in zip(held, part)]
+            *keys, fps, starts, masks = part
+            if flood is not None:
+                other = np.flatnonzero(np.any([k != f for k, f in zip(keys, flood)], axis=0))
+                at = int(other[0]) if len(other) else len(fps)
+                if at:
+                    yield batch([fps[:at]], [masks[:at]], [starts[:at]])
+                    part = [x[at:] for x in part]
+                    *keys, fps, starts, masks = part
+                if not len(fps):
+                    held = None
+                    continue
+                flood = None
+            edge = np.flatnonzero(np.any([np.diff(k) != 0 for k in keys], axis=0)) + 1
+            cut = int(edge[-1]) if len(edge) else 0  # the last bucket may go on
+            if cut:
+                yield from buckets(edge[:-1], fps[:cut], starts[:cut], masks[:cut])
+            held = [x[cut:] for x in part]
+            if len(held[0]) > held_rows:
+                flood = [k[cut] for k in keys]
+                yield batch([fps[cut:]], [masks[cut:]], [starts[cut:]])
+                held = None
+        if held is not None:
+            *keys, fps, starts, masks = held
+            yield from buckets(np.zeros(0, dtype=np.int64), fps, starts, masks)
+
+    return run
+
 
-    for b in batches:
-        if not b.num_rows:
-            continue
-        part = [b.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
-        part[1] = part[1].view(np.uint64)
-        if held:
-            part = [np.concatenate(x) for x in zip(held, part)]
-        cut = int(np.searchsorted(part[0], part[0][-1]))  # the last bucket may go on
-        yield from links(*[x[:cut] for x in part]) if cut else ()
-        held = [x[cut:] for x in part]
-    if held:
-        yield from links(*held)
+def _parse_first(b: pa.RecordBatch) -> list[np.ndarray]:
+    key, fp = (b.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+    kind = key >> 32
+    return [key, fp.view(np.uint64), kind // 3, np.array([_first_masks()[i] for i in range(24)], dtype=np.uint64)[kind]]
 
 
-def near_links(distinct: DataFrame) -> DataFrame:
-    """Links ``u``, ``v`` between the ``rep`` of fingerprints at 3 bits or fewer.
+def _parse_next(b: pa.RecordBatch) -> list[np.ndarray]:
+    start, mask, bits, fp = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+    return [start, mask, bits, fp.view(np.uint64), start, mask.view(np.uint64)]
+
+
+def near_links(distinct: DataFrame, held_rows: int = HELD) -> DataFrame:
+    """Links ``u``, ``v`` between fingerprints at 3 bits or fewer.
 
     ``distinct`` has each ``fp`` once. Links that the forest of a bucket implies are left out;
-    components are those of all links. Each fingerprint goes to 24 buckets of 32 exact bits.
+    components are those of all links. Each fingerprint goes to 24 buckets of 32 exact bits. A
+    bucket of more than ``held_rows`` fingerprints is dealt out again over four keys of 40 exact
+    bits, then 46, 50 and so on, one of which any of its links shares; the bits left bound the
+    buckets. Tasks hold ``held_rows`` fingerprints of a bucket and a batch at most.
     """
-    keyed = distinct.select(F.explode(F.array(*_chain_keys())).alias("key"), "fp", "rep")
+    schema = "u long, v long, start int"
+    keyed = distinct.select(F.explode(F.array(*_chain_keys())).alias("key"), "fp")
     keyed = keyed.repartition("key").sortWithinPartitions("key")
-    return keyed.mapInArrow(_bucket_links, "u long, v long")
+    found = materialise(keyed.mapInArrow(_bucket_links(_parse_first, held_rows), schema), "links")
+    links, masks = found.where("start < 0"), set(_first_masks().values())
+    while found.where("start >= 0").limit(1).count():
+        following = {m: _further(m) for m in masks}
+        table = F.create_map(*[x for m, f in following.items() for x in (F.lit(_signed(m)), F.array(*[F.lit(_signed(y)) for y in f]))])
+        rows = found.where("start >= 0").select("start", F.explode(table[F.col("v")]).alias("mask"), F.col("u").alias("fp"))
+        rows = rows.select("start", "mask", F.col("fp").bitwiseAND(F.col("mask")).alias("bits"), "fp").distinct()
+        rows = rows.repartition("start", "mask", "bits").sortWithinPartitions("start", "mask", "bits")
+        found = materialise(rows.mapInArrow(_bucket_links(_parse_next, held_rows), schema), "links")
+        links, masks = links.unionByName(found.where("start < 0")), {y for f in following.values() for y in f}
+    return links.select("u", "v")
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = SEED) -> DataFrame:
+    """``doc_id``, ``digest``, ``fp``, ``group`` (the smallest fingerprint of its component) and
+    ``component_id`` (its smallest ``doc_id``, null if none has one) of every row.
+
+    Components are those of fingerprints, so rows that share an id but no text stay apart.
+    """
+    fps = materialise(fingerprints(docs, id_col, text_col, shingle, seed), "fp")
+    reps = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "fp-rep")
+    parts = connected_components(near_links(reps.select("fp")))
+    grouped = materialise(reps.join(parts, reps["fp"] == parts["node"], "left").select("fp", "rep", F.coalesce("component", "fp").alias("group")), "fp-group")
+    least = grouped.groupBy(F.col("group").alias("_group")).agg(F.min("rep").alias("component_id"))
+    labelled = grouped.join(least, F.col("group") == F.col("_group")).select(F.col("fp").alias("_fp"), "group", "component_id")
+    labelled = materialise(labelled, "fp-label")
+    return fps.join(labelled, fps["fp"] == labelled["_fp"]).select("doc_id", "digest", "fp", "group", "component_id")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = SEED) -> DataFrame:
@@ -157,13 +258,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reachable, null if there is none. Only the id and text columns are read, so others may have
     any name. An empty table gives an empty result.
     """
-    fps = materialise(fingerprints(docs, id_col, text_col, shingle, seed), "fp")
-    reps = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "fp-rep")
-    parts = connected_components(near_links(reps.where("rep is not null")))
-    labelled = reps.join(parts, reps["rep"] == parts["node"], "left").select(
-        reps["fp"].alias("_fp"), F.coalesce("component", "rep").alias("component_id")
-    )
-    labelled = materialise(labelled, "fp-label")
-    return fps.join(labelled, fps["fp"] == labelled["_fp"]).select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
-    )
+    groups = near_groups(docs, id_col, text_col, shingle, seed)
+    return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = SEED) -> DataFrame:
+    """``docs`` with one row of each SimHash group: the one with the smallest id (rows without an
+    id come last), of one id the text with the smallest hash, of rows alike in both the first by
+    their other columns. Every group keeps a row, whatever ids repeat in it.
+
+    Rows that go are found by id and text hash, an anti join that is broadcast if they are few;
+    rows alike in both are collapsed by an aggregate, so a third of all rows may be alike.
+    """
+    groups = materialise(near_groups(docs, id_col, text_col, shingle, seed).select("doc_id", "digest", "group"), "groups")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
+    first = groups.groupBy(F.col("group").alias("_group")).agg(F.min(order).alias("_first"))
+    rows = groups.join(first, F.col("group") == F.col("_group")).groupBy("doc_id", "digest").agg(F.count("*").alias("n"), F.max(order == F.col("_first")).alias("stays"))
+    rows = materialise(rows.select(F.col("doc_id").alias("_near_id"), F.col("digest").alias("_near_digest"), "n", "stays").where("n > 1 or not stays"), "rows")
+    own = (F.col(id_col).cast("long").eqNullSafe(F.col("_near_id"))) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("_near_digest"))
+    rest = docs.join(small(rows.where("n > 1 or not stays")), own, "left_anti")
+    again = rows.where("stays and n > 1")
+    if not again.limit(1).count():
+        return rest
+    alike = docs.join(small(again), own)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    comparable = not any("map<" in kind or "variant" in kind for _, kind in docs.dtypes)
+    one = alike.groupBy("_near_id", "_near_digest").agg((F.min if comparable else F.first)(whole).alias("_row"))
+    return rest.unionByName(one.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns]))

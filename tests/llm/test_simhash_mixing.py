@@ -45,7 +45,9 @@ def test_fingerprints_and_components(spark, odd, odd_rows):
     assert by_id[4] == by_id[5] == 4 and by_id[1] == by_id[2] == by_id[3] == 1 and by_id[11] == by_id[12] == 11
 
 
-def test_links_lose_no_component(spark):
+@pytest.mark.parametrize("held", [simhash.HELD, 12])
+def test_links_lose_no_component(spark, held):
+    """Buckets of more than 12 fingerprints are dealt out again where only 12 are held."""
     rng = np.random.default_rng(3)
     base = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
     fps = set()
@@ -57,16 +59,39 @@ def test_links_lose_no_component(spark):
             fps.add(x)
     fps = sorted(fps)
     signed = [x - (1 << 64) if x >> 63 else x for x in fps]
-    df = spark.createDataFrame(list(zip(signed, range(len(fps)))), "fp long, rep long")
+    df = spark.createDataFrame([(x,) for x in signed], "fp long")
     links = [(i, j) for i, j in itertools.combinations(range(len(fps)), 2) if (fps[i] ^ fps[j]).bit_count() <= 3]
     want = brute_components(range(len(fps)), links)
-    got = {r.node: r.component for r in graph.connected_components(simhash.near_links(df)).collect()}
-    assert {i: got.get(i, i) for i in range(len(fps))} == want and len(set(want.values())) < len(fps)
+    got = {r.node: r.component for r in graph.connected_components(simhash.near_links(df, held)).collect()}
+    parts, wanted = {}, {}
+    for i, x in enumerate(signed):
+        parts.setdefault(got.get(x, x), set()).add(i)
+        wanted.setdefault(want[i], set()).add(i)
+    assert sorted(map(sorted, parts.values())) == sorted(map(sorted, wanted.values())) and len(wanted) < len(fps)
+
+
+def test_hot_bucket_without_links(spark):
+    """Thousands of fingerprints with 32 bits alike but for a few links, found without comparing all pairs."""
+    rng = np.random.default_rng(5)
+    code = sorted({int(x) for x in rng.integers(0, 1 << 32, 6000)})
+    fps = [x | 0xABCD1234 << 32 for x in code] + [code[0] ^ 7 | 0xABCD1234 << 32]
+    signed = [x - (1 << 64) if x >> 63 else x for x in sorted(set(fps))]
+    edges = simhash.near_links(spark.createDataFrame([(x,) for x in signed], "fp long"), 500).distinct().collect()
+    got = {frozenset((r.u, r.v)) for r in edges}
+    a = np.array(signed, dtype=np.int64).view(np.uint64)
+    want = set()
+    for i in range(len(a)):
+        for j in np.flatnonzero(np.bitwise_count(a[i] ^ a[i + 1 :]) <= 3):
+            want.add(frozenset((signed[i], signed[i + 1 + j])))
+    assert got and got <= want
+    left = {frozenset(p) for p in want} - got  # implied by the forests: both ends have links
+    ends = {x for p in got for x in p}
+    assert all(p <= ends for p in left)
 
 
 def test_dense_bucket_gives_a_forest(spark):
     fps = [i ^ (1 << j) for i in (0,) for j in range(8)] + [0]
-    df = spark.createDataFrame([(x, i) for i, x in enumerate(sorted(set(fps)))], "fp long, rep long")
+    df = spark.createDataFrame([(x,) for x in sorted(set(fps))], "fp long")
     rows = simhash.near_links(df).collect()
     assert len(rows) <= 24 * 8
     parts = graph.connected_components(simhash.near_links(df)).collect()
@@ -172,3 +197,19 @@ def test_mixing_share_is_met(spark):
 def test_empty_tables(spark, empty):
     assert simhash.near_duplicates(empty).count() == 0
     assert mixing.mix(empty, word_count(F.col("text"))).count() == 0
+
+
+def test_one_row_of_each_group_stays(spark, odd, odd_rows, empty, prose):
+    """Repeated ids with texts of other groups, rows alike, rows without an id, clashing columns."""
+    a, b = prose(41, 80), prose(42, 80)
+    rows = [(2, b, "x"), (4, a, "y"), (4, b, "z"), (None, a, "w"), (7, None, "n"), (8, "", "e"), (9, prose(43, 60), "t"), (9, prose(43, 60), "t"), (9, prose(43, 60), "u")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _id string")
+    kept = simhash.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns
+    assert sorted(map(tuple, kept.collect()), key=repr) == sorted([rows[0], rows[1], rows[4], rows[6]], key=repr)
+    only = spark.createDataFrame([(None, a, "x"), (None, a, "x"), (None, b, "y")], docs.schema)
+    assert sorted(r.text for r in simhash.drop_near_duplicates(only).collect()) == sorted([a, b])
+    kept = simhash.drop_near_duplicates(odd).collect()
+    groups = {brute_fingerprint(r[1]) for r in odd_rows}
+    assert {brute_fingerprint(r.text) for r in kept} <= groups and len(kept) <= len(groups)
+    assert simhash.drop_near_duplicates(empty).count() == 0
