@@ -76,6 +76,12 @@ def fit(
     return LanguageModel(tuple(out), **options)
 
 
+def narrow(best: int, second: int, n_bytes: int, model: LanguageModel) -> bool:
+    """Whether the two best sizes of a text are too near to tell its language: equal, or under
+    ``min_margin`` apart where the text has ``min_bytes`` bytes of letters or more."""
+    return second == best or (n_bytes >= model.min_bytes and second - best < model.min_margin * second)
+
+
 def make_classifier(model: LanguageModel):
     """A function text -> (language, score, margin in share of the second size, rejected)."""
     coders = []
@@ -98,7 +104,7 @@ def make_classifier(model: LanguageModel):
         margin = (second - sizes[best]) / second
         # bytes saved a chunk over the second language, on a 0 to 1 scale: an odds of 2 for a byte
         score = 1 / (1 + 2.0 ** -min(60.0, (second - sizes[best]) / len(chunks)))
-        return coders[best][0], score, margin, len(data) >= model.min_bytes and margin < model.min_margin
+        return coders[best][0], score, margin, narrow(sizes[best], second, len(data), model)
 
     return classify
 

@@ -107,6 +107,17 @@ def test_line_dedup_both_ways(spark, odd_rows, broadcast_rows):
     assert lines.drop_boilerplate(df.limit(0), broadcast_rows=broadcast_rows).count() == 0
 
 
+def test_line_dedup_by_host(spark):
+    urls = ["http://www.A.example/p?x=http://b.example/", "https://u:p@a.example:8080/", "HTTP://a.example.", "https://a.example#top", "//a.example/x", None]
+    hosts = [r.h for r in spark.createDataFrame([(u,) for u in urls], "url string").select(lines.host(F.col("url")).alias("h")).collect()]
+    assert hosts == ["a.example"] * 4 + ["", None]
+    rows = [(i, f"menu\ntext {i}", f"http://{'www.' * (i % 2)}{'ab'[i % 20 == 0]}.example/{i}", "n") for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, url string, row string")
+    got = lines.drop_boilerplate(docs, site=lines.host(F.col("url")), min_pages=6).collect()
+    assert {r.lines.n_dropped for r in got if ".b." in r.url or "//b." in r.url} == {0}  # on all 5 of its pages, under min_pages
+    assert all(r.text == f"text {r.doc_id}" and r.row == "n" for r in got if "//b." not in r.url and "www.b." not in r.url)
+
+
 def test_line_dedup_equals_sql(spark):
     import duckdb
 
