@@ -34,12 +34,15 @@ def _grow(x: np.ndarray, gradient: np.ndarray, hessian: np.ndarray, depth: int,
     total_g, total_h = gradient.sum(), hessian.sum()
     best = (1e-6, -1, 0.0)
     for f in range(x.shape[1]) if depth else ():
-        for t in np.unique(x[:, f])[:-1]:
-            low = x[:, f] <= t
-            g, h = gradient[low].sum(), hessian[low].sum()
-            gain = g * g / (h + penalty) + (total_g - g) ** 2 / (total_h - h + penalty) - total_g**2 / (total_h + penalty)
-            if gain > best[0]:
-                best = (gain, f, float(t))
+        order = np.argsort(x[:, f], kind="stable")
+        v, g, h = x[order, f], np.cumsum(gradient[order]), np.cumsum(hessian[order])
+        at = np.flatnonzero(v[1:] > v[:-1])  # the last row of the lower side
+        if not len(at):
+            continue
+        gain = g[at] ** 2 / (h[at] + penalty) + (total_g - g[at]) ** 2 / (total_h - h[at] + penalty) - total_g**2 / (total_h + penalty)
+        i = int(np.argmax(gain))
+        if gain[i] > best[0]:
+            best = (float(gain[i]), f, float(v[at[i]]))
     if best[1] < 0:
         return Tree(value=float(-total_g / (total_h + penalty)))
     low = x[:, best[1]] <= best[2]
