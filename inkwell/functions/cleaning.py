@@ -101,9 +101,10 @@ def strip_wrapper(text: Column) -> Column:
 
 def clean_post(text: Column) -> Column:
     """Plain prose of a Markdown post: links, headers, quotes, bullets, code and emphasis marks go."""
+    # The patterns of links, headers, quotes, bullets, code and emphasis, in this order.
     steps = [
-        (r"https?://\S+", ""), (r"\[([^\]]*)\]\([^)]*\)", "$1"), (r"(?m)^#{1,6}\s*", ""), (r"(?m)^>\s?", ""),
-        (r"(?m)^\s*[-*+]\s+", ""), (r"`+", ""), (r"[*_~]{1,3}", ""), (r"[ \t]+", " "), (r"\n{3,}", "\n\n"),
+        (r"(?U)https?://\S+", ""), (r"\[([^\]]*)\]\([^)]*\)", "$1"), (r"(?mdU)^\s{0,3}#{1,6}\s*", ""), (r"(?mdU)^\s{0,3}>\s?", ""),
+        (r"(?mdU)^\s{0,3}[-*+]\s+", ""), (r"`{1,3}", ""), (r"(\*\*\*|\*\*|\*|__|_|~~)", ""), (r"[ \t]+", " "), (r"\n{3,}", "\n\n"),
     ]
     for pattern, to in steps:
         text = F.regexp_replace(text, pattern, to)
@@ -112,6 +113,7 @@ def clean_post(text: Column) -> Column:
 
 def plain_markdown(text: Column) -> Column:
     """A detector's plain text: Markdown, tables and tags go, entities are decoded, white space becomes one space."""
+    # A published preprocessing's patterns, in its order.
     steps = [
         (r"(?s)```.*?```", ""), (r"`[^`]*`", ""), (r"!\[.*?\]\(.*?\)", ""), (r"\[([^\]]+)\]\(.*?\)", "$1"),
         (r"(\*\*|__)(.*?)\1", "$2"), (r"(\*|_)(.*?)\1", "$2"), (r"#+ ", ""), (r"(?m)^>.*$", ""),

@@ -34,9 +34,11 @@ def length(text: Column, language: Column) -> Column:
 
 
 def shingles(text: Column, language: Column, words: int, chars: int) -> Column:
-    """Distinct word n-grams of English, character n-grams of the rest without white space."""
-    letters = F.split(F.regexp_replace(text, r"(?U)\s+", ""), "")
-    return F.when(language == "en", textfn.ngrams(textfn.words(text), words)).otherwise(textfn.ngrams(letters, chars))
+    """Distinct n-grams as hashes: of pieces between white space in English, of characters, white
+    space included, elsewhere; case and punctuation count."""
+    english = F.coalesce(language == "en", F.lit(False))
+    units = textfn.units(text, english)
+    return F.when(english, textfn.ngrams(units, words, hashed=True)).otherwise(textfn.ngrams(units, chars, hashed=True))
 
 
 def drop_reason() -> Column:

@@ -61,58 +61,84 @@ def clean_text_full(spark, sf_dir):
     return d.select("doc_id", "clean", cleaning.strip_wrapper(F.col("text")).alias("wrapper"))
 
 
-@query()
+_PLAIN = "text"
+for _pattern, _to in [(r"https?://\S+", ""), (r"\[([^\]]*)\]\([^)]*\)", r"\1"), (r"(?m)^\s{0,3}#{1,6}\s*", ""), (r"(?m)^\s{0,3}>\s?", ""), (r"(?m)^\s{0,3}[-*+]\s+", ""), ("`{1,3}", ""), (r"\*\*\*|\*\*|\*|__|_|~~", ""), (r"[ \t]+", " "), (r"\n{3,}", "\n\n"), (r"^\s+|\s+$", "")]:
+    _PLAIN = f"regexp_replace({_PLAIN}, '{_pattern}', '{_to}', 'g')"
+
+
+@query(rf"""WITH x AS (SELECT doc_id, text, lang, {_PLAIN} AS plain, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM documents),
+y AS (SELECT *, CASE WHEN regexp_matches(t, '(?s)^.*?[.!?]\s') THEN regexp_extract(t, '(?s)^(.*?[.!?])\s', 1) ELSE t END AS s, len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) AS nw FROM x)
+SELECT doc_id, plain, CASE WHEN lang = 'en' THEN array_to_string(list_filter(regexp_split_to_array(s, '\s+'), lambda w: w <> '')[1:12], ' ') ELSE substr(regexp_split_to_array(t, '[。！？\n]')[1], 1, 30) END AS topic,
+ CASE WHEN lang = 'en' THEN greatest(50, round_even(nw / 25, 0) * 25)::INT || ' words' ELSE greatest(150, round_even(len(text) / 50, 0) * 50)::INT || '字' END AS hint FROM y""")
 def post_text(spark, sf_dir):
     t = F.col("text")
     return docs_of(spark, sf_dir).select("doc_id", cleaning.clean_post(t).alias("plain"), cleaning.topic(t, F.col("lang")).alias("topic"), cleaning.length_hint(t, F.col("lang")).alias("hint"))
 
 
 def _gate_rows(spark, sf_dir):
-    """Documents as mirrors and edits of the document before them."""
+    """Documents as mirrors and edits of the document before them; some refuse, some are in
+    simplified characters."""
     d = docs_of(spark, sf_dir)
     src = d.select((F.col("doc_id") + 1).alias("doc_id"), F.col("text").alias("source_text"))
+    han = F.col("doc_id") % 17 == 1
+    text = F.when(F.col("doc_id") % 13 == 1, F.concat(F.lit("I cannot help. "), "text")).when(han, F.concat(F.lit("们这国东京都"), "text")).otherwise(F.col("text"))
     return d.join(src, "doc_id", "left").select(
-        "doc_id", "text", F.col("lang").alias("language"), text_type().alias("text_type"), "source_text", F.when(F.col("doc_id") % 11 == 0, "length").otherwise("stop").alias("finish_reason")
-    )
+        "doc_id", text.alias("text"), F.when(han, "zh-tw").otherwise(F.col("lang")).alias("language"), text_type().alias("text_type"), "source_text",
+        F.when(F.col("doc_id") % 11 == 0, "length").otherwise("stop").alias("finish_reason"),
+    )
+
+
+_CJK = r"[\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{FF66}-\x{FF9F}]"
+_REFUSED = "|".join(gates.REFUSALS).replace("'", "''")
 
 
-@query(rf"""WITH d AS (SELECT a.doc_id, a.text, a.lang, {_TYPES.replace('doc_id', 'a.doc_id')} AS tt, b.text AS src, CASE WHEN a.doc_id % 11 = 0 THEN 'length' ELSE 'stop' END AS fr
-  FROM documents a LEFT JOIN documents b ON b.doc_id + 1 = a.doc_id WHERE a.lang = 'en'),
-w AS (SELECT *, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+') AS tw, regexp_extract_all(lower(coalesce(src, '')), '[\p{{L}}\p{{N}}_]+') AS sw FROM d)
+def _duck_grams(units: str, n: int) -> str:
+    return f"list_transform(range(1, greatest(len({units}) - {n - 2}, 1)::BIGINT), lambda i: array_to_string({units}[i:i+{n - 1}], ' '))"
+
+
+@query(rf"""WITH d AS (SELECT a.doc_id, CASE WHEN a.doc_id % 13 = 1 THEN 'I cannot help. ' || a.text WHEN a.doc_id % 17 = 1 THEN '们这国东京都' || a.text ELSE a.text END AS text,
+  CASE WHEN a.doc_id % 17 = 1 THEN 'zh-tw' ELSE a.lang END AS lang, {_TYPES.replace('doc_id', 'a.doc_id')} AS tt, b.text AS src, CASE WHEN a.doc_id % 11 = 0 THEN 'length' ELSE 'stop' END AS fr
+  FROM documents a LEFT JOIN documents b ON b.doc_id + 1 = a.doc_id),
+w AS (SELECT *, len(regexp_extract_all(text, CASE WHEN lang = 'en' THEN '[\p{{L}}\p{{N}}_]+' ELSE '{_CJK}' END)) AS nt, len(regexp_extract_all(src, CASE WHEN lang = 'en' THEN '[\p{{L}}\p{{N}}_]+' ELSE '{_CJK}' END)) AS ns,
+  CASE WHEN lang = 'en' THEN list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') ELSE string_split(text, '') END AS tu,
+  CASE WHEN lang = 'en' THEN list_filter(regexp_split_to_array(src, '\s+'), lambda x: x <> '') ELSE string_split(src, '') END AS su FROM d)
 SELECT doc_id, CASE WHEN tt <> 'human_written' AND trim(regexp_replace(text, '\s', '', 'g')) = '' THEN 'empty'
  WHEN tt <> 'human_written' AND fr = 'length' THEN 'truncated'
- WHEN tt = 'ai_generated' AND len(sw) > 0 AND (len(tw) / len(sw) < 0.33 OR len(tw) / len(sw) > 3.0) THEN 'length_mismatch'
- WHEN tt = 'ai_generated' AND len(tw) >= 15 AND len(sw) >= 15 AND list_has_any(list_transform(range(1, (len(tw) - 13)::BIGINT), lambda i: array_to_string(tw[i:i+14], ' ')), list_transform(range(1, (len(sw) - 13)::BIGINT), lambda i: array_to_string(sw[i:i+14], ' '))) THEN 'regurgitation'
- WHEN tt = 'ai_edited' AND src IS NOT NULL AND regexp_replace(text, '^\s+|\s+$', '', 'g') = regexp_replace(src, '^\s+|\s+$', '', 'g') THEN 'noop_edit' END AS drop_reason FROM w""")
+ WHEN tt <> 'human_written' AND regexp_matches(lower(substr(text, 1, 200)), '{_REFUSED}') THEN 'refusal'
+ WHEN tt <> 'human_written' AND lang = 'zh-tw' AND nt > 0 AND len(regexp_replace(text, '[^{gates.SIMPLIFIED}]', '', 'g')) / nt > {gates.SIMPLIFIED_SHARE} THEN 'wrong_script_simplified'
+ WHEN tt = 'ai_generated' AND src <> '' AND ns > 0 AND (nt / ns < 0.33 OR nt / ns > 3.0) THEN 'length_mismatch'
+ WHEN tt = 'ai_generated' AND lang = 'en' AND len(tu) >= 15 AND len(su) >= 15 AND list_has_any({_duck_grams('tu', 15)}, {_duck_grams('su', 15)}) THEN 'regurgitation'
+ WHEN tt = 'ai_generated' AND lang <> 'en' AND len(tu) >= 30 AND len(su) >= 30 AND list_has_any({_duck_grams('tu', 30)}, {_duck_grams('su', 30)}) THEN 'regurgitation'
+ WHEN tt = 'ai_edited' AND src <> '' AND regexp_replace(text, '^\s+|\s+$', '', 'g') = regexp_replace(src, '^\s+|\s+$', '', 'g') THEN 'noop_edit' END AS drop_reason FROM w""")
 def gate_first_failure(spark, sf_dir):
-    return _gate_rows(spark, sf_dir).where("language = 'en'").select("doc_id", gates.drop_reason().alias("drop_reason"))
-
-
-@query()
-def gate_first_failure_all(spark, sf_dir):
-    """Every document's verdict, whatever its language; ``gate_first_failure`` is the English part, with SQL."""
     return _gate_rows(spark, sf_dir).select("doc_id", gates.drop_reason().alias("drop_reason"))
 
 
-_SETS = r"""WITH t AS (SELECT doc_id, lang, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM documents),
-s AS (SELECT doc_id, lang, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, (len(w) - 3)::BIGINT), lambda i: array_to_string(w[i:i+4], ' '))) ELSE [array_to_string(w, ' ')] END AS g FROM t WHERE len(w) > 0),
+_SETS = rf"""WITH RECURSIVE t AS (SELECT doc_id, lang, regexp_replace(text, '^\s+|\s+$', '', 'g') AS x FROM documents WHERE text IS NOT NULL),
+u AS (SELECT *, CASE WHEN lang = 'en' THEN list_filter(regexp_split_to_array(x, '\s+'), lambda y: y <> '') ELSE list_filter(string_split(x, ''), lambda y: y <> '') END AS w, CASE WHEN lang = 'en' THEN 5 ELSE 10 END AS n FROM t),
+s AS (SELECT doc_id, lang, CASE WHEN len(w) >= n THEN list_distinct(list_transform(range(1, greatest(len(w) - n + 2, 1)::BIGINT), lambda i: array_to_string(w[i:i+n-1], ' '))) ELSE ['whole ' || x] END AS g FROM u),
 k AS (SELECT min(doc_id) AS id, lang, any_value(g) AS g FROM (SELECT doc_id, lang, list_sort(g) AS g FROM s) GROUP BY lang, g),
 e AS (SELECT id, lang, len(g) AS n, unnest(g) AS x FROM k),
-c AS (SELECT a.id AS a, b.id AS b, count(*) AS c, any_value(a.n) AS na, any_value(b.n) AS nb FROM e a JOIN e b ON a.x = b.x AND a.lang = b.lang AND a.id < b.id GROUP BY a.id, b.id)
+c AS (SELECT a.id AS a, b.id AS b, count(*) AS c, any_value(a.n) AS na, any_value(b.n) AS nb FROM e a JOIN e b ON a.x = b.x AND a.lang = b.lang AND a.id < b.id AND a.n >= 0.8 * b.n AND b.n >= 0.8 * a.n GROUP BY a.id, b.id),
+p AS (SELECT a, b, c / (na + nb - c) AS jaccard FROM c WHERE c / (na + nb - c) >= 0.8)
 """
 
 
-@query(_SETS + "SELECT a, b, round(c / (na + nb - c), 6) AS jaccard FROM c WHERE c / (na + nb - c) >= 0.8")
+@query(_SETS + "SELECT a, b, round(jaccard, 6) AS jaccard FROM p")
 def near_dup_pairs(spark, sf_dir):
-    grams = store.materialise(dedup.shingled(docs_of(spark, sf_dir), "doc_id", ["lang"]))
+    grams = store.materialise(dedup.shingled(docs_of(spark, sf_dir), "doc_id", ["lang"], "lang"))
     sets = store.materialise(dedup.distinct_sets(grams).where("id = rep").select("id", "grp", "grams"))
     return dedup.near_pairs(sets).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
 
 
-@query()
+@query(_SETS + """, o AS (SELECT b, list(a) AS earlier, row_number() OVER (ORDER BY b) AS n FROM p GROUP BY b),
+later AS (SELECT b FROM o), walk AS (SELECT 0::BIGINT AS n, []::BIGINT[] AS gone UNION ALL
+ SELECT w.n + 1, CASE WHEN len(list_filter(o.earlier, lambda y: NOT list_contains(w.gone, y))) > 0 THEN list_append(w.gone, o.b) ELSE w.gone END FROM walk w JOIN o ON o.n = w.n + 1),
+dropped AS (SELECT unnest(gone) AS id FROM (SELECT gone FROM walk ORDER BY n DESC LIMIT 1))
+SELECT id AS doc_id FROM k WHERE id NOT IN (SELECT id FROM dropped) UNION ALL SELECT doc_id FROM documents WHERE text IS NULL""")
 def near_dedup_keep(spark, sf_dir):
     docs = docs_of(spark, sf_dir)
-    gone = dedup.near_dedup(docs, "doc_id", ["lang"], store.materialise)
+    gone = dedup.near_dedup(docs, "doc_id", ["lang"], store.materialise, "lang")
     return docs.join(gone, docs["doc_id"] == gone["id"], "left_anti").select("doc_id")
 
 

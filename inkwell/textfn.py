@@ -31,6 +31,12 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
 
 
+def units(text: Column, english: Column) -> Column:
+    """What n-grams are made of: pieces between white space in English, else single characters."""
+    pieces = F.filter(F.split(text, r"(?U)[\s\x1c-\x1f]+"), lambda x: x != "")
+    return F.when(english, pieces).otherwise(F.filter(F.split(text, ""), lambda x: x != ""))
+
+
 def strip(text: Column) -> Column:
     """Without leading and trailing white space, Unicode's included."""
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
