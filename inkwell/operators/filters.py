@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.functions import decode
+from inkwell.sources import store
 from inkwell.textfn import strip
 
 # Country names looked for in a flair (those with another name follow), and refused ones.
@@ -89,14 +90,13 @@ def eligible_models(models: DataFrame, benchmarks: DataFrame) -> DataFrame:
     b = benchmarks.select(F.col("id").alias("benchmark_id"), F.col("languages").alias("_bl"))
     has = lambda c: F.coalesce(F.array_contains(c, F.col("benchmark_id")), F.lit(False))
     fits = has("include_benchmarks") | F.array_contains("_bl", "multilingual") | F.arrays_overlap("_ml", "_bl")
-    return b.join(F.broadcast(m), ~has("exclude_benchmarks") & fits).select("model_id", "benchmark_id")
+    return b.join(store.small(m, 10_000), ~has("exclude_benchmarks") & fits).select("model_id", "benchmark_id")
 
 
 def manifest_faults(models: DataFrame, benchmarks: DataFrame, adapters: list[str], kinds: tuple = ("binary", "graded")) -> DataFrame:
     """``id`` and ``fault`` of models: repeated ids, revisions that are no commit, unknown kinds,
     adapters and benchmarks, sizes that are not positive."""
     pinned = lambda c: F.coalesce(F.col(c).rlike("^[0-9a-f]{40}$"), F.lit(False))
-    known = benchmarks.agg(F.collect_set("id").alias("_known"))  # a manifest, some dozens of ids
     refs = F.array_distinct(F.concat(*[F.coalesce(c, F.array().cast("array<string>")) for c in ("include_benchmarks", "exclude_benchmarks", "trained_on_benchmarks")]))
     checks = [
         (~pinned("revision"), "revision is no commit"),
@@ -104,12 +104,13 @@ def manifest_faults(models: DataFrame, benchmarks: DataFrame, adapters: list[str
         (~F.coalesce(F.col("adapter").isin(*adapters), F.lit(False)), "unknown adapter"),
         (~F.coalesce(F.col("max_length") > 0, F.lit(False)), "max_length is not positive"),
         (F.coalesce(F.col("batch_size") <= 0, F.lit(False)), "batch_size is not positive"),
-        (F.size(F.array_except(refs, "_known")) > 0, "unknown benchmark"),
     ]
     found = F.array_compact(F.array(*[F.when(test, name) for test, name in checks]))
-    own = models.join(F.broadcast(known)).select("id", F.explode(found).alias("fault"))
+    own = models.select("id", F.explode(found).alias("fault"))
+    named = models.select("id", F.explode(refs).alias("_ref")).join(benchmarks.select(F.col("id").alias("_ref")), "_ref", "left_anti")
+    unknown = named.select("id", F.lit("unknown benchmark").alias("fault")).distinct()
     twice = lambda df, what: df.groupBy("id").count().where("count > 1").select("id", F.lit(what).alias("fault"))
-    return reduce(DataFrame.unionByName, [own, twice(models, "model id repeats"), twice(benchmarks, "benchmark id repeats")])
+    return reduce(DataFrame.unionByName, [own, unknown, twice(models, "model id repeats"), twice(benchmarks, "benchmark id repeats")])
 
 
 def prepared(rows: DataFrame, template: str, clean=None, key: str = "text_id") -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from inkwell.functions import decode
 from inkwell.operators.sampling import first_per_group
+from inkwell.sources import store
 
 
 def key_faults(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
@@ -76,7 +77,7 @@ def unused_prompts(cached: DataFrame, prompts: DataFrame, k: int, doc: str = "do
     """``k`` more prompts for each document with cached edits (``doc``, ``prompt_id``): of the split of its prompts,
     not used yet, the first by SHA-256 of document and prompt. ``prompts`` is the pool of a
     language (``prompt_id``, ``split``), some dozens of rows."""
-    pool = F.broadcast(prompts)
+    pool = store.small(prompts)
     splits = cached.join(pool, "prompt_id").select(doc, "split").distinct()
     free = splits.join(pool, "split").join(cached.select(doc, "prompt_id"), [doc, "prompt_id"], "left_anti")
     order = F.sha2(F.concat_ws("\0", F.col(doc).cast("string"), "prompt_id"), 256)
@@ -95,3 +96,11 @@ def aligned(a: DataFrame, b: DataFrame, key: str, same: str) -> DataFrame:
     if not both.where(~F.col(same).eqNullSafe(F.col("_same"))).isEmpty():
         raise ValueError(f"{same} differs between the two results")
     return both.drop("_same")
+
+
+def covered(rows: DataFrame, subset: DataFrame, key: str) -> DataFrame:
+    """``rows`` whose key the subset has; a key of the subset that ``rows`` lack fails."""
+    keys = subset.select(key).distinct()
+    if not keys.join(rows, key, "left_anti").isEmpty():
+        raise ValueError(f"rows don't cover every {key} of the subset")
+    return rows.join(keys, key, "left_semi")

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from inkwell import hashing, textfn
 from inkwell.functions import cleaning, decode
 from inkwell.operators import decontam, dedup, gates, metrics, ranking, sampling
-from inkwell.plans import corpora, evaluation, rows  # noqa: F401  (they register their queries)
+from inkwell.plans import corpora, evaluation, releases, rows  # noqa: F401  (they register their queries)
 from inkwell.plans.registry import LABELLED as _LABELLED
-from inkwell.plans.registry import ORACLES, QUERIES, docs_of, labelled, query, score, table, text_type  # noqa: F401
+from inkwell.plans.registry import ORACLES, QUERIES, docs_of, duck_mod, labelled, query, score, table, text_type  # noqa: F401
 from inkwell.plans.registry import SCORE as _SCORE
 from inkwell.plans.registry import TYPES as _TYPES
 from inkwell.sources import passages, store
@@ -162,11 +162,7 @@ def id_dedup_keep_first(spark, sf_dir):
     return dedup.keep_first(both, ["doc_id"], ["origin"])
 
 
-def _duck_mod(m: int, text: str) -> str:
-    return f"list_reduce(list_transform(range(8), lambda i: CAST('0x' || substr(sha256({text}), (i * 8 + 1)::INT, 8) AS BIGINT)), lambda a, b: (a * {(1 << 32) % m} + b) % {m})"
-
-
-@query(f"SELECT doc_id, {_duck_mod(1000, 'doc_id::VARCHAR')}::BIGINT AS m, CASE WHEN {_duck_mod(5, 'CONCAT(doc_id, chr(0), lang)')} < 3 THEN 'a' WHEN {_duck_mod(5, 'CONCAT(doc_id, chr(0), lang)')} < 4 THEN 'b' ELSE 'c' END AS model FROM documents")
+@query(f"SELECT doc_id, {duck_mod(1000, 'doc_id::VARCHAR')}::BIGINT AS m, CASE WHEN {duck_mod(5, 'CONCAT(doc_id, chr(0), lang)')} < 3 THEN 'a' WHEN {duck_mod(5, 'CONCAT(doc_id, chr(0), lang)')} < 4 THEN 'b' ELSE 'c' END AS model FROM documents")
 def hash_modulo_pick(spark, sf_dir):
     key = F.col("doc_id")
     return docs_of(spark, sf_dir).select("doc_id", hashing.sha_modulo(1000, key).alias("m"), hashing.weighted_pick([("a", 3), ("b", 1), ("c", 1)], key, F.col("lang")).alias("model"))
@@ -174,7 +170,7 @@ def hash_modulo_pick(spark, sf_dir):
 
 @query(f"""WITH d AS (SELECT lang, source, min(CASE WHEN doc_id % 50 = 3 THEN 'external' END) AS inherited, max((doc_id % 97 = 5)::INT) AS held,
  arg_min(CASE WHEN doc_id % 2 = 0 THEN 'val' ELSE 'train' END, doc_id) FILTER (WHERE doc_id % 3 = 2 AND doc_id % 5 = 0) AS tag FROM documents GROUP BY ALL),
-h AS (SELECT *, {_duck_mod(1000, 'CONCAT(lang, chr(0), source)')} AS m FROM d)
+h AS (SELECT *, {duck_mod(1000, 'CONCAT(lang, chr(0), source)')} AS m FROM d)
 SELECT lang, source, CASE WHEN inherited IS NOT NULL THEN inherited WHEN source = 'src7' THEN 'ood_domain' WHEN held = 1 THEN 'ood_generator' WHEN tag IS NOT NULL THEN tag
  WHEN m < 800 THEN 'train' WHEN m < 900 THEN 'val' ELSE 'test' END AS split FROM h""")
 def doc_split_assignment(spark, sf_dir):

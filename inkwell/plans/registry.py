@@ -30,6 +30,11 @@ SCORE = "(CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) / 4
 TYPES = "CASE doc_id % 3 WHEN 0 THEN 'human_written' WHEN 1 THEN 'ai_generated' ELSE 'ai_edited' END"
 
 
+def duck_mod(m: int, text: str) -> str:
+    """SQL for the SHA-256 of ``text`` modulo ``m``."""
+    return f"list_reduce(list_transform(range(8), lambda i: CAST('0x' || substr(sha256({text}), (i * 8 + 1)::INT, 8) AS BIGINT)), lambda a, b: (a * {(1 << 32) % m} + b) % {m})"
+
+
 def score(salt: str = ""):
     return F.conv(F.substring(F.md5(F.concat(F.lit(salt), F.col("doc_id").cast("string"))), 1, 8), 16, 10).cast("double") / 4294967296.0
 

@@ -3,17 +3,22 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import tempfile
 import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def folder(spark: SparkSession) -> str:
-    """A new folder under ``spark.checkpoint.dir`` (a temporary one where that is unset)."""
+    """A new folder under ``spark.checkpoint.dir``: a temporary one where that is unset and all runs
+    in one process; a cluster without a shared folder is refused."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir is unset: executors need a folder that all of them and the driver share")
         root = "file://" + tempfile.mkdtemp(prefix="inkwell-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/store-{uuid.uuid4().hex}"
@@ -26,21 +31,26 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def ordered_digest(rows: DataFrame, key: str, name: str) -> DataFrame:
-    """``n`` and the SHA-256 of the sorted keys joined by newlines.
+def small(df: DataFrame, limit: int = 200_000) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``limit`` rows (counted), else as it is."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
+def ordered_digest(rows: DataFrame, key: str, name: str, value: str | None = None) -> DataFrame:
+    """``n`` and the SHA-256 of the keys, or of ``value`` in the order of the keys, joined by newlines.
 
     Keys are ranged over all tasks; one task then sorts and streams range after range, since the
     digest is one chain. It holds a range at a time, whatever their number.
     """
-    sorted_keys = rows.select(key).orderBy(key).coalesce(1)
+    ordered = rows.select(key, F.col(value or key).alias("_value")).orderBy(key).coalesce(1).select("_value")
 
     def run(batches):
         digest, n = hashlib.sha256(), 0
         for b in batches:
-            keys = b.column(0).to_pylist()
-            if keys:
-                digest.update((("\n" if n else "") + "\n".join(keys)).encode())
-                n += len(keys)
+            values = b.column(0).to_pylist()
+            if values:
+                digest.update((("\n" if n else "") + "\n".join(values)).encode())
+                n += len(values)
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([digest.hexdigest()])], names=["n", name])
 
-    return sorted_keys.mapInArrow(run, f"n long, {name} string")
+    return ordered.mapInArrow(run, f"n long, {name} string")
