@@ -10,6 +10,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkwell.llm.common import unit_hash
+
 _NOT_LETTERS = regex.compile(r"[^\p{L}\p{M}]+")
 
 
@@ -47,22 +49,19 @@ def fit(
     their id, at most ``chars_per_row`` characters of each and ``dictionary_bytes`` a language, of
     the ``max_languages`` languages with most rows. Sampled texts that compress below
     ``min_ratio`` repeat themselves and teach nothing; they are used only where nothing else is.
-    Ids are ranked without their texts, first within 64 hash classes of a language, so one task
-    ranks 64 * ``rows_per_language`` ids at most, whatever share of the rows a language has. Null texts, languages and ids don't teach; without any
-    labelled row the model is empty and predicts ``und``.
+    Rows are picked by a bound on their hash that a language's count gives, with half as many to
+    spare, so no task ranks more than those, whatever share of the rows a language has, and the
+    sample has at most ``max_languages * rows_per_language`` rows. Null texts, languages and ids
+    don't teach; without any labelled row the model is empty and predicts ``und``.
     """
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
     counts = rows.groupBy(F.col(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
-    order = [F.xxhash64(F.col(id_col)), F.col(id_col)]
-    some = Window.partitionBy(lang_col, "_salt").orderBy(*order)
-    ids = rows.select(id_col, lang_col, F.pmod(F.xxhash64(F.col(id_col), F.lit(1)), F.lit(64)).alias("_salt"))
-    ids = ids.withColumn("_r", F.row_number().over(some)).where(F.col("_r") <= rows_per_language)
-    rank = Window.partitionBy(lang_col).orderBy(*order)
-    ids = ids.withColumn("_r", F.row_number().over(rank)).where(F.col("_r") <= rows_per_language)
-    picked = ids.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"), "_r").distinct()
-    sample = rows.join(  # at most rows_per_language * languages rows
-        F.broadcast(picked), (F.col(id_col) == F.col("_id")) & (F.col(lang_col) == F.col("_lang"))
-    ).select("_lang", "_r", F.substring(text_col, 1, chars_per_row).alias("text"))
+    share = [x for lang, n in counts for x in (F.lit(lang), F.lit(min(1.0, (1.5 * rows_per_language + 50) / n)))]
+    draw = unit_hash(1, F.col(id_col))
+    own = F.create_map(*share)[F.col(lang_col)] if share else F.lit(0.0)
+    some = rows.where(draw < own).select(F.col(lang_col).alias("_lang"), F.col(id_col).alias("_id"), draw.alias("_draw"), F.substring(text_col, 1, chars_per_row).alias("text"))
+    rank = Window.partitionBy("_lang").orderBy("_draw", "_id", "text")
+    sample = some.withColumn("_r", F.row_number().over(rank)).where(F.col("_r") <= rows_per_language).select("_lang", "_r", "text")
     texts: dict[str, list[bytes]] = {}
     for lang, _, text in sorted(sample.toLocalIterator(), key=lambda r: (r[0], r[1], r[2])):
         texts.setdefault(lang, []).append(letters(text).encode())

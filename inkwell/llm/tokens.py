@@ -1,14 +1,16 @@
 """Exact token counts and ids of public tokenizers, with a whole-token shortcut and caches.
 
-A text of common characters is cut at its spaces into chunks whose tokens don't depend on their
-neighbours; a chunk's tokens are looked up, or found with the library on first sight. Every
-other text goes to the library whole, so results are always the library's.
+A text is cut at spaces between other characters into chunks whose tokens don't depend on their
+neighbours; a chunk's tokens are looked up, or found with the library on first sight. Only texts
+with special strings, or with characters that the library is found to class otherwise than the
+pattern here, go to it whole, so results are always the library's.
 """
 
 from __future__ import annotations
 
 import json
 import struct
+from functools import lru_cache
 
 import pyarrow as pa
 import regex
@@ -17,9 +19,13 @@ from pyspark.sql import functions as F
 
 #: The pattern that splits text before byte-level merges (fixed by the vocabulary's format).
 PRETOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Outside of these, Unicode tables of libraries might differ, or white space meets white space.
-_RARE = regex.compile(r"[^\n\x20-\x7eÀ-ÿ]|\s\s")
+#: Characters up to here are looked at one by one; texts with others go to the library.
+_LAST = 0x1FFFF
+_DOUBLE = regex.compile(r"\s\s")
+_SINGLE_SPACE = regex.compile(r"(?<=\S) (?=\S)")
+_COMMON_WORD = regex.compile(r"[\x21-\x7eÀ-ÿ]+")
 _RARE_WORDS = regex.compile(r"[^\t\n\r\x0b\x0c\x20-\x7eÀ-ÿ]")
+_ASCII_SPACE = regex.compile(r"[\x20\x09-\x0D]+")
 CACHE_ENTRIES = 500_000
 CACHE_LENGTH = 200
 
@@ -83,9 +89,37 @@ def whole_tokens(path: str) -> frozenset[str]:
     return frozenset(s for s, e in zip(strings, encoded) if len(e.ids) == 1)
 
 
-def make_counter(path: str, whole: frozenset[str]):
-    """A function text -> number of tokens."""
-    t = load(path)
+@lru_cache(maxsize=4)
+def doubtful(path: str) -> str:
+    """A pattern of the characters that the library at ``path`` cuts text at otherwise than
+    ``PRETOKEN`` does (Unicode tables differ by their age), or that are over ``_LAST``.
+
+    Each is tried after a letter, a digit, a sign and a space, which tells letters, numbers, signs
+    and white space apart.
+    """
+    split, pattern = load(path).pre_tokenizer.pre_tokenize_str, regex.compile(PRETOKEN)
+
+    def differing(chars: list[str]) -> list[str]:
+        text = "".join(f"a{c}1{c}!{c} {c}\n" for c in chars)
+        if [at for _, at in split(text)] == [m.span() for m in pattern.finditer(text)]:
+            return []
+        half = len(chars) // 2
+        return chars if not half else differing(chars[:half]) + differing(chars[half:])
+
+    found = [x for lo in range(0, _LAST, 1024) for x in differing([chr(c) for c in range(lo, lo + 1024) if not 0xD800 <= c < 0xE000] or ["a"])]
+    ranges: list[list[int]] = []
+    for c in map(ord, found):
+        if ranges and ranges[-1][1] == c - 1:
+            ranges[-1][1] = c
+        else:
+            ranges.append([c, c])
+    ranges.append([_LAST + 1, 0x10FFFF])
+    return "[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges) + "]"
+
+
+def make_counter(path: str, whole: frozenset[str], rare: str):
+    """A function text -> number of tokens; ``rare`` is the pattern of ``doubtful``."""
+    t, unsure = load(path), regex.compile(rare)
     pattern = regex.compile(PRETOKEN)
     special = [x.content for x in t.get_added_tokens_decoder().values()]
 
@@ -102,9 +136,10 @@ def make_counter(path: str, whole: frozenset[str]):
     def count(text: str | None) -> int:
         if not text:
             return 0
-        if _RARE.search(text) or any(s in text for s in special):
+        if not text.isascii() and unsure.search(text) or any(s in text for s in special):
             return library(text)
-        head, *rest = text.split(" ")
+        # single spaces all begin a chunk; where white space meets white space, only those between others do
+        head, *rest = _SINGLE_SPACE.split(text) if _DOUBLE.search(text) else text.split(" ")
         return first[head] + sum(map(later.__getitem__, rest))
 
     return count
@@ -121,11 +156,11 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     texts have 0 of both. Special strings in a text are the library's tokens. Repeated rows
     repeat; other columns are not read. ``path`` must exist on every executor. A narrow map.
     """
-    whole = docs.sparkSession.sparkContext.broadcast(whole_tokens(path))  # bounded by the vocabulary
+    known = docs.sparkSession.sparkContext.broadcast((whole_tokens(path), doubtful(path)))  # bounded by the vocabulary and Unicode
 
     def run(batches):
         if path not in _counters:  # Python workers serve many tasks
-            _counters[path] = make_counter(path, whole.value)
+            _counters[path] = make_counter(path, *known.value)
         count = _counters[path]
         for b in batches:
             texts = b.column(1).to_pylist()
@@ -161,12 +196,17 @@ def make_id_encoder(path: str):
         return library(chunk)
 
     words = _Bounded(word)
+    # a word with other characters is the library's, which lower-cases and composes it by its own tables;
+    # neither reaches over white space, so a word's ids don't depend on its neighbours
+    any_words = _Bounded(lambda chunk: words[chunk.lower()] if _COMMON_WORD.fullmatch(chunk) else library(chunk))
 
     def encode(text: str | None) -> bytes:
         if not text:
             return b""
-        if _RARE_WORDS.search(text) or "<|" in text:
+        if "<|" in text:
             return library(text)
+        if _RARE_WORDS.search(text):
+            return b"".join(map(any_words.__getitem__, filter(None, _ASCII_SPACE.split(text))))
         return b"".join(map(words.__getitem__, text.lower().split()))
 
     return encode

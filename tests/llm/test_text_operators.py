@@ -47,7 +47,7 @@ def test_token_counts_equal_the_library(odd, odd_rows):
 def test_chunks_never_change_tokens():
     rng = random.Random(5)
     path = vocabulary("byte_bpe_50k.json")
-    count, library = tokens.make_counter(path, tokens.whole_tokens(path)), tokens.load(path)
+    count, library = tokens.make_counter(path, tokens.whole_tokens(path), tokens.doubtful(path)), tokens.load(path)
     ids, words = tokens.make_id_encoder(vocabulary("word_bpe_49k.json")), tokens.load(vocabulary("word_bpe_49k.json"))
     alphabet = ["a", "the", "Thé", "'s", "'", "12", ".", "!?", " ", " ", "\n", "\t", "é", "Über", "<|endoftext|>", "\r\n", "ﬁ", "İ", " ", "日", "don't", "²"]
     for _ in range(1500):
@@ -56,6 +56,32 @@ def test_chunks_never_change_tokens():
         assert ids(text) == b"".join(i.to_bytes(4, "little") for i in words.encode(text, add_special_tokens=False).ids), repr(text)
 
 
+SCRIPTS = [
+    "Plain text,  two spaces\n\nand\ttabs \r\n end ", "Привет, мир! Ёлка 2024", "日本語の漢字とカタカナ、句読点。", "العربية ١٢٣ والنص", "हिन्दी में क्षि", "한국어 문장", "ภาษาไทย",
+    "“curly” ‘quotes’ — dashes – and… €5", "ΟΔΥΣΣΕΥΣ Σ ς", "e\u0301a\u0308 ﬁ ½ Ⅷ", "😀👩\u200d👧🏽", "a\u00a0b\u2003c\u3000d\x85e\x1cf", "   \n \n\t  x   y",
+]
+
+
+def test_tokens_of_every_script():
+    """Mixed scripts and white space, as the library has them; none of it needs the library whole."""
+    import regex
+
+    rng = random.Random(9)
+    path, own = vocabulary("byte_bpe_50k.json"), vocabulary("word_bpe_49k.json")
+    rare = tokens.doubtful(path)
+    count, library = tokens.make_counter(path, tokens.whole_tokens(path), rare), tokens.load(path)
+    ids, words = tokens.make_id_encoder(own), tokens.load(own)
+    assert not any(regex.search(rare, x) for x in SCRIPTS) and regex.search(rare, "\U000e0100")
+    for _ in range(6000):
+        text = "".join(x[: rng.randint(1, len(x))] if rng.random() < 0.3 else rng.choice(x) for x in rng.choices(SCRIPTS, k=rng.randint(1, 9)))
+        assert count(text) == len(library.encode(text, add_special_tokens=False).ids), repr(text)
+        assert ids(text) == b"".join(i.to_bytes(4, "little") for i in words.encode(text, add_special_tokens=False).ids), repr(text)
+
+
+def test_token_counts_of_nothing(empty):
+    assert tokens.count_tokens(empty, vocabulary("byte_bpe_50k.json")).count() == 0
+
+
 def test_whole_tokens_encode_alone():
     path = vocabulary("byte_bpe_50k.json")
     whole, library = tokens.whole_tokens(path), tokens.load(path)
@@ -71,6 +97,41 @@ def test_language_id_held_out_accuracy(spark, sf_dir):
     assert sum(a == b for a, b, _ in held) >= 0.95 * len(held) and all(0 <= s <= 1 for _, _, s in held)
 
 
+def test_language_fit_is_bounded(spark):
+    """Only the languages with most rows are sampled, whatever number there is; ties are rejected."""
+    rows = [(i, "abc def ghi " * 9, f"l{i % 300:03d}") for i in range(3000)] + [(9000 + i, "xyz uvw rst " * 9, "big") for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs, max_languages=5, rows_per_language=4)
+    assert [x for x, _ in model.dictionaries] == ["big", "l000", "l001", "l002", "l003"]
+    classify = langid.make_classifier(model)
+    assert classify("xyz uvw rst")[0] == "big" and not classify("xyz uvw rst xyz uvw")[3]
+    assert classify("abc def ghi " * 20)[3] and classify("abc def")[3]  # four languages have the same words
+
+
+def test_quality_odd_rows(spark, odd, odd_rows, empty):
+    """Rows one by one, repeats included: the verdict follows from the ratios and bands."""
+    import zstandard
+
+    coder, want = zstandard.ZstdCompressor(level=quality.LEVEL), Counter()
+    for r in odd_rows:
+        data = (r[1] or "").encode()
+        words = data.split()
+        if not data:
+            want[r[0], False, None] += 1
+            continue
+        windows = list(zip(words, words[1:], words[2:]))
+        repeated = {i + k for i, w in enumerate(windows) if windows.count(w) > 1 for k in range(3)} if len(windows) < 3000 else set()
+        failed = len(words) < 50 or 100 * len(repeated) > 50 * len(words)
+        chunks = [data[i : i + quality.CHUNK] for i in range(0, len(data), quality.CHUNK)]
+        if len(chunks) > 1 and len(chunks[-1]) < quality.CHUNK // 4:
+            chunks[-2:] = [b"".join(chunks[-2:])]
+        inside = lambda d, bands: (lambda lo, hi: lo <= len(coder.compress(d)) / len(d) <= hi)(*[b[1:] for b in bands if b[0] <= len(d)][-1])
+        out = sum(not inside(c, quality.CHUNK_BANDS) for c in chunks)
+        want[r[0], not failed and inside(data, quality.WHOLE_BANDS) and out <= quality.CHUNK_SHARE * len(chunks), round(len(coder.compress(data)) / len(data), 9)] += 1
+    got = Counter((r.doc_id, r.kept, None if r.ratio is None else round(r.ratio, 9)) for r in quality.quality(odd).collect())
+    assert got == want and quality.quality(empty).count() == 0
+
+
 def test_language_id_odd_rows(odd, empty):
     rows = langid.language_id(odd).collect()
     by = {r.text: r.langid for r in rows}
