@@ -220,21 +220,33 @@ def test_search_few_and_none(spark):
 
 
 def brute_passages(rows, least):
-    where = defaultdict(set)
-    docs = [(i, (t or "").encode().split()) for i, t in rows if i is not None]
-    for i, w in docs:
-        for s in range(len(w) - least + 1):
-            where[tuple(w[s : s + least])].add(i)
-    out = set()
-    for i, w in docs:
-        covered = np.zeros(len(w) + 1, dtype=bool)
-        for s in range(len(w) - least + 1):
-            if len(where[tuple(w[s : s + least])]) > 1:
-                covered[s : s + least] = True
-        for on, run in itertools.groupby(range(len(w) + 1), key=lambda k: covered[k]):
-            run = list(run)
-            if on:
-                out.add((i, run[0], len(run)))
+    """Windows of all documents but whole copies of a smaller one; runs of one class are one row."""
+    texts = defaultdict(set)
+    for i, t in rows:
+        if i is not None and len((t or "").encode().split()) >= least:
+            texts[t].add(i)
+    out, where = set(), defaultdict(set)
+    for t, ids in texts.items():
+        words, first = tuple(t.encode().split()), min(ids)
+        if len(ids) > 1:
+            out |= {(i, 0, len(words), first, 0, len(ids)) for i in ids}
+        for s in range(len(words) - least + 1):
+            where[words[s : s + least]].add((first, s))
+    for t, ids in texts.items():
+        words, doc, runs = tuple(t.encode().split()), min(ids), defaultdict(list)
+        for s in range(len(words) - least + 1):
+            hit = where[words[s : s + least]]
+            if len({d for d, _ in hit}) > 1:
+                first = min(hit)
+                if len(ids) > 1 and first[0] == doc:
+                    continue  # within the stretch of the whole
+                run = runs[first[0]]
+                if run and run[-1][1] == s - 1:
+                    run[-1][1] = s
+                    run[-1][3] = max(run[-1][3], len({d for d, _ in hit}))
+                else:
+                    run.append([s, s, first[1], len({d for d, _ in hit})])
+        out |= {(doc, a, z - a + least, f, at, n) for f, run in runs.items() for a, z, at, n in run}
     return out
 
 
@@ -245,24 +257,34 @@ def test_shared_passages_equal_brute_force(spark, odd, odd_rows, prose):
     for i in range(120):
         body = " ".join(rng.choice(parts) if rng.random() < 0.6 else prose(5000 + 10 * i + j, rng.randint(1, 80)) for j in range(4))
         rows.append((1000 + i, body))
+    rows += [(3000, "a " * 90), (3001, "b a " + "a " * 70), (3002, "x y " * 60), (3003, prose(77, 40) + " x y" * 40)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    found = repeats.shared_passages(df).collect()
-    got = {(r.doc_id, r.start_word, r.n_words) for r in found}
-    assert len(found) == len(got)
-    # touching stretches are one
-    assert got == brute_passages(rows, repeats.MIN_WORDS)
-    assert all(r.first_doc_id <= r.doc_id for r in found)
-
-
-@pytest.mark.parametrize("settled", [2000, 0])
-def test_runs_over_partition_edges(spark, monkeypatch, settled):
-    monkeypatch.setattr(repeats, "SETTLED_KEYS", settled)
-    monkeypatch.setattr(repeats, "_RUN", 100)
-    rows = [(k, d, p) for k in (5, 6, 7) for d in range(300) for p in range(2)] + [(8, 1, 0), (8, 1, 4), (9, 2, 0)]
-    df = spark.createDataFrame(rows, "key long, doc_id long, pos int")
-    got = repeats._shared(df, "test").collect()
-    assert sorted((r.key, r.doc_id, r.pos) for r in got) == sorted(r for r in rows if r[0] < 8)
-    assert {r.first for r in got} == {0}
+    found = [tuple(r) for r in repeats.shared_passages(df).collect()]
+    want = brute_passages(rows, repeats.MIN_WORDS)
+    whole = {(r[0], r[3]) for r in want if r[1] == 0 and r[0] != r[3]}
+    assert len(found) == len(set(found))
+    # the count of a stretch of a whole copied text may come from a window that more documents have
+    key = lambda r: r[:4] + r[4:] * ((r[0], r[3]) not in whole and r[0] != r[3])
+    assert {key(r) for r in found} == {key(r) for r in want}
+    assert all(r[3] <= r[0] and r[5] > 1 for r in found) and len({r[3] for r in found}) > 20
+
+
+def test_a_stretch_links_each_partner(spark, prose):
+    """Touching passages that different documents share are stretches of their own."""
+    a, b = prose(31, 70), prose(32, 80)
+    rows = [(1, a + " " + prose(33, 30)), (2, prose(34, 20) + " " + b), (3, a + " " + b), (4, prose(35, 9) + " " + b)]
+    got = {tuple(r) for r in repeats.shared_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, 0, 70, 1, 0, 2), (3, 0, 70, 1, 0, 2), (2, 20, 80, 2, 20, 3), (3, 70, 80, 2, 20, 3), (4, 9, 80, 2, 20, 3)}
+
+
+@pytest.mark.parametrize("n_keys, run_rows", [(1, 200_000), (1, 100), (2, 100)])
+def test_runs_over_partition_edges(spark, n_keys, run_rows):
+    rows = [(k, k % 2, d, p) for k in (5, 6, 7) for d in range(300) for p in range(2)] + [(8, 0, 1, 0), (8, 0, 1, 4), (9, 0, 2, 0), (9, 1, 3, 0)]
+    df = spark.createDataFrame(rows, "key long, key2 long, doc_id long, pos int")
+    got = repeats._shared(df if n_keys == 2 else df.drop("key2"), "test", n_keys, run_rows).collect()
+    some = [r for r in rows if r[0] < 8 or (r[0] == 9 and n_keys == 1)]
+    assert sorted((r.key, r.doc_id, r.pos) for r in got) == sorted((r[0], r[2], r[3]) for r in some)
+    assert {(r.key, r.first, r.first_pos, r.n_docs) for r in got} == {(k, 0, 0, 300) for k in (5, 6, 7)} | ({(9, 2, 0, 2)} if n_keys == 1 else set())
 
 
 def test_no_passages(empty):
