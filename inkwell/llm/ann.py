@@ -1,4 +1,4 @@
-"""Approximate nearest neighbours with a vantage-point tree per shard."""
+"""Approximate nearest neighbours with a vantage-point tree per shard, and one over the shards."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import materialise
+from inkwell.llm.common import materialise, small, unit_hash
 
 LEAF = 128
 _NO_ID = np.iinfo(np.int64).max
@@ -60,8 +60,9 @@ class VPTree:
         half = len(order) // 2  # by rank, so that ties don't unbalance the tree
         return Node(None, vantage, float(gap[order[half]]), self._build(rest[order[:half]], leaf), self._build(rest[order[half:]], leaf))
 
-    def search(self, q_ids: np.ndarray, q: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the k nearest rows of each query but those of its own id.
+    def search(self, q_ids: np.ndarray, q: np.ndarray, k: int, factor: float, floor: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and scores of the k nearest rows of each query but those of its own id; rows below a
+        query's ``floor``, the k-th score it has found elsewhere, may be left out.
 
         A half is skipped if the triangle inequality, with its lower bound multiplied by
         ``factor``, rules out anything nearer than the k-th found: 1 is exact, more skips more.
@@ -70,9 +71,14 @@ class VPTree:
         q_square = (q * q).sum(axis=1)
         slack = 1e-7 * (np.sqrt(q_square) + np.sqrt(self.top))
 
+        floor = np.full(len(q), -np.inf) if floor is None else floor
+
+        def bound(at: np.ndarray) -> np.ndarray:
+            return np.maximum(scores[at, -1], floor[at])
+
         def offer(at: np.ndarray, rows: np.ndarray, ip: np.ndarray) -> None:
             new = np.where(self.ids[rows][None, :] == q_ids[at][:, None], -np.inf, ip)
-            better = (new >= scores[at, -1][:, None]).any(axis=1)
+            better = (new >= bound(at)[:, None]).any(axis=1)
             at, new = at[better], new[better]
             if not len(at):
                 return
@@ -83,7 +89,7 @@ class VPTree:
             scores[at], ids[at] = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
 
         def reach(at: np.ndarray) -> np.ndarray:
-            return np.sqrt(np.maximum(q_square[at] + self.top - 2 * scores[at, -1], 0.0)) + slack[at]
+            return np.sqrt(np.maximum(q_square[at] + self.top - 2 * bound(at), 0.0)) + slack[at]
 
         def visit(node: Node, at: np.ndarray) -> None:
             if not len(at):
@@ -115,6 +121,88 @@ def usable(vec: Column) -> Column:
     return F.coalesce(vec.isNotNull() & finite & F.exists(vec, lambda c: c != 0), F.lit(False))
 
 
+@dataclass
+class Cut:
+    """An inner node of the tree over shards: a lifted vantage vector and its median distance; a
+    leaf has the number of its shard."""
+
+    shard: int = -1
+    vantage: np.ndarray | None = None
+    radius: float = 0.0
+    inner: "Cut | None" = None
+    outer: "Cut | None" = None
+
+
+class ShardTree:
+    """A vantage-point tree whose leaves are shards, cut by a sample: it deals every vector to one
+    shard and tells which shards a query can skip whole."""
+
+    def __init__(self, sample: np.ndarray, top: float, shards: int):
+        self.top, self.shards = top, 0
+        self.root = self._cut(self.lift(sample), shards)
+
+    def lift(self, x: np.ndarray) -> np.ndarray:
+        return np.column_stack([x, np.sqrt(np.maximum(self.top - (x * x).sum(axis=1), 0.0))])
+
+    def _cut(self, rows: np.ndarray, shards: int) -> Cut:
+        if shards < 2 or len(rows) < 2:
+            self.shards += 1
+            return Cut(self.shards - 1)
+        vantage = rows[int(np.argmax(((rows - rows.mean(axis=0)) ** 2).sum(axis=1)))]
+        gap = np.sqrt(((rows - vantage) ** 2).sum(axis=1))
+        radius = float(np.median(gap))
+        inside = gap <= radius
+        return Cut(-1, vantage, radius, self._cut(rows[inside], (shards + 1) // 2), self._cut(rows[~inside], shards // 2))
+
+    def deal(self, x: np.ndarray) -> np.ndarray:
+        """The shard of each vector."""
+        lifted, out = self.lift(x), np.zeros(len(x), dtype=np.int32)
+
+        def go(node: Cut, at: np.ndarray) -> None:
+            if node.shard >= 0:
+                out[at] = node.shard
+            elif len(at):
+                inside = np.sqrt(((lifted[at] - node.vantage) ** 2).sum(axis=1)) <= node.radius
+                go(node.inner, at[inside])
+                go(node.outer, at[~inside])
+
+        go(self.root, np.arange(len(x)))
+        return out
+
+    def visits(self, q: np.ndarray, kth: np.ndarray, factor: float) -> list[list[int]]:
+        """The shards that may hold something nearer than each query's k-th score so far."""
+        square, out = (q * q).sum(axis=1), [[] for _ in q]
+        reach = np.sqrt(np.maximum(square + self.top - 2 * kth, 0.0)) + 1e-7 * (np.sqrt(square) + np.sqrt(self.top))
+        reach[np.isneginf(kth)] = np.inf
+
+        def go(node: Cut, at: np.ndarray) -> None:
+            if node.shard >= 0:
+                for i in at:
+                    out[i].append(node.shard)
+            elif len(at):
+                gap = np.sqrt(np.maximum(square[at] + self.top - 2 * (q[at] @ node.vantage[:-1]), 0.0))
+                go(node.inner, at[~((gap - node.radius) * factor > reach[at])])
+                go(node.outer, at[~((node.radius - gap) * factor > reach[at])])
+
+        go(self.root, np.arange(len(q)))
+        return out
+
+
+def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+        column = pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _by_length(b: pa.RecordBatch, dim: int, vec: int):
+    """The rows of each vector length with their matrix."""
+    lengths = b.column(dim).to_numpy(zero_copy_only=False)
+    for d in np.unique(lengths):
+        at = np.flatnonzero(lengths == d)
+        yield int(d), at, _matrix(b.column(vec).take(pa.array(at)))
+
+
 def nearest(
     vectors: DataFrame,
     is_query: Column,
@@ -124,6 +212,7 @@ def nearest(
     factor: float = 1.25,
     shard_rows: int = 4096,
     query_block: int = 16384,
+    sample_rows: int = 20_000,
 ) -> DataFrame:
     """The k nearest rows by inner product of every row where ``is_query`` holds.
 
@@ -131,36 +220,83 @@ def nearest(
     vectors in double precision), ties to the smaller id; all candidates if fewer than k.
     Rows without an id, null or zero vectors and those holding null or non-finite components take
     no part; vectors meet those of their own length; repeated rows count once, and rows of the
-    query's id are not its candidates. An empty table gives an empty result. Every row is
-    indexed: hashed into shards of about ``shard_rows``, each searched for blocks of
-    ``query_block`` queries, which bounds a task's memory; more queries make more blocks.
+    query's id are not its candidates. An empty table gives an empty result.
+
+    Every row is indexed. A vantage-point tree cut by about ``sample_rows`` vectors deals rows to
+    shards of about ``shard_rows``; a shard of more (many equal or near vectors) is split by hash.
+    Of equal vectors, the k + 1 smallest ids are all that can be found, so the others are left out.
+    A query first searches its own shard; the k-th score found there rules out other shards whole,
+    by the same inequality and factor as within a shard. Queries come to a shard in blocks of
+    ``query_block``, which bounds a task's memory.
     """
     v = vectors.select(
         F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("q")
     )
-    v = v.where(F.col("id").isNotNull() & usable(F.col("v"))).dropDuplicates(["id", "v"])
+    v = v.where(F.col("id").isNotNull() & usable(F.col("v"))).groupBy("id", "v").agg(F.max("q").alias("q"))
     v = materialise(v.withColumn("dim", F.size("v")), "vectors")
-    queries = v.where("q")
-    shards = max(1, -(-v.count() // shard_rows))
-    blocks = max(1, -(-queries.count() // query_block))
-    data = v.select("dim", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "id", "v")
-    asked = queries.select("dim", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.pmod(F.xxhash64(F.col("id"), F.lit(1)), F.lit(blocks)).cast("int").alias("block"), "id", "v")
+    square = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
+    stats = v.groupBy("dim").agg(F.count("*").alias("n"), F.max(square).alias("top")).collect()  # a row a vector length
+    total = sum(r["n"] for r in stats)
+    drawn = v.where(unit_hash(7, F.col("id")) < min(1.0, sample_rows / max(1, total))).select("dim", "v").toArrow()
+    lengths, trees = drawn.column("dim").to_numpy(), {}
+    for r in stats:
+        at = np.flatnonzero(lengths == r["dim"])
+        own = _matrix(drawn.column("v").take(pa.array(at))) if len(at) else np.zeros((0, r["dim"]))
+        trees[r["dim"]] = ShardTree(own, r["top"], max(1, min(-(-r["n"] // shard_rows), len(own) // 8)))
+    forest = v.sparkSession.sparkContext.broadcast(trees)  # at most sample_rows vectors
 
-    def matrix(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        flat = t.column("v").combine_chunks()
-        flat = pa.concat_arrays(flat.chunks) if isinstance(flat, pa.ChunkedArray) else flat
-        return t.column("id").to_numpy(), flat.flatten().to_numpy().reshape(t.num_rows, -1)
+    def deal(batches):
+        for b in batches:
+            shard = np.zeros(b.num_rows, dtype=np.int32)
+            for d, at, x in _by_length(b, 3, 1):
+                shard[at] = forest.value[d].deal(x)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(shard)], names=[*b.schema.names, "shard"])
+
+    dealt = materialise(v.mapInArrow(deal, "id long, v array<double>, q boolean, dim int, shard int"), "dealt")
+    equal = Window.partitionBy("dim", "shard", "v").orderBy("id")
+    data = materialise(dealt.withColumn("n", F.row_number().over(equal)).where(F.col("n") <= k + 1).drop("n", "q"), "data")
+    sizes = data.groupBy(F.col("dim").alias("_dim"), F.col("shard").alias("_shard")).agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("parts"))
+    sizes = small(materialise(sizes, "sizes"))
+    here = (F.col("dim") == F.col("_dim")) & (F.col("shard") == F.col("_shard"))
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        names = ["query_id", "vec_id", "score"]
         if not left.num_rows or not right.num_rows:
             return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        q_ids, q = matrix(right)
-        ids, scores = VPTree(*matrix(left)).search(q_ids, q, k, factor)
+        q_ids, floor = right.column("id").to_numpy(), right.column("kth").to_numpy()
+        ids, scores = VPTree(left.column("id").to_numpy(), _matrix(left.column("v"))).search(q_ids, _matrix(right.column("v")), k, factor, floor)
         found = ids != _NO_ID
-        return pa.table([np.repeat(q_ids, found.sum(axis=1)), ids[found], scores[found]], names=names)
+        return pa.table([np.repeat(q_ids, found.sum(axis=1)), ids[found], scores[found]], names=["query_id", "vec_id", "score"])
+
+    def found_in(asked: DataFrame) -> DataFrame:
+        """``asked`` (``id``, ``v``, ``dim``, ``shard``, ``kth``) searched in every part of its shards."""
+        n = asked.groupBy("dim", "shard").agg(F.ceil(F.count("*") / query_block).cast("int").alias("blocks"))
+        plan = small(materialise(n.join(sizes, here).select("_dim", "_shard", "parts", "blocks"), "blocks"))
+        block = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
+        part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part")
+        left = data.join(plan, here).select("dim", "shard", part, block, "id", "v")
+        every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
+        right = asked.join(plan, here).select("dim", "shard", every, F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks")).cast("int").alias("block"), "id", "v", "kth")
+        key = ["dim", "shard", "part", "block"]
+        return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(search, "query_id long, vec_id long, score double")
+
+    def top(found: DataFrame) -> DataFrame:
+        w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+    queries = dealt.where("q").drop("q")
+    near = materialise(top(found_in(queries.withColumn("kth", F.lit(float("-inf"))))), "near")
+    kth = near.where(F.col("rank") == k).select(F.col("query_id").alias("_id"), F.col("score").alias("kth"))
+    bounded = queries.join(kth, F.col("id") == F.col("_id"), "left").select("id", "v", "dim", "shard", F.coalesce("kth", F.lit(float("-inf"))).alias("kth"))
+
+    def visit(batches):
+        for b in batches:
+            lists: list = [[] for _ in range(b.num_rows)]
+            own, bound = b.column(3).to_numpy(zero_copy_only=False), b.column(4).to_numpy(zero_copy_only=False)
+            for d, at, x in _by_length(b, 2, 1):
+                for i, shards in zip(at, forest.value[d].visits(x, bound[at], factor)):
+                    lists[i] = [s for s in shards if s != own[i]]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lists, type=pa.list_(pa.int32()))], names=[*b.schema.names, "more"])
 
-    key = ["dim", "shard", "block"]
-    found = data.groupBy(*key).cogroup(asked.groupBy(*key)).applyInArrow(search, "query_id long, vec_id long, score double")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    routed = bounded.mapInArrow(visit, "id long, v array<double>, dim int, shard int, kth double, more array<int>")
+    more = materialise(routed.select("id", "v", "dim", F.explode("more").alias("shard"), "kth"), "visits")
+    return top(near.drop("rank").unionByName(found_in(more))).select("query_id", "rank", "vec_id", "score")

@@ -212,6 +212,52 @@ def test_search_recall_of_the_query(spark):
     assert hits >= 0.95 * total
 
 
+def clustered(n=4000, dim=16, centres=25):
+    rng = np.random.default_rng(4)
+    x = (rng.normal(size=(centres, dim))[rng.integers(0, centres, n)] + rng.normal(scale=0.15, size=(n, dim))).astype(np.float32)
+    x[3000:3300] = x[3000]  # a hot vector
+    return x.astype(np.float64)
+
+
+@pytest.mark.parametrize("made", ["clustered", "table"])
+def test_search_recall_over_many_shards(spark, made):
+    """Rows whose id is divisible by 100 against all rows, over some 30 shards at the query's factor."""
+    if made == "table":
+        rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding").collect()
+        ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], dtype=np.float64)
+    else:
+        x = clustered()
+        ids = np.arange(len(x))
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<double>")
+    got = defaultdict(dict)
+    for r in ann.nearest(df, F.col("vec_id") % 100 == 0, shard_rows=len(x) // 30).collect():
+        got[r.query_id][r.rank] = (r.vec_id, r.score)
+    hits = total = 0
+    for i in np.flatnonzero(ids % 100 == 0):
+        s = x @ x[i]
+        s[i] = -np.inf
+        best = set(ids[np.lexsort((ids, -s))[:20]].tolist())
+        found = got[int(ids[i])]
+        assert len(found) == 20 and all(abs(score - x[np.flatnonzero(ids == v)[0]] @ x[i]) < 1e-9 for v, score in found.values())
+        hits, total = hits + len(best & {v for v, _ in found.values()}), total + 20
+    assert hits >= 0.9 * total
+
+
+def test_shards_are_skipped_whole():
+    """Every vector has a shard; at factor 1 the shards of the nearest are always visited, and few others."""
+    x = clustered()
+    tree = ann.ShardTree(x[::4], float((x * x).sum(axis=1).max()), 32)
+    shard = tree.deal(x)
+    assert 20 < tree.shards <= 32 and len(set(shard.tolist())) > 20  # equal vectors are not cut apart
+    q = x[::100]
+    s = q @ x.T
+    kth = np.sort(s, axis=1)[:, -20]
+    visits = tree.visits(q, kth, 1.0)
+    for i, own in enumerate(visits):
+        assert set(shard[s[i] >= kth[i]].tolist()) <= set(own)
+    assert sum(map(len, visits)) < 0.6 * 32 * len(q)
+
+
 def test_search_few_and_none(spark):
     df = spark.createDataFrame([(0, [1.0, 2.0]), (1, [2.0, 1.0]), (20, [1.0])], "vec_id long, embedding array<float>")
     rows = ann.nearest(df, F.col("vec_id") % 20 == 0).collect()
