@@ -226,7 +226,8 @@ def nearest(
     shards of about ``shard_rows``; a shard of more (many equal or near vectors) is split by hash.
     Of equal vectors, the k + 1 smallest ids are all that can be found, so the others are left out.
     A query first searches its own shard; the k-th score found there rules out other shards whole,
-    by the same inequality and factor as within a shard. Queries come to a shard in blocks of
+    by the same inequality and factor as within a shard: most of them where vectors of one length
+    form clusters, hardly any among random ones, which no tree tells apart. Queries come to a shard in blocks of
     ``query_block``, which bounds a task's memory.
     """
     v = vectors.select(
