@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 PRETOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Characters up to here are looked at one by one; texts with others go to the library.
 _LAST = 0x1FFFF
+#: Texts without a match have nothing that needs a closer look.
+_UNCOMMON = regex.compile(r"[^\n\x20-\x7eÀ-ÿ]|\s\s")
 _DOUBLE = regex.compile(r"\s\s")
 _SINGLE_SPACE = regex.compile(r"(?<=\S) (?=\S)")
 _COMMON_WORD = regex.compile(r"[\x21-\x7eÀ-ÿ]+")
@@ -136,10 +138,11 @@ def make_counter(path: str, whole: frozenset[str], rare: str):
     def count(text: str | None) -> int:
         if not text:
             return 0
-        if not text.isascii() and unsure.search(text) or any(s in text for s in special):
+        closer = _UNCOMMON.search(text)
+        if closer and not text.isascii() and unsure.search(text) or any(s in text for s in special):
             return library(text)
         # single spaces all begin a chunk; where white space meets white space, only those between others do
-        head, *rest = _SINGLE_SPACE.split(text) if _DOUBLE.search(text) else text.split(" ")
+        head, *rest = _SINGLE_SPACE.split(text) if closer and _DOUBLE.search(text) else text.split(" ")
         return first[head] + sum(map(later.__getitem__, rest))
 
     return count
