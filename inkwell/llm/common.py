@@ -31,6 +31,22 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+#: What a batch of texts on its way to Python and back holds at most.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+
+
+def text_batches(df: DataFrame) -> DataFrame:
+    """``df``, after bounding the batches in which this session hands rows to Python: texts of any
+    length then take some MB of a worker and of the executor's memory outside its heap."""
+    conf = df.sparkSession.conf
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        own = conf.get(key, None)
+        if own is not None and (own_value := int(re.sub(r"[^0-9-]", "", own))) >= 0 and (own_value == 0 or own_value > most):
+            conf.set(key, str(most))
+    return df
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again.
 

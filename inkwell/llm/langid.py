@@ -10,7 +10,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import unit_hash
+from inkwell.llm.common import text_batches, unit_hash
 
 _NOT_LETTERS = regex.compile(r"[^\p{L}\p{M}]+")
 
@@ -130,7 +130,7 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> Da
             arrays = [pa.array(v, type=t) for v, t in zip(found, types.values())]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.StructArray.from_arrays(arrays, list(types))], names=[*keep, "langid"])
 
-    return out.mapInArrow(run, schema)
+    return text_batches(out).mapInArrow(run, schema)
 
 
 def fold(id_col: str = "doc_id") -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkwell.llm import tokens
-from inkwell.llm.common import materialise, small
+from inkwell.llm.common import materialise, small, text_batches
 
 CAPACITY = 4096
 _encoders: dict = {}
@@ -46,7 +46,7 @@ def pieces(
             cols = list(zip(*rows)) or [[]] * (5 + with_ids)
             yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(cols, kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + with_ids])
 
-    return src.mapInArrow(run, schema)
+    return text_batches(src).mapInArrow(run, schema)
 
 
 def undominated_fillings(largest: int, counts: dict[int, int], capacity: int, limit: int):

@@ -12,6 +12,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inkwell.llm.common import text_batches
+
 #: From so many UTF-8 bytes on, whole texts must compress to between these shares of their size.
 #: Prose shrinks with length, since later words repeat earlier ones; bands follow that.
 WHOLE_BANDS = ((0, 0.40, 1.05), (512, 0.36, 0.88), (1024, 0.33, 0.80), (2048, 0.29, 0.76), (4096, 0.25, 0.74), (8192, 0.22, 0.73), (16384, 0.17, 0.72), (65536, 0.10, 0.72))
@@ -91,4 +93,4 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             cols = list(zip(*rows)) or [[]] * len(kinds)
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, type=k) for c, k in zip(cols, kinds))], names=names)
 
-    return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, {_COLUMNS}")
+    return text_batches(src).mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, {_COLUMNS}")

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import discard, materialise, small
+from inkwell.llm.common import discard, materialise, small, text_batches
 
 MIN_WORDS = 50
 PREFIX = 25  # words of a suffix that select minimisers and are compared first
@@ -101,7 +101,7 @@ def _suffixes(docs: DataFrame, min_words: int, prefix: int) -> DataFrame:
                 [pa.array(cols[0].astype(np.uint64).view(np.int64)), pa.array(cols[1].astype(np.int64)), pa.array(cols[2].astype(np.int32))], names=["key", "doc_id", "pos"]
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "key long, doc_id long, pos int")
+    return text_batches(docs.select("doc_id", "text")).mapInArrow(run, "key long, doc_id long, pos int")
 
 
 def _windows(docs: DataFrame, min_words: int, prefix: int) -> DataFrame:
@@ -129,7 +129,7 @@ def _windows(docs: DataFrame, min_words: int, prefix: int) -> DataFrame:
                 [pa.array(c.astype(np.uint64).view(np.int64)) for c in cols[:2]] + [pa.array(cols[2].astype(np.int64)), pa.array(cols[3].astype(np.int32))], names=["key", "key2", "doc_id", "pos"]
             )
 
-    return docs.select("doc_id", "text", "keys").mapInArrow(run, "key long, key2 long, doc_id long, pos int")
+    return text_batches(docs.select("doc_id", "text", "keys")).mapInArrow(run, "key long, key2 long, doc_id long, pos int")
 
 
 def _compare(n_keys: int, run_rows: int):
@@ -220,7 +220,7 @@ def _digests(docs: DataFrame) -> DataFrame:
                 names=["doc_id", "same", "digest", "n_words"],
             )
 
-    return docs.select("doc_id", "same", "text").mapInArrow(run, "doc_id long, same long, digest binary, n_words int")
+    return text_batches(docs.select("doc_id", "same", "text")).mapInArrow(run, "doc_id long, same long, digest binary, n_words int")
 
 
 def _merge(min_words: int):

@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import materialise, small
+from inkwell.llm.common import materialise, small, text_batches
 from inkwell.llm.graph import connected_components
 
 SEED = 42
@@ -50,7 +50,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     text = F.col(text_col).cast("string")
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("digest"), text.alias("text"))
-    return src.mapInArrow(run, "doc_id long, digest long, fp long")
+    return text_batches(src).mapInArrow(run, "doc_id long, digest long, fp long")
 
 
 def _chain_keys() -> list:

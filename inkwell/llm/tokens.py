@@ -17,6 +17,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inkwell.llm.common import text_batches
+
 #: The pattern that splits text before byte-level merges (fixed by the vocabulary's format).
 PRETOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Characters up to here are looked at one by one; texts with others go to the library.
@@ -28,7 +30,7 @@ _SINGLE_SPACE = regex.compile(r"(?<=\S) (?=\S)")
 _COMMON_WORD = regex.compile(r"[\x21-\x7eÀ-ÿ]+")
 _RARE_WORDS = regex.compile(r"[^\t\n\r\x0b\x0c\x20-\x7eÀ-ÿ]")
 _ASCII_SPACE = regex.compile(r"[\x20\x09-\x0D]+")
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 200_000
 CACHE_LENGTH = 200
 
 
@@ -172,7 +174,7 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
             yield pa.RecordBatch.from_arrays([b.column(0), size, n], names=["doc_id", "n_bytes", "n_tokens"])
 
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_tokens long")
+    return text_batches(src).mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_tokens long")
 
 
 def make_id_encoder(path: str):
