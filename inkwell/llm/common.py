@@ -41,8 +41,8 @@ def text_batches(df: DataFrame) -> DataFrame:
     conf = df.sparkSession.conf
     for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
         key = f"spark.sql.execution.arrow.{key}"
-        own = conf.get(key, None)
-        if own is not None and (own_value := int(re.sub(r"[^0-9-]", "", own))) >= 0 and (own_value == 0 or own_value > most):
+        own = re.fullmatch(r"(-?\d+)b?", conf.get(key))  # the session's value or Spark's default
+        if not own or not 0 < int(own[1]) <= most:
             conf.set(key, str(most))
     return df
 
