@@ -272,11 +272,14 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     groups = materialise(near_groups(docs, id_col, text_col, shingle, seed).select("doc_id", "digest", "group"), "groups")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
-    first = groups.groupBy(F.col("group").alias("_group")).agg(F.min(order).alias("_first"))
-    rows = groups.join(first, F.col("group") == F.col("_group")).groupBy("doc_id", "digest").agg(F.count("*").alias("n"), F.max(order == F.col("_first")).alias("stays"))
-    rows = materialise(rows.select(F.col("doc_id").alias("_near_id"), F.col("digest").alias("_near_digest"), "n", "stays").where("n > 1 or not stays"), "rows")
+    first = groups.groupBy("group").agg(F.min(order).alias("f")).select(F.col("f.doc_id").alias("_id"), F.col("f.digest").alias("_digest"), F.lit(True).alias("stays"))
+    # an id and text are of one group, so the first ones are found by them, not by a group that may hold a third of all rows
+    pairs = groups.groupBy("doc_id", "digest").agg(F.count("*").alias("n"))
+    rows = pairs.join(first, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")), "left")
+    rows = rows.select(F.col("doc_id").alias("_near_id"), F.col("digest").alias("_near_digest"), "n", F.coalesce("stays", F.lit(False)).alias("stays"))
+    rows = materialise(rows.where("n > 1 or not stays"), "rows")
     own = (F.col(id_col).cast("long").eqNullSafe(F.col("_near_id"))) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("_near_digest"))
-    rest = docs.join(small(rows.where("n > 1 or not stays")), own, "left_anti")
+    rest = docs.join(small(rows), own, "left_anti")
     again = rows.where("stays and n > 1")
     if not again.limit(1).count():
         return rest
