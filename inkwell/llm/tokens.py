@@ -30,7 +30,7 @@ _SINGLE_SPACE = regex.compile(r"(?<=\S) (?=\S)")
 _COMMON_WORD = regex.compile(r"[\x21-\x7eÀ-ÿ]+")
 _RARE_WORDS = regex.compile(r"[^\t\n\r\x0b\x0c\x20-\x7eÀ-ÿ]")
 _ASCII_SPACE = regex.compile(r"[\x20\x09-\x0D]+")
-CACHE_ENTRIES = 200_000
+CACHE_ENTRIES = 400_000
 CACHE_LENGTH = 200
 
 
@@ -185,7 +185,7 @@ def make_id_encoder(path: str):
     no merges once "word" and "," are known; a word of ASCII letters alone needs the merges only.
     """
     t = load(path)
-    merge = t.model.tokenize
+    merge, letter = t.model.tokenize, {b: c for c, b in _byte_alphabet().items()}
 
     def pack(ids) -> bytes:
         return struct.pack(f"<{len(ids)}I", *ids)
@@ -195,7 +195,11 @@ def make_id_encoder(path: str):
 
     def word(chunk: str) -> bytes:
         if chunk.isalpha():
-            return pack([x.id for x in merge(chunk)]) if chunk.isascii() else library(chunk)
+            if chunk.isascii():
+                return pack([x.id for x in merge(chunk)])
+            if _COMMON_WORD.fullmatch(chunk):  # letters that composing leaves alone: merged as their bytes
+                return pack([x.id for x in merge("".join(map(letter.__getitem__, chunk.encode())))])
+            return library(chunk)
         if len(chunk) > 1 and chunk[-1] in ".,!?;:" and chunk[:-1].isalpha():
             return words[chunk[:-1]] + words[chunk[-1]]
         return library(chunk)
