@@ -118,7 +118,7 @@ _SETS = rf"""WITH RECURSIVE t AS (SELECT doc_id, lang, regexp_replace(text, '^\s
 u AS (SELECT *, CASE WHEN lang = 'en' THEN list_filter(regexp_split_to_array(x, '\s+'), lambda y: y <> '') ELSE list_filter(string_split(x, ''), lambda y: y <> '') END AS w, CASE WHEN lang = 'en' THEN 5 ELSE 10 END AS n FROM t),
 s AS (SELECT doc_id, lang, CASE WHEN len(w) >= n THEN list_distinct(list_transform(range(1, greatest(len(w) - n + 2, 1)::BIGINT), lambda i: array_to_string(w[i:i+n-1], ' '))) ELSE ['whole ' || x] END AS g FROM u),
 k AS (SELECT min(doc_id) AS id, lang, any_value(g) AS g FROM (SELECT doc_id, lang, list_sort(g) AS g FROM s) GROUP BY lang, g),
-e AS (SELECT id, lang, len(g) AS n, unnest(g) AS x FROM k),
+e AS (SELECT id, lang, len(g) AS n, unnest(list_transform(g, lambda y: hash(y))) AS x FROM k),
 c AS (SELECT a.id AS a, b.id AS b, count(*) AS c, any_value(a.n) AS na, any_value(b.n) AS nb FROM e a JOIN e b ON a.x = b.x AND a.lang = b.lang AND a.id < b.id AND a.n >= 0.8 * b.n AND b.n >= 0.8 * a.n GROUP BY a.id, b.id),
 p AS (SELECT a, b, c / (na + nb - c) AS jaccard FROM c WHERE c / (na + nb - c) >= 0.8)
 """
