@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm import ann, langid, lines, mixing, packing, pii, quality, repeats, simhash, tokens
+from inkwell.llm import ann, decomposition, langid, lines, mixing, packing, pii, quality, repeats, simhash, tokens
 from inkwell.llm.common import materialise, word_count
 
 
@@ -65,6 +65,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_pii(_table(spark, sf_dir, "documents")))
 
 
+def op11_power_of_two_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decomposition.bucketed(decomposition.decompose(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json")))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -78,5 +82,6 @@ QUERIES = {
         op8_token_counts,
         op9_language_id,
         op10_pii,
+        op11_power_of_two_packing,
     )
 }
