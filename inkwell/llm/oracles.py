@@ -29,4 +29,37 @@ SELECT p.doc_id, coalesce(c.n, 0)::BIGINT AS n_lines,
 FROM pages p LEFT JOIN counted c ON p.k = c.k
 """
 
-ORACLES = {"op6_line_dedup": OP6}
+_SOLID = r"CASE WHEN regexp_matches({0}, '[^\x20\x09-\x0D]') THEN {0} END AS {0}"
+
+OP12 = rf"""
+WITH r AS (
+  SELECT coalesce(master_id, client_id) AS cluster_id, client_id, updated_at, nation_id, floor(100 * balance + 0.5)::BIGINT AS cents,
+    CASE source WHEN 'store' THEN 0 WHEN 'crm' THEN 1 WHEN 'partner' THEN 2 WHEN 'web' THEN 3 ELSE 4 END AS trust,
+    {", ".join(_SOLID.format(c) for c in ("name", "email", "city", "segment"))}
+  FROM clients
+), a AS (
+  SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY updated_at DESC NULLS LAST, trust, client_id) AS recent,
+    updated_at IS NULL OR max(updated_at) OVER (PARTITION BY cluster_id) - updated_at > INTERVAL 240 HOURS AS stale FROM r
+), b AS (
+  SELECT *, first_value(segment) OVER (PARTITION BY cluster_id ORDER BY segment IS NULL, recent) AS chosen,
+    row_number() OVER (PARTITION BY cluster_id ORDER BY stale, trust, recent) AS trusted FROM a
+), c AS (
+  SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY name IS NULL, length(name) DESC, trusted) AS by_name,
+    row_number() OVER (PARTITION BY cluster_id ORDER BY email IS NULL, trusted) AS by_email,
+    row_number() OVER (PARTITION BY cluster_id ORDER BY segment IS NULL, recent) AS by_segment,
+    row_number() OVER (PARTITION BY cluster_id ORDER BY cents IS NULL, coalesce(segment = chosen, false) DESC, recent) AS by_balance,
+    row_number() OVER (PARTITION BY cluster_id ORDER BY (city IS NULL)::INT + (nation_id IS NULL)::INT, recent) AS by_address FROM b
+)
+SELECT cluster_id, count(*)::BIGINT AS n_records, (count(*) FILTER (WHERE stale))::BIGINT AS n_stale,
+  max(CASE WHEN by_name = 1 THEN name END) AS name, max(CASE WHEN by_email = 1 THEN email END) AS email, max(chosen) AS segment,
+  max(CASE WHEN by_address = 1 THEN city END) AS city, max(CASE WHEN by_address = 1 THEN nation_id END) AS nation_id,
+  max(CASE WHEN by_balance = 1 THEN cents END) AS balance_cents,
+  max(CASE WHEN by_name = 1 AND name IS NOT NULL THEN client_id END) AS name_from,
+  max(CASE WHEN by_email = 1 AND email IS NOT NULL THEN client_id END) AS email_from,
+  max(CASE WHEN by_segment = 1 AND segment IS NOT NULL THEN client_id END) AS segment_from,
+  max(CASE WHEN by_balance = 1 AND cents IS NOT NULL THEN client_id END) AS balance_from,
+  max(CASE WHEN by_address = 1 AND (city IS NOT NULL OR nation_id IS NOT NULL) THEN client_id END) AS address_from
+FROM c GROUP BY cluster_id
+"""
+
+ORACLES = {"op6_line_dedup": OP6, "op12_golden_record": OP12}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm import ann, decomposition, langid, lines, mixing, packing, pii, quality, repeats, simhash, tokens
+from inkwell.llm import ann, decomposition, golden, langid, lines, mixing, packing, pii, quality, repeats, simhash, tokens
 from inkwell.llm.common import materialise, word_count
 
 
@@ -69,6 +69,10 @@ def op11_power_of_two_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decomposition.bucketed(decomposition.decompose(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json")))
 
 
+def op12_golden_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return golden.golden_records(_table(spark, sf_dir, "clients"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -83,5 +87,6 @@ QUERIES = {
         op9_language_id,
         op10_pii,
         op11_power_of_two_packing,
+        op12_golden_record,
     )
 }
