@@ -62,4 +62,27 @@ SELECT cluster_id, count(*)::BIGINT AS n_records, (count(*) FILTER (WHERE stale)
 FROM c GROUP BY cluster_id
 """
 
-ORACLES = {"op6_line_dedup": OP6, "op12_golden_record": OP12}
+OP13 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents
+), q AS (
+  SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+), asked AS (
+  SELECT item_id, term, count(*)::BIGINT AS times FROM q GROUP BY ALL
+), totals AS (
+  SELECT count(*)::BIGINT AS n_docs, sum(len(t))::BIGINT AS n_terms FROM d WHERE len(t) > 0
+), tf AS (
+  SELECT k, doc_id, n, term, count(*)::BIGINT AS tf FROM (SELECT k, doc_id, len(t)::BIGINT AS n, unnest(t) AS term FROM d)
+  WHERE term IN (SELECT term FROM asked) GROUP BY ALL
+), w AS (
+  SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tf, totals GROUP BY term, n_docs
+), impact AS (
+  SELECT k, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // n_terms))) AS s FROM tf JOIN w USING (term), totals
+), scored AS (
+  SELECT item_id, doc_id, k, sum(s * times)::BIGINT AS score FROM asked JOIN impact USING (term) GROUP BY ALL HAVING sum(s * times) > 0
+)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored) WHERE rank <= 20
+"""
+
+ORACLES = {"op6_line_dedup": OP6, "op12_golden_record": OP12, "op13_lexical_search": OP13}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm import ann, decomposition, golden, langid, lines, mixing, packing, pii, quality, repeats, simhash, tokens
+from inkwell.llm import ann, decomposition, golden, langid, lexical, lines, mixing, packing, pii, quality, repeats, simhash, tokens
 from inkwell.llm.common import materialise, word_count
 
 
@@ -73,6 +73,10 @@ def op12_golden_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     return golden.golden_records(_table(spark, sf_dir, "clients"))
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(lexical.index(_table(spark, sf_dir, "documents")), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -88,5 +92,6 @@ QUERIES = {
         op10_pii,
         op11_power_of_two_packing,
         op12_golden_record,
+        op13_lexical_search,
     )
 }
