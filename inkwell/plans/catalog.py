@@ -92,8 +92,10 @@ _CJK = r"[\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x
 _REFUSED = "|".join(gates.REFUSALS).replace("'", "''")
 
 
-def _duck_grams(units: str, n: int) -> str:
-    return f"list_transform(range(1, greatest(len({units}) - {n - 2}, 1)::BIGINT), lambda i: array_to_string({units}[i:i+{n - 1}], ' '))"
+def _duck_grams(units: str, keys: str, words: int, chars: int) -> str:
+    """SQL for the n-grams of the units (``y`` at ``i`` of ``n``) of each key in ``units``: words if ``en``."""
+    over = f"string_agg(y, ' ') OVER (PARTITION BY {keys} ORDER BY i ROWS BETWEEN CURRENT ROW AND {{}} FOLLOWING)"
+    return " UNION ALL ".join(f"SELECT {keys}, g FROM (SELECT {keys}, n, i, {over.format(k - 1)} AS g FROM {units} WHERE {side}) WHERE i <= n - {k - 1}" for side, k in (("en", words), ("NOT en", chars)))
 
 
 @query(rf"""WITH d AS (SELECT a.doc_id, CASE WHEN a.doc_id % 13 = 1 THEN 'I cannot help. ' || a.text WHEN a.doc_id % 17 = 1 THEN '们这国东京都' || a.text ELSE a.text END AS text,
@@ -101,26 +103,29 @@ def _duck_grams(units: str, n: int) -> str:
   FROM documents a LEFT JOIN documents b ON b.doc_id + 1 = a.doc_id),
 w AS (SELECT *, len(regexp_extract_all(text, CASE WHEN lang = 'en' THEN '[\p{{L}}\p{{N}}_]+' ELSE '{_CJK}' END)) AS nt, len(regexp_extract_all(src, CASE WHEN lang = 'en' THEN '[\p{{L}}\p{{N}}_]+' ELSE '{_CJK}' END)) AS ns,
   CASE WHEN lang = 'en' THEN list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') ELSE string_split(text, '') END AS tu,
-  CASE WHEN lang = 'en' THEN list_filter(regexp_split_to_array(src, '\s+'), lambda x: x <> '') ELSE string_split(src, '') END AS su FROM d)
+  CASE WHEN lang = 'en' THEN list_filter(regexp_split_to_array(src, '\s+'), lambda x: x <> '') ELSE string_split(src, '') END AS su FROM d),
+z AS (SELECT doc_id, side, en, len(u) AS n, unnest(u) AS y, generate_subscripts(u, 1) AS i FROM (SELECT doc_id, 1 AS side, lang = 'en' AS en, tu AS u FROM w WHERE tt = 'ai_generated' UNION ALL SELECT doc_id, 2, lang = 'en', su FROM w WHERE tt = 'ai_generated')),
+g AS ({_duck_grams('z', 'doc_id, side', 15, 30)}),
+copied AS (SELECT DISTINCT x.doc_id FROM g x JOIN g y ON x.doc_id = y.doc_id AND x.g = y.g AND x.side = 1 AND y.side = 2)
 SELECT doc_id, CASE WHEN tt <> 'human_written' AND trim(regexp_replace(text, '\s', '', 'g')) = '' THEN 'empty'
  WHEN tt <> 'human_written' AND fr = 'length' THEN 'truncated'
  WHEN tt <> 'human_written' AND regexp_matches(lower(substr(text, 1, 200)), '{_REFUSED}') THEN 'refusal'
  WHEN tt <> 'human_written' AND lang = 'zh-tw' AND nt > 0 AND len(regexp_replace(text, '[^{gates.SIMPLIFIED}]', '', 'g')) / nt > {gates.SIMPLIFIED_SHARE} THEN 'wrong_script_simplified'
  WHEN tt = 'ai_generated' AND src <> '' AND ns > 0 AND (nt / ns < 0.33 OR nt / ns > 3.0) THEN 'length_mismatch'
- WHEN tt = 'ai_generated' AND lang = 'en' AND len(tu) >= 15 AND len(su) >= 15 AND list_has_any({_duck_grams('tu', 15)}, {_duck_grams('su', 15)}) THEN 'regurgitation'
- WHEN tt = 'ai_generated' AND lang <> 'en' AND len(tu) >= 30 AND len(su) >= 30 AND list_has_any({_duck_grams('tu', 30)}, {_duck_grams('su', 30)}) THEN 'regurgitation'
+ WHEN doc_id IN (SELECT doc_id FROM copied) THEN 'regurgitation'
  WHEN tt = 'ai_edited' AND src <> '' AND regexp_replace(text, '^\s+|\s+$', '', 'g') = regexp_replace(src, '^\s+|\s+$', '', 'g') THEN 'noop_edit' END AS drop_reason FROM w""")
 def gate_first_failure(spark, sf_dir):
     return _gate_rows(spark, sf_dir).select("doc_id", gates.drop_reason().alias("drop_reason"))
 
 
 _SETS = rf"""WITH RECURSIVE t AS (SELECT doc_id, lang, regexp_replace(text, '^\s+|\s+$', '', 'g') AS x FROM documents WHERE text IS NOT NULL),
-u AS (SELECT *, CASE WHEN lang = 'en' THEN list_filter(regexp_split_to_array(x, '\s+'), lambda y: y <> '') ELSE list_filter(string_split(x, ''), lambda y: y <> '') END AS w, CASE WHEN lang = 'en' THEN 5 ELSE 10 END AS n FROM t),
-s AS (SELECT doc_id, lang, CASE WHEN len(w) >= n THEN list_distinct(list_transform(range(1, greatest(len(w) - n + 2, 1)::BIGINT), lambda i: array_to_string(w[i:i+n-1], ' '))) ELSE ['whole ' || x] END AS g FROM u),
-k AS (SELECT min(doc_id) AS id, lang, any_value(g) AS g FROM (SELECT doc_id, lang, list_sort(g) AS g FROM s) GROUP BY lang, g),
-e AS (SELECT id, lang, len(g) AS n, unnest(list_transform(g, lambda y: hash(y))) AS x FROM k),
+u AS (SELECT *, CASE WHEN lang = 'en' THEN list_filter(regexp_split_to_array(x, '\s+'), lambda y: y <> '') ELSE list_filter(string_split(x, ''), lambda y: y <> '') END AS w FROM t),
+z AS (SELECT doc_id, coalesce(lang = 'en', false) AS en, len(w) AS n, unnest(w) AS y, generate_subscripts(w, 1) AS i FROM u),
+s AS (SELECT doc_id, list_sort(list(DISTINCT hash(g))) AS g FROM ({_duck_grams('z', 'doc_id', 5, 10)} UNION ALL SELECT doc_id, 'whole ' || x FROM u WHERE len(w) < CASE WHEN lang = 'en' THEN 5 ELSE 10 END) GROUP BY doc_id),
+k AS MATERIALIZED (SELECT min(doc_id) AS id, lang, g FROM s JOIN t USING (doc_id) GROUP BY lang, g),
+e AS (SELECT id, lang, len(g) AS n, unnest(g) AS x FROM k),
 c AS (SELECT a.id AS a, b.id AS b, count(*) AS c, any_value(a.n) AS na, any_value(b.n) AS nb FROM e a JOIN e b ON a.x = b.x AND a.lang = b.lang AND a.id < b.id AND a.n >= 0.8 * b.n AND b.n >= 0.8 * a.n GROUP BY a.id, b.id),
-p AS (SELECT a, b, c / (na + nb - c) AS jaccard FROM c WHERE c / (na + nb - c) >= 0.8)
+p AS MATERIALIZED (SELECT a, b, c / (na + nb - c) AS jaccard FROM c WHERE c / (na + nb - c) >= 0.8)
 """
 
 
