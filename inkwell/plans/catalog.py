@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from inkwell import hashing, textfn
 from inkwell.functions import cleaning, decode
 from inkwell.operators import decontam, dedup, gates, metrics, ranking, sampling
-from inkwell.plans import corpora, evaluation, releases, rows  # noqa: F401  (they register their queries)
+from inkwell.plans import corpora, evaluation, releases, rows, streams  # noqa: F401  (they register their queries)
 from inkwell.plans.registry import LABELLED as _LABELLED
 from inkwell.plans.registry import ORACLES, QUERIES, docs_of, duck_mod, labelled, query, score, table, text_type  # noqa: F401
 from inkwell.plans.registry import SCORE as _SCORE
