@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from inkwell.plans.registry import query, table
-from inkwell.sources import store
+from inkwell.sources import memo, store
 from inkwell.streaming import threads
 
 #: Characters at which a passage closes, and passages a conversation.
@@ -40,3 +41,24 @@ def conversation_chunks_stream(spark, sf_dir):
     """Up to 4 passages a conversation, each closed once its lines reach 600 characters."""
     found = _landed_twice(spark, sf_dir, pieces=threads.lines_of, target=TARGET, most=MOST)
     return found.where("number >= 0").select("conv_id", "number", "passage")
+
+
+def _distinct_characters(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: len(set(t)))
+
+
+@query("""WITH d AS (SELECT doc_id, text FROM documents), b AS (SELECT text FROM benchmark)
+SELECT doc_id, len(list_distinct(string_split(text, '')))::BIGINT AS value, (SELECT count(DISTINCT text) FROM d) AS first_calls,
+ (SELECT count(*) FROM (SELECT DISTINCT text FROM b WHERE text IS NOT NULL EXCEPT SELECT text FROM d)) AS second_calls, 0::BIGINT AS third_calls FROM d""")
+def memoised_values(spark, sf_dir):
+    """A function of each text through the memo: documents, then documents with the benchmark, then
+    both again; the function sees a text once."""
+    docs, items = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("text")
+    kept = memo.Memo(spark, f"{store.folder(spark)}/memo", "distinct characters", _distinct_characters, "long")
+    _, first = kept.apply(docs, "text", "value")
+    both = docs.select("text").unionByName(items)
+    _, second = kept.apply(both, "text", "value")
+    kept.apply(both, "text", "value")
+    out, third = kept.apply(docs, "text", "value")
+    calls = [F.lit(n).cast("long").alias(f"{k}_calls") for k, n in (("first", first), ("second", second), ("third", third))]
+    return out.select("doc_id", "value", *calls)
