@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkwell import textfn
+from inkwell.functions import grams
 
 # Openings of a refusal, characters of simplified Chinese only, limits.
 REFUSALS = [
@@ -33,14 +34,6 @@ def length(text: Column, language: Column) -> Column:
     return F.when(language == "en", textfn.word_count(text)).otherwise(F.regexp_count(text, F.lit(textfn.CJK)))
 
 
-def shingles(text: Column, language: Column, words: int, chars: int) -> Column:
-    """Distinct n-grams as hashes: of pieces between white space in English, of characters, white
-    space included, elsewhere; case and punctuation count."""
-    english = F.coalesce(language == "en", F.lit(False))
-    units = textfn.units(text, english)
-    return F.when(english, textfn.ngrams(units, words, hashed=True)).otherwise(textfn.ngrams(units, chars, hashed=True))
-
-
 def drop_reason() -> Column:
     """Over columns text, text_type, language, source_text, finish_reason; null if all gates pass."""
     text, kind, lang, src = (F.col(c) for c in ("text", "text_type", "language", "source_text"))
@@ -52,7 +45,9 @@ def drop_reason() -> Column:
     cjk = F.regexp_count(text, F.lit(textfn.CJK))
     simplified = (F.length(text) - F.length(F.translate(text, SIMPLIFIED, ""))) / F.nullif(cjk, F.lit(0))
     ratio = length(text, lang) / F.nullif(length(src, lang), F.lit(0))
-    copied = F.arrays_overlap(shingles(text, lang, COPY_WORDS, COPY_CHARS), shingles(src, lang, COPY_WORDS, COPY_CHARS))
+    # pieces between white space in English, else characters, white space included; case and punctuation
+    # count. Only mirrors go to Python
+    copied = grams.share_a_gram(F.when(mirror, text), F.when(mirror, src), F.coalesce(lang == "en", F.lit(False)), COPY_WORDS, COPY_CHARS)
     gates = [
         ("empty", ai & (textfn.strip(text) == "")),
         ("truncated", ai & (F.col("finish_reason") == "length")),

@@ -78,7 +78,7 @@ def post_text(spark, sf_dir):
 def _gate_rows(spark, sf_dir):
     """Documents as mirrors and edits of the document before them; some refuse, some are in
     simplified characters."""
-    d = docs_of(spark, sf_dir)
+    d = store.spread(docs_of(spark, sf_dir))
     src = d.select((F.col("doc_id") + 1).alias("doc_id"), F.col("text").alias("source_text"))
     han = F.col("doc_id") % 17 == 1
     text = F.when(F.col("doc_id") % 13 == 1, F.concat(F.lit("I cannot help. "), "text")).when(han, F.concat(F.lit("们这国东京都"), "text")).otherwise(F.col("text"))
@@ -132,7 +132,7 @@ p AS MATERIALIZED (SELECT a, b, c / (na + nb - c) AS jaccard FROM c WHERE c / (n
 @query(_SETS + "SELECT a, b, round(jaccard, 6) AS jaccard FROM p")
 def near_dup_pairs(spark, sf_dir):
     grams = store.materialise(dedup.shingled(docs_of(spark, sf_dir), "doc_id", ["lang"], "lang"))
-    sets = store.materialise(dedup.distinct_sets(grams).where("id = rep").select("id", "grp", "grams"))
+    sets = dedup.distinct_sets(grams).where("id = rep").select("id", "grp", "grams")
     return dedup.near_pairs(sets).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
 
 

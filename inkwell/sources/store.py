@@ -36,6 +36,27 @@ def small(df: DataFrame, limit: int = 200_000) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def text_batches(df: DataFrame, rows: int = 1000, size: int = 4 << 20) -> DataFrame:
+    """``df``, after bounding the batches in which this session hands rows to Python, so that texts and
+    arrays of any length take some MB of a worker."""
+    conf = df.sparkSession.conf
+    for key, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        key = f"spark.sql.execution.arrow.{key}"
+        own = re.fullmatch(r"(-?\d+)b?", conf.get(key))
+        if not own or not 0 < int(own[1]) <= most:
+            conf.set(key, str(most))
+    return df
+
+
+def spread(df: DataFrame, most: int = 1 << 30) -> DataFrame:
+    """``df``, dealt to all cores where it is read from fewer files than there are cores and is small (at
+    most ``most`` bytes by Spark's statistics): a file of one row group is one task's otherwise.
+    Larger inputs come in enough parts and are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size <= most and len(df.inputFiles()) < cores else df
+
+
 def ordered_digest(rows: DataFrame, key: str, name: str, value: str | None = None) -> DataFrame:
     """``n`` and the SHA-256 of the keys, or of ``value`` in the order of the keys, joined by newlines.
 
