@@ -38,7 +38,7 @@ CANDIDATES = {
         r"(?i)[\[({ ]at[\])} ]",
         rf"(?i)(?<![{_LOCAL}])[{_LOCAL}]{{1,64}}+ ?(?:\(at\)|\[at\]|\{{at\}}| at ) ?[a-z0-9-]++ ?(?:\.|\(dot\)|\[dot\]|\{{dot\}}| dot ) ?[a-z]{{2,24}}+",
     ),
-    "ip": (r"[0-9] ?[\[(]\.[\])] ?[0-9]", r"(?<![0-9])[0-9]{1,3}+(?: ?[\[(]?\.[\])]? ?[0-9]{1,3}+){3}(?![0-9])"),
+    "ip": (r"[0-9](?: ?[\[(]?\.[\])]? ?[0-9]{1,3}){3}", r"(?<![0-9])[0-9]{1,3}+(?: ?[\[(]?\.[\])]? ?[0-9]{1,3}+){3}(?![0-9])"),
     "number": (r"[0-9](?:[ ().-]{0,3}[0-9]){8}", r"(?<![0-9A-Za-z+.-])\(?[0-9](?:[ ().-]{0,3}+[0-9])++"),
     "secret": (r"[A-Za-z0-9_+/=-]{12}", r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/=-]{12,}+"),
 }

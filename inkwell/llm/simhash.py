@@ -278,13 +278,17 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     rows = pairs.join(first, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")), "left")
     rows = rows.select(F.col("doc_id").alias("_near_id"), F.col("digest").alias("_near_digest"), "n", F.coalesce("stays", F.lit(False)).alias("stays"))
     rows = materialise(rows.where("n > 1 or not stays"), "rows")
-    own = (F.col(id_col).cast("long").eqNullSafe(F.col("_near_id"))) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("_near_digest"))
-    rest = docs.join(small(rows), own, "left_anti")
+    # a row travels in one struct, so that none of its columns can clash with those made here
+    names = docs.columns
+    carried = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(f"`{id_col}`").cast("long").alias("own_id"), F.xxhash64(F.col(f"`{text_col}`").cast("string")).alias("own_digest")
+    )
+    own = F.col("own_id").eqNullSafe(F.col("_near_id")) & (F.col("own_digest") == F.col("_near_digest"))
+    rest = carried.join(small(rows), own, "left_anti").select("row")
     again = rows.where("stays and n > 1")
-    if not again.limit(1).count():
-        return rest
-    alike = docs.join(small(again), own)
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    comparable = not any("map<" in kind or "variant" in kind for _, kind in docs.dtypes)
-    one = alike.groupBy("_near_id", "_near_digest").agg((F.min if comparable else F.first)(whole).alias("_row"))
-    return rest.unionByName(one.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns]))
+    if again.limit(1).count():
+        alike = carried.join(small(again), own)
+        comparable = not any("map<" in kind or "variant" in kind for _, kind in docs.dtypes)
+        one = alike.groupBy("_near_id", "_near_digest").agg((F.min if comparable else F.first)("row").alias("row"))
+        rest = rest.unionByName(one.select("row"))
+    return rest.select(*[F.col("row").getField(c).alias(c) for c in names])

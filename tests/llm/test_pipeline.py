@@ -129,3 +129,18 @@ def test_run(spark, docs, tmp_path):
     pieces = out.collect()
     assert pieces and 1 not in {r.doc_id for r in pieces}  # the null text goes with the first stage
     assert out.where(F.col("start") == 0).count() <= 3 * docs.count()
+
+
+NAMES = ["n", "stays", "_near_id", "_near_digest", "own_id", "lines", "langid", "held_out", "row", "a.b", "mix", "digest", "group", "size", "none", "lang_pred"]
+
+
+@pytest.mark.parametrize("name", STAGES)
+def test_stages_pass_columns_of_any_name(spark, name, prose):
+    base = [(i, prose(i % 7, 80), "en", "ab"[i % 2], 5) for i in range(1, 13)] + [(1, prose(1, 80), "en", "b", 5), (None, None, None, None, None)]
+    rows = [(*r, *[f"{c}{i}" for c in NAMES]) for i, r in enumerate(base)]
+    docs = spark.createDataFrame(rows, ", ".join(["doc_id long, text string, lang string, source string, n_chars long", *[f"`{c}` string" for c in NAMES]]))
+    out = STAGES[name](spark, docs, "/nowhere")
+    got = out.collect()
+    assert got
+    if name != "best_fit_packing":
+        assert out.columns == docs.columns and {tuple(r)[5:] for r in got} <= {r[5:] for r in rows}
