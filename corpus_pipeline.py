@@ -14,14 +14,25 @@ from inkwell.llm.common import materialise, release, word_count, written
 from inkwell.llm.queries import vocabulary
 
 
+def _carried(docs: DataFrame, *own: str) -> DataFrame:
+    """``own`` columns, and all others in the struct ``row``, so that none can clash with what a stage makes."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in own]
+    return docs.select(*own, F.struct(*(rest or [F.lit(None).alias("none")])).alias("row"))
+
+
+def _restored(out: DataFrame, names: list[str], *own: str) -> DataFrame:
+    return out.select(*[F.col(c) if c in own else F.col("row").getField(c).alias(c) for c in names])
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; ``lang`` stays as it was given.
 
     Null, empty and letterless texts go; rows with a null id or lang are judged like others but
     don't teach; repeated rows share their verdict; an empty table stays empty.
     """
-    found = langid.language_id(docs)
-    return found.where(~F.col("langid.rejected")).select(*docs.columns)
+    own = ("doc_id", "text", "lang")
+    found = langid.language_id(_carried(docs, *own))
+    return _restored(found.where(~F.col("langid.rejected")), docs.columns, *own)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,11 +42,12 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     of boilerplate alone, a null and an empty one stay as they are, as does ``n_chars`` where no
     line goes; repeated rows are pages of their own.
     """
-    cut = lines.drop_boilerplate(docs)
-    if "n_chars" in docs.columns:
+    own = [c for c in ("doc_id", "text", "source", "n_chars") if c in docs.columns]
+    cut = lines.drop_boilerplate(_carried(docs, *own))
+    if "n_chars" in own:
         changed = F.col("lines.n_dropped") > 0
         cut = cut.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return cut.select(*docs.columns)
+    return _restored(cut, docs.columns, *own)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
