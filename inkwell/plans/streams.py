@@ -5,8 +5,8 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import functions as F
 
-from inkwell.plans.registry import query, table
-from inkwell.sources import memo, store
+from inkwell.plans.registry import TYPES, query, table, text_type
+from inkwell.sources import arrowfiles, memo, store
 from inkwell.streaming import threads
 
 #: Characters at which a passage closes, and passages a conversation.
@@ -62,3 +62,13 @@ def memoised_values(spark, sf_dir):
     out, third = kept.apply(docs, "text", "value")
     calls = [F.lit(n).cast("long").alias(f"{k}_calls") for k, n in (("first", first), ("second", second), ("third", third))]
     return out.select("doc_id", "value", *calls)
+
+
+@query(f"SELECT doc_id, lang, text FROM documents WHERE {TYPES} = 'human_written'")
+def arrow_split_humans(spark, sf_dir):
+    """Documents landed as Arrow files; human rows read back, the columns asked for alone, a task a record batch."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text", text_type().alias("text_type"))
+    at = f"{store.folder(spark)}/split"
+    arrowfiles.write_arrow(store.text_batches(docs), at)
+    rows = arrowfiles.read_arrow(spark, at, ["doc_id", "lang", "text", "text_type"])
+    return rows.where("text_type = 'human_written'").select("doc_id", "lang", "text")
