@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from inkwell.plans.registry import TYPES, query, table, text_type
-from inkwell.sources import arrowfiles, memo, store
+from inkwell.sources import arrowfiles, memo, pages, store
 from inkwell.streaming import threads
 
 #: Characters at which a passage closes, and passages a conversation.
@@ -72,3 +72,35 @@ def arrow_split_humans(spark, sf_dir):
     arrowfiles.write_arrow(store.text_batches(docs), at)
     rows = arrowfiles.read_arrow(spark, at, ["doc_id", "lang", "text", "text_type"])
     return rows.where("text_type = 'human_written'").select("doc_id", "lang", "text")
+
+
+#: Posts of an hour share a time; the cut-offs are microseconds.
+_HOUR, _BEFORE, _SINCE, _UNTIL = 3_600_000_000, 1_705_708_800_000_000, 1_704_844_800_000_000, 1_705_276_800_000_000
+
+
+def _posts(spark, sf_dir):
+    micros = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts").cast("timestamp_ntz"))
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), (F.floor(micros / _HOUR) * _HOUR).cast("long").alias("created"), "event_type")
+
+
+@query(f"SELECT event_id AS id, (epoch_us(ts) // {_HOUR}) * {_HOUR} AS created, event_type FROM events WHERE (epoch_us(ts) // {_HOUR}) * {_HOUR} < {_BEFORE}")
+def backward_posts(spark, sf_dir):
+    """Events landed as overlapping pages, read backward in time by a keyset cursor; the second half
+    of the pages lands after the first run."""
+    root = store.folder(spark)
+    pages.land(_posts(spark, sf_dir), f"{root}/all", 400, again=3)
+    landed = spark.read.parquet(f"{root}/all")
+    most = landed.agg(F.max("page")).first()[0] or 0
+    for part in (F.col("page") <= most // 2, F.col("page") > most // 2):
+        landed.where(part).repartition("page").write.mode("append").partitionBy("page").parquet(f"{root}/landed")
+        found = pages.read_backward(spark, f"{root}/landed", _BEFORE, f"{root}/out", f"{root}/checkpoint")
+    return found
+
+
+@query(f"SELECT event_id AS id, (epoch_us(ts) // {_HOUR}) * {_HOUR} AS created, event_type FROM events WHERE (epoch_us(ts) // {_HOUR}) * {_HOUR} BETWEEN {_SINCE} AND {_UNTIL - 1}")
+def bisected_posts(spark, sf_dir):
+    """Events of five days out of rising pages, from a start page found by halving."""
+    root = store.folder(spark)
+    pages.land(_posts(spark, sf_dir), root, 100, newest_first=False)
+    n = (spark.read.parquet(root).agg(F.max("page")).first()[0] or 0) + 1
+    return pages.in_range(spark, root, n, _SINCE, _UNTIL)[0].select("id", "created", "event_type")
