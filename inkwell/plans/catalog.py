@@ -35,6 +35,21 @@ def decontam_overlap(spark, sf_dir):
     return decontam.overlap(docs, ref).where(F.col("n_shared") >= decontam.MIN_SHARED)
 
 
+@query(f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+') AS w FROM documents WHERE lang = 'en'),
+b AS (SELECT regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+') AS w FROM (SELECT text FROM benchmark UNION ALL SELECT text FROM conversations)),
+ref AS (SELECT DISTINCT unnest({_GRAMS}) AS g FROM b),
+x AS (SELECT doc_id, unnest({_GRAMS}) AS g FROM d)
+SELECT doc_id, count(*)::BIGINT AS n_shared FROM x SEMI JOIN ref USING (g) GROUP BY doc_id
+""")
+def reference_index_overlap(spark, sf_dir):
+    """Two reference corpora in one kept index, the second added to the first; documents' overlap with both."""
+    index = decontam.GramIndex(spark, store.folder(spark))
+    index.add("benchmark", table(spark, sf_dir, "benchmark"))
+    index.add("conversations", table(spark, sf_dir, "conversations"))
+    return index.overlap(table(spark, sf_dir, "documents").where("lang = 'en'"))
+
+
 @query(r"""SELECT doc_id, len(regexp_extract_all(text, '[\p{L}\p{N}_]+'))::BIGINT AS n_words,
   len(regexp_extract_all(text, '[\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{FF66}-\x{FF9F}]'))::BIGINT AS n_cjk,
   lang <> 'en' AND false OR lang = 'en' AND len(regexp_extract_all(text, '[\p{L}\p{N}_]+')) >= 75 AS floor_ok FROM documents""")

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import pandas as pd
+from pyspark.errors import SparkRuntimeException
 from pyspark.sql import functions as F
 
+from inkwell import textfn
 from inkwell.plans.registry import TYPES, query, table, text_type
-from inkwell.sources import arrowfiles, memo, pages, store
+from inkwell.sources import arrowfiles, memo, pages, parts, store
 from inkwell.streaming import threads
 
 #: Characters at which a passage closes, and passages a conversation.
@@ -104,3 +106,38 @@ def bisected_posts(spark, sf_dir):
     pages.land(_posts(spark, sf_dir), root, 100, newest_first=False)
     n = (spark.read.parquet(root).agg(F.max("page")).first()[0] or 0) + 1
     return pages.in_range(spark, root, n, _SINCE, _UNTIL)[0].select("id", "created", "event_type")
+
+
+@query(r"""SELECT doc_id, source, len(regexp_extract_all(text, '[\p{L}\p{N}_]+'))::BIGINT AS n_words FROM documents""")
+def parts_resumed(spark, sf_dir):
+    """Word counts a source at a time: a run that ends after five sources, one that dies in the next, one that goes on."""
+    docs = table(spark, sf_dir, "documents")
+    done = parts.Parts(spark, store.folder(spark), "source")
+
+    def words(rows):
+        return rows.select("doc_id", "source", textfn.word_count(F.col("text")).cast("long").alias("n_words"))
+
+    def dies(rows):
+        return words(rows).withColumn("n_words", F.when(F.col("doc_id") % 2 == 0, F.raise_error(F.lit("lost")).cast("long")).otherwise(F.col("n_words")))
+
+    begun = done.run(docs, words, at_once=3, most=5)
+    try:
+        done.run(docs, dies, at_once=3)
+    except SparkRuntimeException:
+        pass  # what this stands for: an executor or the driver is gone
+    done.run(docs, words)
+    if not begun:  # a table of no rows has no parts to read
+        return words(docs)
+    return done.read()
+
+
+#: The languages and sources that a build is asked for.
+_ASKED = {"lang": ["en", "fr", "de", "es"], "source": [f"src{i}" for i in range(20)]}
+_IN = " AND ".join(f"{c} IN ({', '.join(repr(v) for v in vs)})" for c, vs in _ASKED.items())
+
+
+@query(f"""SELECT CASE WHEN {_IN} THEN lang END AS lang, CASE WHEN {_IN} THEN source END AS source, count(*)::BIGINT AS n FROM documents GROUP BY ALL""")
+def yield_counts(spark, sf_dir):
+    """Documents written once, counted by language and source as they are."""
+    counts = parts.counted_write(table(spark, sf_dir, "documents"), store.folder(spark), _ASKED)
+    return spark.createDataFrame(counts, "lang string, source string, n long")
