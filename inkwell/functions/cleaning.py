@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from inkwell.functions import emoji
 from inkwell.textfn import CJK, strip
 
 # Openings that mark an assistant's header.
@@ -58,32 +59,23 @@ def nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
-@F.pandas_udf(StringType())
-def emoji_names(text: pd.Series) -> pd.Series:
-    """Symbols of the emoji planes as :name:, by their Unicode names."""
-
-    def one(t):
-        if t is None or not any(ord(c) >= 0x1F000 for c in t):
-            return t
-        return "".join(f":{unicodedata.name(c, 'symbol').lower().replace(' ', '_')}:" if 0x1F000 <= ord(c) < 0x20000 else c for c in t)
-
-    return text.map(one)
-
-
 @F.pandas_udf(StringType())
 def unescape(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else html.unescape(t))
 
 
-def harden(text: Column) -> Column:
-    """Invisible characters gone, look-alikes folded, NFKC, emoji by name. Python runs only on
-    texts with characters that these can change."""
-    return F.when(text.rlike(r"[^\x00-\x{ff}]|[\x{a0}-\x{bf}]"), emoji_names(nfkc(fold_lookalikes(text)))).otherwise(fold_lookalikes(text))
+def harden(text: Column, flags: dict[str, str] | None = None) -> Column:
+    """Invisible characters gone, look-alikes folded, NFKC, emoji by name. Spark runs Python on every row
+    whatever the condition around it, so texts that these can't change come to it as nulls."""
+    folded = fold_lookalikes(text)
+    odd = text.rlike(r"[^\x00-\x{ff}]|[\x{a0}-\x{bf}]")
+    return F.coalesce(emoji.emoji_names(nfkc(F.when(odd, folded)), flags=flags), folded)
 
 
 def clean_text(rows: DataFrame, text_col: str, out_col: str, normalize: bool = True) -> DataFrame:
     """``rows`` with ``out_col``, the whole chain; the Python step is a projection of its own."""
-    rows = rows.withColumn(out_col, harden(F.col(text_col)) if normalize else F.col(text_col))
+    own = harden(F.col(text_col), emoji.regions(rows.sparkSession)) if normalize else F.col(text_col)
+    rows = rows.withColumn(out_col, own)
     return rows.withColumn(out_col, clean_ascii(F.col(out_col)))
 
 
@@ -121,7 +113,7 @@ def plain_markdown(text: Column) -> Column:
     ]
     for pattern, to in steps:
         text = F.regexp_replace(text, pattern, to)
-    text = F.when(F.contains(text, F.lit("&")), unescape(text)).otherwise(text)
+    text = F.coalesce(unescape(F.when(F.contains(text, F.lit("&")), text)), text)
     text = F.replace(F.translate(F.replace(text, F.lit("^M"), F.lit(" ")), "\n\t\r", "   "), F.lit(" ,"), F.lit(","))
     return F.regexp_replace(text, " +", " ")
 

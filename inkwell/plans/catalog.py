@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from inkwell import hashing, textfn
-from inkwell.functions import cleaning, decode
+from inkwell.functions import cleaning, decode, emoji
 from inkwell.operators import decontam, dedup, gates, metrics, ranking, sampling
 from inkwell.plans import corpora, evaluation, releases, rows, streams  # noqa: F401  (they register their queries)
 from inkwell.plans.registry import LABELLED as _LABELLED
@@ -76,6 +76,22 @@ def clean_text_full(spark, sf_dir):
     return d.select("doc_id", "clean", cleaning.strip_wrapper(F.col("text")).alias("wrapper"))
 
 
+#: Sequences that go into texts by turns, and their published names.
+_EMOJI = [(c, emoji.token(n)) for c, n in sorted(emoji.named().items())] + [
+    ("\u2764\ufe0f", ":red_heart:"), ("#\ufe0f\u20e3", ":keycap_#:"), ("9\u20e3", ":keycap_9:"), ("\U0001F1FA\U0001F1F8", ":United_States:"), ("\U0001F1EF\U0001F1F5", ":Japan:"),
+    ("\U0001F44D\U0001F3FD", ":thumbs_up_medium_skin_tone:"), ("\U0001F9D4\U0001F3FF", ":person_dark_skin_tone_beard:"), ("\U0001F937\u200d\u2640\ufe0f", ":woman_shrugging:"),
+    ("\U0001F600", ":grinning_face:"), ("\U0001F680", ":rocket:"), ("\U0001F525\U0001F525", ":fire::fire:"), ("\U0001F553", ":four_o’clock:"),
+]
+
+
+@query(f"""WITH e AS (SELECT * FROM (VALUES {", ".join(f"({i}, '{t}')" for i, (_, t) in enumerate(_EMOJI))}) AS v(i, token))
+SELECT doc_id, concat(token, text, token) AS named FROM documents JOIN e ON i = doc_id % {len(_EMOJI)}""")
+def emoji_tokens(spark, sf_dir):
+    seq = F.element_at(F.array(*[F.lit(c) for c, _ in _EMOJI]), (F.col("doc_id") % len(_EMOJI) + 1).cast("int"))
+    text = F.concat(seq, F.col("text"), seq)
+    return docs_of(spark, sf_dir).select("doc_id", emoji.emoji_names(text, flags=emoji.regions(spark)).alias("named"))
+
+
 _PLAIN = "text"
 for _pattern, _to in [(r"https?://\S+", ""), (r"\[([^\]]*)\]\([^)]*\)", r"\1"), (r"(?m)^\s{0,3}#{1,6}\s*", ""), (r"(?m)^\s{0,3}>\s?", ""), (r"(?m)^\s{0,3}[-*+]\s+", ""), ("`{1,3}", ""), (r"\*\*\*|\*\*|\*|__|_|~~", ""), (r"[ \t]+", " "), (r"\n{3,}", "\n\n"), (r"^\s+|\s+$", "")]:
     _PLAIN = f"regexp_replace({_PLAIN}, '{_pattern}', '{_to}', 'g')"
