@@ -42,8 +42,8 @@ class VPTree:
     inequality holds for largest-inner-product search too.
     """
 
-    def __init__(self, ids: np.ndarray, x: np.ndarray, leaf: int = LEAF):
-        self.ids, self.x = ids, x
+    def __init__(self, ids: np.ndarray, x: np.ndarray, leaf: int = LEAF, twins: np.ndarray | None = None):
+        self.ids, self.x, self.twins = ids, x, twins
         square = (x * x).sum(axis=1)
         self.top = float(square.max()) if len(x) else 0.0
         self.lifted = np.column_stack([x, np.sqrt(np.maximum(self.top - square, 0.0))])
@@ -60,9 +60,10 @@ class VPTree:
         half = len(order) // 2  # by rank, so that ties don't unbalance the tree
         return Node(None, vantage, float(gap[order[half]]), self._build(rest[order[:half]], leaf), self._build(rest[order[half:]], leaf))
 
-    def search(self, q_ids: np.ndarray, q: np.ndarray, k: int, factor: float, floor: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the k nearest rows of each query but those of its own id; rows below a
-        query's ``floor``, the k-th score it has found elsewhere, may be left out.
+    def search(self, q_ids: np.ndarray, q: np.ndarray, k: int, factor: float, floor: np.ndarray | None = None, q_twins: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and scores of the k nearest rows of each query but its own: those of its id or, where
+        ``twins`` tell the rows of an id apart, of its id and twin. Rows below a query's ``floor``, the
+        k-th score it has found elsewhere, may be left out.
 
         A half is skipped if the triangle inequality, with its lower bound multiplied by
         ``factor``, rules out anything nearer than the k-th found: 1 is exact, more skips more.
@@ -77,7 +78,10 @@ class VPTree:
             return np.maximum(scores[at, -1], floor[at])
 
         def offer(at: np.ndarray, rows: np.ndarray, ip: np.ndarray) -> None:
-            new = np.where(self.ids[rows][None, :] == q_ids[at][:, None], -np.inf, ip)
+            own = self.ids[rows][None, :] == q_ids[at][:, None]
+            if self.twins is not None:
+                own &= self.twins[rows][None, :] == q_twins[at][:, None]
+            new = np.where(own, -np.inf, ip)
             better = (new >= bound(at)[:, None]).any(axis=1)
             at, new = at[better], new[better]
             if not len(at):
@@ -213,17 +217,22 @@ def nearest(
     shard_rows: int = 4096,
     query_block: int = 16384,
     sample_rows: int = 20_000,
+    sample_most: int = 200_000,
 ) -> DataFrame:
     """The k nearest rows by inner product of every row where ``is_query`` holds.
 
     Columns ``query_id``, ``rank`` (from 1), ``vec_id``, ``score`` (the product of the original
-    vectors in double precision), ties to the smaller id; all candidates if fewer than k.
-    Rows without an id, null or zero vectors and those holding null or non-finite components take
-    no part; vectors meet those of their own length; repeated rows count once, and rows of the
-    query's id are not its candidates. An empty table gives an empty result.
-
-    Every row is indexed. A vantage-point tree cut by about ``sample_rows`` vectors deals rows to
-    shards of about ``shard_rows``; a shard of more (many equal or near vectors) is split by hash.
+    vectors in double precision) and ``query_key`` (the hash of the query's vector), ties to the
+    smaller id; all candidates if fewer than k. Rows without an id, null or zero vectors and those
+    holding null or non-finite components take no part; vectors meet those of their own length.
+    Rows alike in id and vector are one. Rows of one id with different vectors are rows of their
+    own: each is a query with its own ranking, told by ``query_key``, and a candidate of the others.
+    An empty table gives an empty result.
+
+    Every row is indexed. A vantage-point tree cut by a sample deals rows to shards of about
+    ``shard_rows``; a shard of more (many equal or near vectors) is split by hash. The sample has about
+    ``sample_rows`` vectors, or 8 a shard up to ``sample_most``, which is enough for shards of that size
+    among 25,000 * ``shard_rows`` vectors; beyond, shards grow.
     Of equal vectors, the k + 1 smallest ids are all that can be found, so the others are left out.
     A query first searches its own shard; the k-th score found there rules out other shards whole,
     by the same inequality and factor as within a shard: most of them where vectors of one length
@@ -234,17 +243,18 @@ def nearest(
         F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("q")
     )
     v = v.where(F.col("id").isNotNull() & usable(F.col("v"))).groupBy("id", "v").agg(F.max("q").alias("q"))
-    v = materialise(v.withColumn("dim", F.size("v")), "vectors")
+    v = materialise(v.withColumn("dim", F.size("v")).withColumn("twin", F.xxhash64("v")), "vectors")
     square = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
     stats = v.groupBy("dim").agg(F.count("*").alias("n"), F.max(square).alias("top")).collect()  # a row a vector length
     total = sum(r["n"] for r in stats)
-    drawn = v.where(unit_hash(7, F.col("id")) < min(1.0, sample_rows / max(1, total))).select("dim", "v").toArrow()
+    wanted = min(max(sample_rows, 8 * -(-total // shard_rows)), max(sample_rows, sample_most))
+    drawn = v.where(unit_hash(7, F.col("id"), F.col("twin")) < min(1.0, wanted / max(1, total))).select("dim", "v").toArrow()
     lengths, trees = drawn.column("dim").to_numpy(), {}
     for r in stats:
         at = np.flatnonzero(lengths == r["dim"])
         own = _matrix(drawn.column("v").take(pa.array(at))) if len(at) else np.zeros((0, r["dim"]))
         trees[r["dim"]] = ShardTree(own, r["top"], max(1, min(-(-r["n"] // shard_rows), len(own) // 8)))
-    forest = v.sparkSession.sparkContext.broadcast(trees)  # at most sample_rows vectors
+    forest = v.sparkSession.sparkContext.broadcast(trees)  # about sample_most vectors at most
 
     def deal(batches):
         for b in batches:
@@ -253,7 +263,7 @@ def nearest(
                 shard[at] = forest.value[d].deal(x)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(shard)], names=[*b.schema.names, "shard"])
 
-    dealt = materialise(v.mapInArrow(deal, "id long, v array<double>, q boolean, dim int, shard int"), "dealt")
+    dealt = materialise(v.mapInArrow(deal, "id long, v array<double>, q boolean, dim int, twin long, shard int"), "dealt")
     equal = Window.partitionBy("dim", "shard", "v").orderBy("id")
     data = materialise(dealt.withColumn("n", F.row_number().over(equal)).where(F.col("n") <= k + 1).drop("n", "q"), "data")
     sizes = data.groupBy(F.col("dim").alias("_dim"), F.col("shard").alias("_shard")).agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("parts"))
@@ -262,32 +272,36 @@ def nearest(
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
-            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+            return pa.table({"query_id": pa.array([], pa.int64()), "query_key": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
         q_ids, floor = right.column("id").to_numpy(), right.column("kth").to_numpy()
-        ids, scores = VPTree(left.column("id").to_numpy(), _matrix(left.column("v"))).search(q_ids, _matrix(right.column("v")), k, factor, floor)
+        tree = VPTree(left.column("id").to_numpy(), _matrix(left.column("v")), twins=left.column("twin").to_numpy())
+        twins = right.column("twin").to_numpy()
+        ids, scores = tree.search(q_ids, _matrix(right.column("v")), k, factor, floor, twins)
         found = ids != _NO_ID
-        return pa.table([np.repeat(q_ids, found.sum(axis=1)), ids[found], scores[found]], names=["query_id", "vec_id", "score"])
+        n = found.sum(axis=1)
+        return pa.table([np.repeat(q_ids, n), np.repeat(twins, n), ids[found], scores[found]], names=["query_id", "query_key", "vec_id", "score"])
 
     def found_in(asked: DataFrame) -> DataFrame:
-        """``asked`` (``id``, ``v``, ``dim``, ``shard``, ``kth``) searched in every part of its shards."""
+        """``asked`` (``id``, ``twin``, ``v``, ``dim``, ``shard``, ``kth``) searched in every part of its shards."""
         n = asked.groupBy("dim", "shard").agg(F.ceil(F.count("*") / query_block).cast("int").alias("blocks"))
         plan = small(materialise(n.join(sizes, here).select("_dim", "_shard", "parts", "blocks"), "blocks"))
         block = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
-        part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part")
-        left = data.join(plan, here).select("dim", "shard", part, block, "id", "v")
+        part = F.pmod(F.xxhash64("id", "twin"), F.col("parts")).cast("int").alias("part")
+        left = data.join(plan, here).select("dim", "shard", part, block, "id", "v", "twin")
         every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
-        right = asked.join(plan, here).select("dim", "shard", every, F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks")).cast("int").alias("block"), "id", "v", "kth")
+        right = asked.join(plan, here).select("dim", "shard", every, F.pmod(F.xxhash64("id", "twin", F.lit(1)), F.col("blocks")).cast("int").alias("block"), "id", "v", "twin", "kth")
         key = ["dim", "shard", "part", "block"]
-        return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(search, "query_id long, vec_id long, score double")
+        return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(search, "query_id long, query_key long, vec_id long, score double")
 
     def top(found: DataFrame) -> DataFrame:
-        w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        w = Window.partitionBy("query_id", "query_key").orderBy(F.desc("score"), "vec_id")
         return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
     queries = dealt.where("q").drop("q")
     near = materialise(top(found_in(queries.withColumn("kth", F.lit(float("-inf"))))), "near")
-    kth = near.where(F.col("rank") == k).select(F.col("query_id").alias("_id"), F.col("score").alias("kth"))
-    bounded = queries.join(kth, F.col("id") == F.col("_id"), "left").select("id", "v", "dim", "shard", F.coalesce("kth", F.lit(float("-inf"))).alias("kth"))
+    kth = near.where(F.col("rank") == k).select(F.col("query_id").alias("_id"), F.col("query_key").alias("_key"), F.col("score").alias("kth"))
+    own_row = (F.col("id") == F.col("_id")) & (F.col("twin") == F.col("_key"))
+    bounded = queries.join(kth, own_row, "left").select("id", "v", "dim", "shard", F.coalesce("kth", F.lit(float("-inf"))).alias("kth"), "twin")
 
     def visit(batches):
         for b in batches:
@@ -298,6 +312,6 @@ def nearest(
                     lists[i] = [s for s in shards if s != own[i]]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lists, type=pa.list_(pa.int32()))], names=[*b.schema.names, "more"])
 
-    routed = bounded.mapInArrow(visit, "id long, v array<double>, dim int, shard int, kth double, more array<int>")
-    more = materialise(routed.select("id", "v", "dim", F.explode("more").alias("shard"), "kth"), "visits")
-    return top(near.drop("rank").unionByName(found_in(more))).select("query_id", "rank", "vec_id", "score")
+    routed = bounded.mapInArrow(visit, "id long, v array<double>, dim int, shard int, kth double, twin long, more array<int>")
+    more = materialise(routed.select("id", "v", "dim", F.explode("more").alias("shard"), "kth", "twin"), "visits")
+    return top(near.drop("rank").unionByName(found_in(more))).select("query_id", "rank", "vec_id", "score", "query_key")

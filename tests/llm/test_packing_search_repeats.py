@@ -267,6 +267,25 @@ def test_search_few_and_none(spark):
     assert ann.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_search_rows_that_share_an_id(spark):
+    """Each (id, vector) is a row: a query of its own, and a candidate of all others, its id's too."""
+    rng = np.random.default_rng(6)
+    rows = [(int(i), rng.normal(size=4).round(1).tolist()) for i in rng.integers(0, 30, 200)]
+    rows += [(20, v) for _, v in rows[:60]] + rows[:9]  # a hot id; repeated rows
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    keys = {(r.vec_id, tuple(r.embedding)): r.key for r in df.select("vec_id", "embedding", F.xxhash64("embedding").alias("key")).collect()}
+    for shard_rows in (4096, 40):
+        got = defaultdict(list)
+        for r in ann.nearest(df, F.col("vec_id") % 20 == 0, k=7, factor=1.0, shard_rows=shard_rows, query_block=50).collect():
+            got[r.query_id, r.query_key].append((r["rank"], r.vec_id, r.score))
+        assert len(got) == sum(i % 20 == 0 for i, _ in keys)
+        for (i, v), key in keys.items():
+            if i % 20:
+                continue
+            scored = sorted((-(((w[0] * v[0] + w[1] * v[1]) + w[2] * v[2]) + w[3] * v[3]), j) for j, w in keys if (j, w) != (i, v))[:7]
+            assert sorted(got[i, key]) == [(n, j, -s) for n, (s, j) in enumerate(scored, 1)]
+
+
 def brute_passages(rows, least):
     """Windows of all documents but whole copies of a smaller one; runs of one class are one row."""
     texts = defaultdict(set)
