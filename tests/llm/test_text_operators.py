@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from inkwell.llm import langid, lines, pii, quality, tokens
@@ -108,6 +109,43 @@ def test_language_fit_is_bounded(spark):
     assert classify("abc def ghi " * 20)[3] and classify("abc def")[3]  # four languages have the same words
 
 
+def test_language_choice_is_the_smallest_size(spark):
+    """The predicted language of every row against sizes compressed here, at all lengths; ties go to the
+    language with more rows. Languages taken two at a time give the same as all at once."""
+    import zstandard
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    short = [(10_000 + i, t, None) for i, t in enumerate(["a", "é", "der die und", "the of and to", "la de y que", "???", "", None, "ab cd " * 30, "Straße 12 und"])]
+    docs = docs.unionByName(spark.createDataFrame(short, docs.schema))
+    model = langid.fit(docs.where(langid.fold() != 0))
+    assert len(model.dictionaries) == 4
+    coders = [zstandard.ZstdCompressor(level=model.level, write_content_size=False, dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for _, d in model.dictionaries]
+
+    def choice(text):
+        words = regex.findall(r"[\p{L}\p{M}]+", (text or "").lower())
+        data = " ".join(words).encode()
+        if not data:
+            return "und", True
+        sizes = [sum(len(c.compress(data[i : i + 4096])) for i in range(0, len(data), 4096)) for c in coders]
+        best, second = sorted(sizes)[:2]
+        return model.dictionaries[sizes.index(best)][0], best == second or len(data) >= 200 and second - best < 0.005 * second
+
+    got = {r.doc_id: tuple(r.langid) for r in langid.language_id(docs).collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert {i: (g[0], g[3]) for i, g in got.items()} == {i: choice(t) for i, t in texts.items()}
+    for at_once in (1, 3):
+        assert {r.doc_id: tuple(r.langid) for r in langid.language_id(docs, max_languages=at_once).collect()} == got
+
+
+def test_every_language_gets_a_dictionary(spark):
+    rows = [(i, f"word{'abcdefghijkl'[i % 12]} " * 20 + "abcdefghijkl"[i % 12] * 40, f"l{i % 12:02d}") for i in range(240)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    models = list(langid.fit_all(docs, max_languages=5))
+    assert [len(m.dictionaries) for m in models] == [5, 5, 2] and len({x for m in models for x, _ in m.dictionaries}) == 12
+    found = langid.predict(docs, models).select("lang", "langid.lang").collect()
+    assert all(r[0] == r[1] for r in found)
+
+
 def test_quality_odd_rows(spark, odd, odd_rows, empty):
     """Rows one by one, repeats included: the verdict follows from the ratios and bands."""
     import zstandard
