@@ -74,7 +74,8 @@ def drop_boilerplate(
         own = found.groupBy("site").agg(F.collect_list("line").alias("dropped"))
         joined = rows.join(F.broadcast(own), F.col("own_site").eqNullSafe(F.col("site")), "left")
     else:
-        keyed = rows.withColumn("key", F.xxhash64("id", "own_site", "text"))
+        # 128 bits of hash stand for a page
+        keyed = rows.withColumn("key", F.struct(F.xxhash64("id", "own_site", "text").alias("a"), F.xxhash64(F.lit(1), "id", "own_site", "text").alias("b")))
         each = keyed.select("key", "own_site", F.explode(_hashes(F.col("text"))).alias("own_line"))
         hits = each.join(found, (F.col("own_line") == F.col("line")) & F.col("own_site").eqNullSafe(F.col("site")))
         own = hits.select(F.col("key").alias("own_key"), "line").distinct().groupBy("own_key").agg(F.collect_list("line").alias("dropped"))
