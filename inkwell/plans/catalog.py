@@ -450,3 +450,6 @@ def resumable_scoring(spark, sf_dir):
     docs = docs_of(spark, sf_dir)
     root = store.folder(spark)
     return resumable_scores(spark, f"{sf_dir}/documents.parque[t]", docs.schema, lambda b: b.select("doc_id", score().alias("score")), f"{root}/out", f"{root}/state")
+
+
+from inkwell.plans import build  # noqa: E402, F401  (it registers a query that is made of those above)
