@@ -91,27 +91,42 @@ def shippable_rows(spark, sf_dir):
     return filters.split_rows(filters.shippable(d), ["usage"]).select("doc_id", "meta.*")
 
 
-_MODELS = [
-    ("m1", "a" * 40, "binary", "hub", 512, 8, ["en"], [], ["b2"], []),
-    ("m2", "b" * 39, "graded", "hub", 0, None, ["zh"], ["b1"], None, ["b9"]),
-    ("m3", "c" * 40, "other", "none", 64, 0, ["fr"], None, None, None),
-    ("m3", "d" * 40, "graded", "hub", 64, 1, ["en", "zh"], None, None, None),
-]
-_MODEL_SCHEMA = "id string, revision string, kind string, adapter string, max_length int, batch_size int, languages array<string>, include_benchmarks array<string>, exclude_benchmarks array<string>, trained_on_benchmarks array<string>"
-
-
-def _manifest(spark):
-    return spark.createDataFrame(_MODELS, _MODEL_SCHEMA), spark.createDataFrame([("b1", ["en"]), ("b2", ["multilingual"]), ("b3", ["zh"])], "id string, languages array<string>")
+#: Sources stand for models, with what their documents give: a language is a model's if it has 13 % of their characters.
+_MANIFEST = """WITH c AS (SELECT coalesce(source, 'none') AS id, lang, sum(coalesce(n_chars, 0))::BIGINT AS n FROM documents GROUP BY ALL), s AS (SELECT id, sum(n)::BIGINT AS n FROM c GROUP BY id),
+m AS (SELECT s.id, s.n, list(c.lang) FILTER (WHERE c.lang IS NOT NULL AND c.n >= 0.13 * s.n) AS languages, substr(sha256(s.id), 1, (40 - (s.n % 5 = 2)::INT)::INT) AS revision FROM s JOIN c USING (id) GROUP BY s.id, s.n),
+b AS (SELECT DISTINCT 'b' || item_id % 5 AS id, [['en'], ['fr', 'de'], ['es'], ['multilingual'], ['it']][(item_id % 5 + 1)::INT] AS languages FROM benchmark)
+"""
+
+
+def _manifest(spark, sf_dir):
+    docs = docs_of(spark, sf_dir).select(F.coalesce("source", F.lit("none")).alias("id"), "lang", F.coalesce("n_chars", F.lit(0)).alias("n_chars"))
+    each = docs.groupBy("id", "lang").agg(F.sum("n_chars").alias("c"))
+    models = each.groupBy("id").agg(F.sum("c").alias("n"), F.collect_list(F.struct("lang", "c")).alias("l"))  # a few languages
+    n, text = F.col("n"), lambda c: c.cast("string")
+    own = F.transform(F.filter("l", lambda x: x["lang"].isNotNull() & (x["c"] >= n * 0.13)), lambda x: x["lang"])
+    models = models.select(
+        "id", F.substring(F.sha2("id", 256), F.lit(1), F.lit(40) - (n % 5 == 2).cast("int")).alias("revision"), F.when(n % 7 == 3, "other").otherwise("graded").alias("kind"),
+        F.when(n % 4 == 1, "none").otherwise("hub").alias("adapter"), (n % 6).cast("int").alias("max_length"), F.when(n % 3 > 0, (n % 3 - 1).cast("int")).alias("batch_size"), own.alias("languages"),
+        F.array(F.concat(F.lit("b"), text(n % 5))).alias("include_benchmarks"), F.array(F.concat(F.lit("b"), text(n % 8))).alias("exclude_benchmarks"), F.array().cast("array<string>").alias("trained_on_benchmarks"),
+    )
+    k = F.col("item_id") % 5
+    spoken = F.element_at(F.array(*[F.array(*map(F.lit, x)) for x in (["en"], ["fr", "de"], ["es"], ["multilingual"], ["it"])]), (k + 1).cast("int"))
+    benchmarks = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("b"), text(k)).alias("id"), spoken.alias("languages")).distinct()
+    return models, benchmarks
 
 
-@query("""SELECT * FROM (VALUES ('m1', 'b1'), ('m2', 'b1'), ('m2', 'b2'), ('m2', 'b3'), ('m3', 'b1'), ('m3', 'b2'), ('m3', 'b2'), ('m3', 'b3')) t(model_id, benchmark_id)""")
+@query(_MANIFEST + """SELECT m.id AS model_id, b.id AS benchmark_id FROM m CROSS JOIN b WHERE b.id <> 'b' || m.n % 8
+ AND (b.id = 'b' || m.n % 5 OR list_contains(b.languages, 'multilingual') OR list_has_any(b.languages, coalesce(m.languages, [])))""")
 def model_eligibility(spark, sf_dir):
-    return filters.eligible_models(*_manifest(spark))
+    return filters.eligible_models(*_manifest(spark, sf_dir))
 
 
-@query("""SELECT * FROM (VALUES ('m2', 'revision is no commit'), ('m2', 'max_length is not positive'), ('m2', 'unknown benchmark'), ('m3', 'unknown kind'), ('m3', 'unknown adapter'), ('m3', 'batch_size is not positive'), ('m3', 'model id repeats')) t(id, fault)""")
+@query(_MANIFEST + """, r AS (SELECT DISTINCT id, unnest(['b' || n % 5, 'b' || n % 8]) AS ref FROM m)
+SELECT id, 'revision is no commit' AS fault FROM m WHERE n % 5 = 2 UNION ALL SELECT id, 'unknown kind' FROM m WHERE n % 7 = 3 UNION ALL SELECT id, 'unknown adapter' FROM m WHERE n % 4 = 1
+UNION ALL SELECT id, 'max_length is not positive' FROM m WHERE n % 6 = 0 UNION ALL SELECT id, 'batch_size is not positive' FROM m WHERE n % 3 = 1
+UNION ALL SELECT DISTINCT id, 'unknown benchmark' FROM r WHERE ref NOT IN (SELECT id FROM b)""")
 def manifest_violations(spark, sf_dir):
-    return filters.manifest_faults(*_manifest(spark), ["hub"])
+    return filters.manifest_faults(*_manifest(spark, sf_dir), ["hub"])
 
 
 @query("SELECT doc_id AS text_id, (doc_id % 4)::INT AS label, 'Text: ' || text || chr(10) || 'Score:' AS prompt FROM documents")
