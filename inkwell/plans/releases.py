@@ -163,19 +163,20 @@ def graded_scores(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", F.round(decode.graded_score(v, head), 6).alias("graded"))
 
 
+_LANGUAGES = ("en", "fr", "de", "es")
 _POOLS = requests.Pools(
-    styles={"en": [("plain", 2), ("persona", 1)], "fr": [("plain", 1)]},
-    generators={("en", "mirror"): [("org/a:x", 1), ("b", 3)], ("en", "edit"): [("b", 1), ("c", 1)], ("fr", "mirror"): [("b", 1)], ("fr", "edit"): [("c", 1)]},
+    styles={x: [("plain", 2), ("persona", 1)] if x == "en" else [("plain", 1)] for x in _LANGUAGES},
+    generators={("en", "mirror"): [("org/a:x", 1), ("b", 3)], ("en", "edit"): [("b", 1), ("c", 1)]} | {(x, "mirror"): [("b", 1)] for x in _LANGUAGES[1:]} | {(x, "edit"): [("c", 1)] for x in _LANGUAGES[1:]},
     reasoning={"org/a:x": [("high", 1), ("low", 2)], "b": [("high", 1)], "c": [("off", 1), ("high", 1)]},
-    edits={x: [(f"e{i}", "train") for i in range(5)] for x in ("en", "fr")},
-    mirrors={x: {"general": ["about {topic}", "on {topic}"], "news": ["news: {topic}"]} for x in ("en", "fr")},
+    edits={x: [(f"e{i}", "train") for i in range(5)] for x in _LANGUAGES},
+    mirrors={x: {"general": ["about {topic}", "on {topic}"], "news": ["news: {topic}"]} for x in _LANGUAGES},
     ineligible=("src3",),
 )
 
 
 def _plan(spark, sf_dir):
     register = F.when(F.col("doc_id") % 2 == 0, "news").otherwise("other")
-    d = docs_of(spark, sf_dir).where("lang in ('en', 'fr')")
+    d = docs_of(spark, sf_dir).where(F.col("lang").isin(*_LANGUAGES))
     return requests.plan(d.select(F.col("lang").alias("language"), "source", F.col("doc_id").cast("string").alias("source_id"), "text", register.alias("text_register")), _POOLS)
 
 
@@ -183,9 +184,9 @@ def _mod(m: int, *parts: str) -> str:
     return duck_mod(m, "concat(source, chr(0), doc_id" + "".join(f", chr(0), {p}" for p in parts) + ")")
 
 
-_PLAN_SQL = f"""WITH d AS (SELECT *, doc_id % 2 = 0 AS news, CASE WHEN lang = 'fr' THEN 'plain' ELSE ['plain', 'plain', 'persona'][{_mod(3, "'style'")} + 1] END AS style, {_mod(5, "'edit0'")} AS e0, {_mod(4, "'edit1'")} AS e1 FROM documents WHERE lang IN ('en', 'fr')),
+_PLAN_SQL = f"""WITH d AS (SELECT *, doc_id % 2 = 0 AS news, CASE WHEN lang <> 'en' THEN 'plain' ELSE ['plain', 'plain', 'persona'][{_mod(3, "'style'")} + 1] END AS style, {_mod(5, "'edit0'")} AS e0, {_mod(4, "'edit1'")} AS e1 FROM documents WHERE lang IN {_LANGUAGES}),
 s AS (SELECT *, unnest([-1, 0, 1]) AS slot FROM d),
-g AS (SELECT *, CASE WHEN lang = 'fr' THEN CASE WHEN slot < 0 THEN 'b' ELSE 'c' END WHEN slot < 0 THEN ['org/a:x', 'b', 'b', 'b'][{_mod(4, "'gen-mirror'")} + 1] WHEN slot = 0 THEN ['b', 'c'][{_mod(2, "'gen-edit0'")} + 1] ELSE ['b', 'c'][{_mod(2, "'gen-edit1'")} + 1] END AS generator FROM s WHERE slot >= 0 OR source <> 'src3'),
+g AS (SELECT *, CASE WHEN lang <> 'en' THEN CASE WHEN slot < 0 THEN 'b' ELSE 'c' END WHEN slot < 0 THEN ['org/a:x', 'b', 'b', 'b'][{_mod(4, "'gen-mirror'")} + 1] WHEN slot = 0 THEN ['b', 'c'][{_mod(2, "'gen-edit0'")} + 1] ELSE ['b', 'c'][{_mod(2, "'gen-edit1'")} + 1] END AS generator FROM s WHERE slot >= 0 OR source <> 'src3'),
 p AS (SELECT doc_id::VARCHAR AS source_id, slot::INT AS slot, source, lang, text, generator, style, CASE WHEN slot >= 0 THEN CASE generator WHEN 'c' THEN 'off' ELSE 'none' END WHEN generator = 'b' THEN 'high' ELSE ['high', 'low', 'low'][{_mod(3, 'generator', "'mirror'", "'reason'")} + 1] END AS reasoning,
  CASE WHEN slot = 0 THEN 'e' || e0 WHEN slot = 1 THEN 'e' || list_filter([0, 1, 2, 3, 4], lambda x: x <> e0)[e1 + 1] WHEN news THEN 'news/v1' ELSE 'general/v' || ({_mod(2, 'generator', "'mirror'")} + 1) END AS prompt_id FROM g)"""
 
@@ -209,13 +210,13 @@ def result_rows(spark, sf_dir):
 _PARA = "CASE doc_id % 5 WHEN 0 THEN '' WHEN 1 THEN text WHEN 2 THEN 'Other words: ' || text WHEN 3 THEN 'x' ELSE substr(text, 1, (length(text) * 3 // 4)::INT) END"
 
 
-@query(rf"""WITH x AS (SELECT doc_id, text, regexp_replace({_PARA}, '^\s+|\s+$', '', 'g') AS p FROM documents WHERE regexp_full_match(text, '[^\n]+'))
+@query(rf"""WITH x AS (SELECT doc_id, text, regexp_replace({_PARA}, '^\s+|\s+$', '', 'g') AS p FROM documents)
 SELECT doc_id || '/para' AS text_id, sha256(p) AS text_sha256 FROM x WHERE p <> '' AND p <> text AND length(p) / greatest(length(text), 1) BETWEEN 0.5 AND 2.0""")
 def paraphrase_rows(spark, sf_dir):
     """Blank ones, echoes and those out of the length band go."""
     i, t = F.col("doc_id"), F.col("text")
     out = F.when(i % 5 == 0, "").when(i % 5 == 1, t).when(i % 5 == 2, F.concat(F.lit("Other words: "), t)).when(i % 5 == 3, "x").otherwise(F.substring(t, F.lit(1), F.floor(F.length(t) * 3 / 4).cast("int")))
-    d = docs_of(spark, sf_dir).where(r"text rlike '^[^\n]+$'").select(i.cast("string").alias("text_id"), "text", F.col("lang").alias("language"), out.alias("out"))
+    d = docs_of(spark, sf_dir).select(i.cast("string").alias("text_id"), "text", F.col("lang").alias("language"), out.alias("out"))
     return requests.paraphrased(d, "out", F.lit("p")).select("text_id", F.sha2("text", 256).alias("text_sha256"))
 
 
@@ -305,18 +306,18 @@ def topped_up(spark, sf_dir):
     return sinks.top_up(d, d.where("doc_id % 3 = 0"), ["source", "doc_id"], 40, sampling.hash_order("doc_id"))
 
 
-@query("SELECT doc_id, '> ' || substr(text, 1, 20) AS output FROM documents WHERE doc_id % 4 <> 1")
+@query("SELECT doc_id, '> ' || text AS output FROM documents WHERE doc_id % 4 <> 1")
 def executed_requests(spark, sf_dir):
     """Requests that fail are skipped."""
 
     def call(prompt: str) -> str:
-        if prompt.startswith("!"):
+        if prompt.startswith("fails! "):
             raise TimeoutError
         return f"> {prompt}"
 
-    head = F.substring("text", 1, 20)
-    d = docs_of(spark, sf_dir).select("doc_id", F.when(F.col("doc_id") % 4 == 1, F.concat(F.lit("!"), head)).otherwise(head).alias("prompt"))
-    return sinks.run_requests(d, call, "doc_id").select("doc_id", "output")
+    text = F.col("text")
+    d = docs_of(spark, sf_dir).select("doc_id", F.when(F.col("doc_id") % 4 == 1, F.concat(F.lit("fails! "), text)).otherwise(text).alias("prompt"))
+    return sinks.run_requests(store.text_batches(d), call, "doc_id").select("doc_id", "output")
 
 
 @query("SELECT doc_id, source, sha256(text) AS text_sha256 FROM documents")

@@ -14,24 +14,31 @@ from inkwell.textfn import let, strip
 
 def chunks(text: Column, size_of, target: int, most: int) -> Column:
     """Up to ``most`` passages of whole non-blank lines, each closed once its lines' sizes
-    (``size_of`` a line) reach ``target``; a shorter rest is a passage too."""
-    zero = F.struct(F.array().cast("array<string>").alias("done"), F.array().cast("array<string>").alias("open"), F.lit(0).alias("size"))
-
-    def step(acc: Column, line: Column) -> Column:
-        grown, size = F.concat(acc["open"], F.array(line)), (acc["size"] + size_of(line)).cast("int")
-        full = size >= target
-        return F.struct(
-            F.when(full, F.concat(acc["done"], F.array(F.array_join(grown, "\n")))).otherwise(acc["done"]).alias("done"),
-            F.when(full, F.array().cast("array<string>")).otherwise(grown).alias("open"),
-            F.when(full, 0).otherwise(size).alias("size"),
-        )
-
-    def close(acc: Column) -> Column:
-        rest = F.when(F.size(acc["open"]) > 0, F.array(F.array_join(acc["open"], "\n"))).otherwise(F.array().cast("array<string>"))
-        return F.slice(F.concat(acc["done"], rest), 1, most)
+    (``size_of`` a line) reach ``target``; a shorter rest is a passage too. Null of a null text.
+
+    Sizes are Spark's; where passages end depends on all lines before, which one pass over a text's
+    lines tells."""
+
+    @F.pandas_udf("array<string>")
+    def gathered(lines: pd.Series, sizes: pd.Series) -> pd.Series:
+        out = []
+        for own, n in zip(lines, sizes):
+            if own is None:
+                out.append(None)
+                continue
+            passages, held, size = [], [], 0
+            for line, k in zip(own, n):
+                held.append(line)
+                size += k
+                if size >= target:
+                    passages.append("\n".join(held))
+                    held, size = [], 0
+            out.append([*passages, *(["\n".join(held)] if held else [])][:most])
+        return pd.Series(out, dtype=object)
 
     lines = F.filter(F.transform(F.split(text, "\n"), strip), lambda x: x != "")
-    return let(lines, lambda x: F.aggregate(x, zero, step, close))
+    both = let(lines, lambda x: F.struct(x.alias("lines"), F.transform(x, lambda y: size_of(y).cast("int")).alias("sizes")))
+    return gathered(both["lines"], both["sizes"])
 
 
 class _Text(HTMLParser):
