@@ -231,7 +231,7 @@ def _examples(n: int, seed: int) -> list[tuple[int, str, int]]:
     digit = lambda k: "".join(r.choice("0123456789") for _ in range(k))
 
     def card() -> str:
-        body = "4" + digit(14)
+        body = r.choice("3456") + digit(14)
         odd = sum(int(c) * 2 - 9 * (int(c) > 4) for c in body[::2]) + sum(int(c) for c in body[1::2])
         return body + str(-odd % 10)
 
@@ -252,6 +252,7 @@ def _examples(n: int, seed: int) -> list[tuple[int, str, int]]:
     names = ["token", "secret", "password", "passwd", "api_key", "api-key", "apikey", "access_key", "auth_key", "client_secret", "private_key", "bearer", "TOKEN", "API_KEY", "Password"]
     quote = lambda v: r.choice(['"{}"', "'{}'", "{}", '"{}"']).format(v)
     four = lambda c, s: s.join(c[i : i + 4] for i in range(0, 16, 4))
+    wrong = lambda c: c[:-1] + str((int(c[-1]) + r.randint(1, 9)) % 10)
     octets = lambda s: s.join(str(r.randint(1, 255)) for _ in range(4))
     yes = [
         lambda: f"{r.choice(['call', 'tel', 'phone', 'mobile', 'fax'])}{r.choice([' ', ': ', ' me ', ' us '])}{phone()}",
@@ -259,7 +260,7 @@ def _examples(n: int, seed: int) -> list[tuple[int, str, int]]:
         lambda: f"{r.choice(['mail', 'email', 'contact', 'write'])} {word()}{r.choice(['(at)', ' (at) ', ' [at] ', '[at]', ' at '])}{word()}{r.choice([' dot ', ' [dot] ', '(dot)', '[dot]'])}{r.choice(['com', 'org', 'net', 'de'])}",
         lambda: f"{word()}{r.choice(['(at)', ' (at) ', ' [at] '])}{word()}{r.choice(['.', ' dot ', '[dot]'])}{r.choice(['com', 'org', 'net', 'fr'])}",
         lambda: f"{r.choice(['ip', 'host', 'server', ''])} {octets(r.choice(['[.]', '(.)']))}",
-        lambda: f"{r.choice(['card', 'visa', 'credit', 'debit'])} {four(card(), r.choice(['.', '  ', ' - ', '. ']))}",
+        *[lambda: f"{r.choice(['card', 'visa', 'credit', 'debit', word(), word()])} {four(card(), r.choice(['.', '  ', ' - ', '. ', '.']))}"] * 2,
         *[lambda: f"{r.choice(names)}{r.choice([' = ', '=', ': ', ':', ' := '])}{quote(opaque())}"] * 2,
     ]
     no = [
@@ -270,6 +271,10 @@ def _examples(n: int, seed: int) -> list[tuple[int, str, int]]:
         lambda: f"{r.choice(['isbn', 'part', 'no', 'total', 'version', ''])} {digit(3)}-{digit(1)}-{digit(2)}-{digit(6)}-{digit(1)}",
         lambda: f"{digit(4)}-{digit(2)}-{digit(2)} {digit(2)}.{digit(2)}.{digit(2)}",
         lambda: f"{word()} {' '.join(digit(r.randint(1, 5)) for _ in range(6))}",
+        *[lambda: f"{word()} {digit(16)} {card()}"] * 2,  # a plain number that base leaves is part of a longer run
+        *[lambda: f"{r.choice(['card', 'ref', word()])} {four(wrong(card()), r.choice(['.', '  ', ' - ', '. ', '.']))}"] * 2,
+        lambda: f"{r.choice(['ip', 'host', word()])} {r.choice(['[.]', '(.)']).join(str(r.randint(1, 255) if r.random() < 0.3 else r.randint(256, 999)) for _ in range(3))}[.]{r.randint(256, 999)}",
+        lambda: f"{word()} {'-'.join(digit(k) for k in r.choice([(2, 4, 2, 4), (4, 2, 4), (3, 4, 3), (5, 5), (4, 3, 3), (2, 3, 4, 1)]))}",
         lambda: f"{word()} {octets('(.)').replace('(.)', '[.]', 3)}{digit(2)}x" if r.random() < 0.2 else f"version {digit(2)}(.){digit(3)}(.)9{digit(2)}(.){digit(2)}",
     ]
     no += [
