@@ -255,6 +255,15 @@ def document_sample_complete(spark, sf_dir):
     return lines.join(picked, "l_orderkey", "left_semi").select("l_orderkey", F.col("l_linenumber").cast("int").alias("l_linenumber"))
 
 
+@query(f"""WITH base AS (SELECT conv_id, conv_id * 1000 + turn AS key, (length(text) > 60)::VARCHAR AS s FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) = 1), {_QUOTA.format(n=60)},
+picked AS (SELECT conv_id FROM (SELECT conv_id, s, row_number() OVER (PARTITION BY s ORDER BY key) AS n FROM base) JOIN q2 USING (s) WHERE n <= q)
+SELECT conv_id, turn FROM conversations SEMI JOIN picked USING (conv_id)""")
+def complete_conversations(spark, sf_dir):
+    """A sample of conversations by their first turn's length, with all their turns."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", (F.col("conv_id") * 1000 + F.col("turn")).alias("key"), (F.length("text") > 60).cast("string").alias("long"))
+    return sampling.complete_documents(turns, "conv_id", ["long"], "key", 60).select("conv_id", "turn")
+
+
 @query("SELECT event_id, event_type FROM (SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type, user_id % 7 ORDER BY event_id) AS n FROM events) WHERE n <= 3")
 def topk_per_cell(spark, sf_dir):
     return sampling.first_per_group(table(spark, sf_dir, "events"), ["event_type", F.col("user_id") % 7], ["event_id"], 3).select("event_id", "event_type")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from inkwell.functions import cleaning, decode
 from inkwell.operators import filters, joins, normalize
 from inkwell.plans.registry import SCORE, TYPES, docs_of, query, score, table, text_type
+from inkwell.sources import sinks, store
 
 
 def _salted(salt: str) -> str:
@@ -192,3 +193,18 @@ def scores_from_logits(spark, sf_dir):
     e = F.slice("embedding", F.lit(1), F.when(F.col("vec_id") % 2 == 0, 1).otherwise(4))
     d = table(spark, sf_dir, "embeddings").select("vec_id", F.transform(e, lambda v: v.cast("double")).alias("x"))
     return d.select("vec_id", F.round(decode.logit_score(F.col("x")), 6).alias("score"))
+
+
+_MADE = "CASE doc_id % 3 WHEN 0 THEN 'human' WHEN 1 THEN 'm1' ELSE 'm_2' END"
+
+
+@query(f"""SELECT {_row_id('files', "lang || ' news:' || doc_id", f"CASE WHEN doc_id % 3 = 0 THEN 'human' ELSE 'generated:' || {_MADE} END")}, lang || ' news' AS domain, CASE WHEN doc_id % 3 > 0 THEN {_MADE} END AS generator, (doc_id % 3 > 0)::INT AS label_binary FROM documents WHERE lang IS NOT NULL""")
+def normalize_files(spark, sf_dir):
+    """Documents landed as one CSV a domain and generator, both of which are read from the paths."""
+    i = F.col("doc_id")
+    by = F.when(i % 3 == 0, "human").when(i % 3 == 1, "m1").otherwise("m_2")
+    path = F.concat(F.col("lang"), F.lit(" news/Set_"), F.col("lang"), F.lit("_news_"), by, F.lit(".csv"))
+    d = docs_of(spark, sf_dir).where("lang is not null").select(path.alias("path"), i.alias("id"), (i % 3 == 0).cast("int").alias("label"), "text", F.lit(None).cast("string").alias("original_id"))
+    root = store.folder(spark)
+    sinks.write_named_csv(d, root, "path")
+    return normalize.files_by_domain(spark, root, "files", "Set").select("row_id", "domain", "generator", "label_binary")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -109,3 +111,33 @@ def build_report(shipped: DataFrame, dropped: DataFrame, contaminated: DataFrame
         "overlap": contaminated.agg(F.count("*").alias("rows"), F.max("n_shared").alias("max"), F.percentile_approx("n_shared", 0.5).alias("median")),
         "cost": shipped.where(~human).groupBy("model").agg(F.count("*").alias("calls"), F.sum("cost").alias("cost")),
     }
+
+
+def write_named_csv(rows: DataFrame, folder: str, name: str) -> None:
+    """One CSV with a header for each value of ``name``, a path under ``folder``; its rows go through one task,
+    which streams them. Other columns are written as text, a null as nothing."""
+    columns = [c for c in rows.columns if c != name]
+    text = rows.select(name, *[F.col(c).cast("string").alias(c) for c in columns])
+
+    def run(batches):
+        fs, root = pafs.FileSystem.from_uri(folder)
+        out = current = None
+
+        def line(values) -> bytes:
+            return (",".join("" if v is None else '"' + v.replace('"', '""') + '"' for v in values) + "\n").encode()
+
+        for b in batches:
+            for at, *values in zip(*[c.to_pylist() for c in b.columns]):
+                if at != current:
+                    if out:
+                        out.close()
+                    path = f"{root}/{at}"
+                    fs.create_dir(path.rpartition("/")[0], recursive=True)
+                    out, current = fs.open_output_stream(path), at
+                    out.write((",".join(columns) + "\n").encode())
+                out.write(line(values))
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], names=["n"])
+        if out:
+            out.close()
+
+    store.text_batches(text.repartition(name).sortWithinPartitions(name)).mapInArrow(run, "n long").agg(F.sum("n")).collect()
