@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwell import hashing
+from inkwell import hashing, textfn
 from inkwell.operators import decontam, dedup, gates
 from inkwell.plans import catalog
-from inkwell.plans.registry import ORACLES, duck_mod, query, table, text_type
+from inkwell.plans.registry import ORACLES, duck_mod, query, table
 from inkwell.sources import sinks, store
 
 _COLUMNS = ["doc_id", "lang", "source", "text_type"]
@@ -18,22 +18,25 @@ def run_build(rows: DataFrame, reference: DataFrame, path: str) -> DataFrame:
     """Write the splits of ``rows`` to ``path`` as CSV; returns ``doc_id`` and ``fate``, a split or why a row went.
 
     ``rows`` have doc_id, text, text_type, lang, source, source_text, finish_reason, judged_text and
-    judged_lang, which the gates look at. Each step works on what the steps before it left, and is written once:
+    judged_lang, which the gates look at. Each step works on what the steps before it left; texts are written
+    once, behind the gates:
     gates, grams shared with ``reference`` (English humans), near copies within a language (the first
     stays), splits by (lang, source), one row a text over splits by train, val, test.
     """
-    judged = rows.select("doc_id", F.col("judged_text").alias("text"), "text_type", F.col("judged_lang").alias("language"), "source_text", "finish_reason")
-    reason = store.materialise(judged.select("doc_id", gates.drop_reason().alias("fate")))
-    dropped = reason.where("fate is not null")
-    kept = rows.select(*_COLUMNS, "text").join(store.small(dropped.select("doc_id")), "doc_id", "left_anti")
+    judged = rows.select(*_COLUMNS, F.col("text").alias("_own"), F.col("judged_text").alias("text"), F.col("judged_lang").alias("language"), "source_text", "finish_reason")
+    judged = judged.select(*_COLUMNS, "_own", gates.drop_reason().alias("fate"))
+    marked = store.materialise(judged.select(*_COLUMNS, "fate", F.when(F.col("fate").isNull(), F.col("_own")).alias("text")))
+    dropped = marked.where("fate is not null").select("doc_id", "fate")
+    kept = marked.where("fate is null").select(*_COLUMNS, "text")
     humans = (F.col("lang") == "en") & (F.col("text_type") == "human_written")
     hits = store.materialise(decontam.overlap(kept.where(humans), reference).where(F.col("n_shared") >= decontam.MIN_SHARED).select("doc_id"))
-    clean = store.materialise(kept.join(store.small(hits), "doc_id", "left_anti"))
+    clean = store.narrowed(kept, hits, "doc_id", "left_anti")
     near = store.materialise(dedup.near_dedup(clean, "doc_id", ["lang"], store.materialise, "lang"))
     m = hashing.sha_modulo(1000, F.col("lang"), F.col("source"))
     split = F.when(m < 800, "train").when(m < 900, "val").otherwise("test")
     rank = F.when(F.col("split") == "train", 0).when(F.col("split") == "val", 1).otherwise(2)
-    alone = clean.join(store.small(near), clean["doc_id"] == near["id"], "left_anti").withColumn("split", split)
+    hashed = clean.select(*_COLUMNS, F.sha2(textfn.strip(F.col("text")), 256).alias("text"), split.alias("split"))  # no text is shuffled from here
+    alone = hashed.join(store.small(near), hashed["doc_id"] == near["id"], "left_anti")
     shipped = store.materialise(dedup.dedup_splits(alone, rank, F.lit(False), order="doc_id"))
     sinks.write_splits(shipped, path, _COLUMNS)
     written = sinks.read_rows(rows.sparkSession, path, "doc_id long, lang string, source string, text_type string, split string")
@@ -65,7 +68,6 @@ UNION ALL SELECT doc_id, CASE WHEN n = 1 THEN split ELSE 'in_another_split' END
 )
 def corpus_build(spark, sf_dir):
     """Documents from gates to written splits, with the fate of each."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text", text_type().alias("text_type"))
-    told = catalog._gate_rows(spark, sf_dir).select("doc_id", F.col("text").alias("judged_text"), F.col("language").alias("judged_lang"), "source_text", "finish_reason")
-    rows = store.materialise(docs.join(told, "doc_id"))
+    rows = catalog._gate_rows(spark, sf_dir, F.col("text").alias("own_text"), F.col("lang"), F.col("source"))
+    rows = rows.withColumnsRenamed({"text": "judged_text", "language": "judged_lang", "own_text": "text"})
     return run_build(rows, decontam.reference(table(spark, sf_dir, "benchmark")), store.folder(spark))

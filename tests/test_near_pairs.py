@@ -5,6 +5,7 @@ import random
 import pytest
 
 from inkwell.operators import dedup
+from inkwell.plans import catalog
 from inkwell.sources import store
 
 
@@ -43,3 +44,13 @@ def test_near_dedup_writes_no_grams(spark, monkeypatch, tmp_path):
     gone = dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string, language string"), "doc_id", ["language"], store.materialise)
     assert sorted(r.id for r in gone.collect()) == [*range(200, 250), 300]
     assert sum(f.stat().st_size for f in tmp_path.rglob("*.parquet")) < 2000 * len(rows) / 4
+
+
+def test_a_build_writes_texts_once(spark, sf_dir, monkeypatch, tmp_path):
+    """Behind the gates; three texts a row and their grams were written before."""
+    monkeypatch.setattr(store, "folder", lambda _: f"file://{tmp_path}/{len(list(tmp_path.iterdir()))}")
+    n = spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+    assert catalog.QUERIES["corpus_build"](spark, sf_dir).count() == n
+    written = [p for p in tmp_path.iterdir() if list(p.glob("*.parquet"))]
+    texts = [p for p in written if "text" in spark.read.parquet(str(p)).columns and max(len(r.text or "") for r in spark.read.parquet(str(p)).select("text").collect()) > 64]
+    assert len(texts) == 1 and not [p for p in written if "grams" in spark.read.parquet(str(p)).columns]
