@@ -1,5 +1,6 @@
 """Near pairs against all pairs, and what the step writes."""
 
+import itertools
 import random
 
 import pytest
@@ -40,7 +41,7 @@ def test_near_dedup_writes_no_grams(spark, monkeypatch, tmp_path):
     rng = random.Random(5)
     rows = [(i, "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=2000)), "fr") for i in range(200)]
     rows += [(i + 200, t[:1950] + "x" * 5, "fr") for i, t, _ in rows[:50]] + [(300, rows[0][1], "fr")]
-    monkeypatch.setattr(store, "folder", lambda _: f"file://{tmp_path}/{len(list(tmp_path.iterdir()))}")
+    monkeypatch.setattr(store, "folder", lambda _, n=itertools.count(): f"file://{tmp_path}/{next(n)}")
     gone = dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string, language string"), "doc_id", ["language"], store.materialise)
     assert sorted(r.id for r in gone.collect()) == [*range(200, 250), 300]
     assert sum(f.stat().st_size for f in tmp_path.rglob("*.parquet")) < 2000 * len(rows) / 4
@@ -48,7 +49,7 @@ def test_near_dedup_writes_no_grams(spark, monkeypatch, tmp_path):
 
 def test_a_build_writes_texts_once(spark, sf_dir, monkeypatch, tmp_path):
     """Behind the gates; three texts a row and their grams were written before."""
-    monkeypatch.setattr(store, "folder", lambda _: f"file://{tmp_path}/{len(list(tmp_path.iterdir()))}")
+    monkeypatch.setattr(store, "folder", lambda _, n=itertools.count(): f"file://{tmp_path}/{next(n)}")
     n = spark.read.parquet(f"{sf_dir}/documents.parquet").count()
     assert catalog.QUERIES["corpus_build"](spark, sf_dir).count() == n
     written = [p for p in tmp_path.iterdir() if list(p.glob("*.parquet"))]
