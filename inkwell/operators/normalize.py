@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from inkwell.operators.joins import one_to_one
+from inkwell.sources import store
 from inkwell.textfn import strip
 
 #: The optional columns of a release row and their types.
@@ -69,6 +70,7 @@ def literal_texts(value: pd.Series) -> pd.Series:
 def edit_texts(rows: DataFrame, name: str) -> Column:
     """The non-blank texts of a column that holds an array of strings or a Python literal."""
     if isinstance(rows.schema[name].dataType, StringType):
+        store.text_batches(rows)
         return literal_texts(F.col(f"`{name}`"))
     return F.coalesce(F.filter(F.col(f"`{name}`"), lambda t: strip(t) != ""), F.array().cast("array<string>"))
 
