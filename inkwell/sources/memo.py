@@ -78,15 +78,20 @@ class Memo:
         conf = self.spark.conf
         if conf.get("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true") == "false":
             raise ValueError("a memo tells whole runs by their success marks")
-        keyed = rows.withColumn("_key", self.key(F.col(text_col)))
-        wanted = keyed.where(F.col(text_col).isNotNull()).select(F.col("_key").alias("key"), F.col(text_col).alias("text")).dropDuplicates(["key"])
-        wanted = store.materialise(wanted.withColumn(_BUCKET, self.bucket(F.col("key"))))
+        keyed = store.text_batches(rows).withColumn("_key", self.key(F.col(text_col)))
+        texts = keyed.where(F.col(text_col).isNotNull()).select(F.col("_key").alias("key"), F.col(text_col).alias("text"))
+        wanted = texts.select("key").distinct().withColumn(_BUCKET, self.bucket(F.col("key")))  # keys alone are shuffled and written
+        wanted = store.materialise(wanted)
         asked = [r[_BUCKET] for r in wanted.select(_BUCKET).distinct().collect()]  # at most as many as buckets
-        missing = store.materialise(wanted.join(self.entries(asked).select("key"), "key", "left_anti"))
+        missing = wanted
+        if self.runs():
+            missing = store.materialise(wanted.join(self.entries(asked).select("key"), "key", "left_anti"))
+            texts = texts.join(store.small(missing.select("key")), "key", "left_semi")
         calls = missing.count()
         if calls:
             function = F.pandas_udf(self.function, self.kind)
-            self._write(missing.select("key", function("text").alias("value"), _BUCKET), f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}")
+            once = texts.dropDuplicates(["key"]).select("key", function("text").alias("value"), self.bucket(F.col("key")).alias(_BUCKET))
+            self._write(once, f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}")
         known = self.entries(asked).join(wanted.select("key"), "key", "left_semi").select(F.col("key").alias("_key"), F.col("value").alias(out_col))
         return keyed.join(known, "_key", "left").drop("_key"), calls
 
