@@ -6,6 +6,7 @@ Pages lie as Parquet in ``page=<number>`` folders; each holds posts with a time
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -20,17 +21,30 @@ from pyspark.sql.types import StructType
 from inkwell.operators import ranking
 
 
+#: Pages whose keys are asked for ahead of the walk, by so many threads; pages that one task reads.
+AHEAD, THREADS, A_TASK = 256, 16, 64
+
+
 def land(posts: DataFrame, path: str, size: int, time: str = "created", id_col: str = "id", newest_first: bool = True, again: int = 0) -> None:
     """Write ``posts`` as pages of ``size``, by falling (time, id) or rising. Each page but the first repeats the
     ``again`` last posts of the one before, as a fetcher does that asks for what isn't newer than the
     oldest post it has."""
+    write(paged(posts, size, time, id_col, newest_first, again), path)
+
+
+def paged(posts: DataFrame, size: int, time: str = "created", id_col: str = "id", newest_first: bool = True, again: int = 0) -> DataFrame:
+    """``posts`` with their ``page`` and the place ``_n_before``."""
     order = F.struct(-F.col(time), -F.col(id_col)) if newest_first else F.struct(time, id_col)
     numbered = ranking.running(posts.withColumn("_o", order).withColumn("_n", F.lit(1)), [], "_o", ["_n"]).drop("_o", "_n", "_n_total")
     page = F.floor(F.col("_n_before") / size).cast("int")
     last = F.col("_n_before") % size >= size - again
-    rows = numbered.withColumn("page", F.explode(F.when(last, F.array(page, page + 1)).otherwise(F.array(page))))
+    return numbered.withColumn("page", F.explode(F.when(last, F.array(page, page + 1)).otherwise(F.array(page))))
+
+
+def write(rows: DataFrame, path: str) -> None:
+    """Add ``paged`` rows to the folders of their pages; a page is one file."""
     rows = rows.repartition("page").sortWithinPartitions("page", "_n_before").drop("_n_before")
-    rows.write.partitionBy("page").parquet(path)
+    rows.write.mode("append").partitionBy("page").parquet(path)
 
 
 class _Pages:
@@ -61,10 +75,10 @@ class _Pages:
 
 
 class _Page(InputPartition):
-    """Posts of a page that are older than ``cursor``."""
+    """Posts of ``page`` and those behind it, one a cursor, that are older than their page's cursor."""
 
-    def __init__(self, page: int, cursor: tuple[int, int | None]):
-        super().__init__((page, cursor))
+    def __init__(self, page: int, cursors: list[tuple[int, int | None]]):
+        super().__init__((page, cursors))
 
 
 class _Backward(DataSourceStreamReader):
@@ -79,25 +93,38 @@ class _Backward(DataSourceStreamReader):
     def latestOffset(self) -> dict:
         """The first page that isn't landed yet, is empty or brings the cursor no further: the keys of
         the pages tell, so every run finds the same cursors."""
-        while self.pages.exists(page := len(self.walked) - 1):
-            oldest = self.pages.oldest(page)
+        for oldest in self._keys(len(self.walked) - 1):
             if oldest is None or not _older(oldest, self.walked[-1]) and oldest[0] < self.before:
                 break
             self.walked.append(min(oldest, self.walked[-1], key=_order))
         return {"page": len(self.walked) - 1}
 
+    def _keys(self, page: int) -> Iterator[tuple[int, int] | None]:
+        """The oldest keys of ``page`` and those behind it, ``AHEAD`` pages asked at a time; None where none is landed."""
+        ask = lambda p: self.pages.oldest(p) if self.pages.exists(p) else None
+        with ThreadPoolExecutor(THREADS) as pool:
+            while True:
+                for oldest in pool.map(ask, range(page, page + AHEAD)):
+                    yield oldest
+                    if oldest is None:
+                        return
+                page += AHEAD
+
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        keys = self._keys(len(self.walked) - 1)
         while len(self.walked) <= end["page"]:  # a new run plans what an earlier one had begun
-            self.walked.append(min(self.pages.oldest(len(self.walked) - 1), self.walked[-1], key=_order))
-        return [_Page(p, self.walked[p]) for p in range(start["page"], end["page"])]
+            self.walked.append(min(next(keys), self.walked[-1], key=_order))
+        first, last = start["page"], end["page"]
+        return [_Page(p, self.walked[p : min(p + A_TASK, last)]) for p in range(first, last, A_TASK)]
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
-        page, (time, post) = partition.value
-        t = self.pages.rows(page)
-        older = pc.less(t[self.pages.time], time)
-        if post is not None:
-            older = pc.or_(older, pc.and_(pc.equal(t[self.pages.time], time), pc.less(t[self.pages.id], post)))
-        yield from t.filter(older).select(self.names).combine_chunks().to_batches()
+        page, cursors = partition.value
+        for i, (time, post) in enumerate(cursors):
+            t = self.pages.rows(page + i)
+            older = pc.less(t[self.pages.time], time)
+            if post is not None:
+                older = pc.or_(older, pc.and_(pc.equal(t[self.pages.time], time), pc.less(t[self.pages.id], post)))
+            yield from t.filter(older).select(self.names).combine_chunks().to_batches()
 
 
 def _order(key: tuple[int, int | None]) -> tuple:

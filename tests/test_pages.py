@@ -66,3 +66,14 @@ def test_range_equals_a_full_scan(spark, tmp_path):
         assert asked <= 2 * math.ceil(math.log2(n) + 1)
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert "page" in plan.split("PartitionFilters: [")[1].split("]")[0]
+
+
+def test_a_task_reads_many_pages(spark, tmp_path):
+    """70 pages are two tasks, where each was a task of its own."""
+    posts, uri = [(i, i, f"p{i}") for i in range(70)], f"file://{tmp_path}"
+    pages.land(spark.createDataFrame(posts, "created long, id long, body string"), f"{uri}/pages", 1)
+    reader = pages._Backward({"path": f"{uri}/pages", "time": "created", "id": "id", "before": "100"}, ["created", "id", "body"])
+    assert reader.latestOffset() == {"page": 70}
+    parts = reader.partitions({"page": 0}, {"page": 70})
+    assert len(parts) == 2
+    assert sorted(r["id"] for p in parts for b in reader.read(p) for r in b.to_pylist()) == list(range(70))
