@@ -55,3 +55,31 @@ def test_a_build_writes_texts_once(spark, sf_dir, monkeypatch, tmp_path):
     written = [p for p in tmp_path.iterdir() if list(p.glob("*.parquet"))]
     texts = [p for p in written if "text" in spark.read.parquet(str(p)).columns and max(len(r.text or "") for r in spark.read.parquet(str(p)).select("text").collect()) > 64]
     assert len(texts) == 1 and not [p for p in written if "grams" in spark.read.parquet(str(p)).columns]
+
+
+@pytest.mark.parametrize("few", [0, 3, dedup.FEW_SETS])
+def test_many_near_copies_are_linear_work(spark, monkeypatch, few):
+    """Of 120 near copies of a text, each meets those that stay; all 7,140 pairs of them were verified before."""
+    monkeypatch.setattr(dedup, "FEW_SETS", few)
+    rng = random.Random(6)
+    draw = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    edited = lambda words, share: [w if rng.random() > share else f"x{rng.randrange(10**6)}" for w in words]
+    base, chain = draw(400), draw(300)
+    texts = [base, *(edited(base, rng.choice([0.002, 0.01, 0.03])) for _ in range(120))]
+    for _ in range(40):  # each is near the one before it, the last isn't near the first
+        chain = edited(chain, 0.01)
+        texts.append(chain)
+    rows = [(i, " ".join(t), "en") for i, t in enumerate(texts)]
+    wanted, kept = set(), []
+    for i, t in enumerate(texts):
+        g = {tuple(t[j : j + 5]) for j in range(len(t) - 4)}
+        if any(len(g & k) / len(g | k) >= 0.8 for k in kept):
+            wanted.add(i)
+        else:
+            kept.append(g)
+    seen, real = [], dedup.verified_texts
+    monkeypatch.setattr(dedup, "verified_texts", lambda pairs, *a: seen.append(pairs.count()) or real(pairs, *a))
+    gone = dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string, language string"), "doc_id", ["language"], store.materialise)
+    assert {r.id for r in gone.collect()} == wanted and len(kept) > 5
+    if few < 160:
+        assert sum(seen) < 3000
