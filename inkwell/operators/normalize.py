@@ -115,11 +115,13 @@ def three_way(benchmark: str, rows: DataFrame, labels: DataFrame, phase: str, la
 
 
 def files_by_domain(spark: SparkSession, folder: str, benchmark: str, prefix: str, language: str = "zh-CN") -> DataFrame:
-    """CSV files ``folder/<domain>/<prefix>_<domain>_<generator>.csv`` with id, label (1 is human),
-    text and original_id; name and labels must agree."""
+    """CSV files ``folder/<domain>/<prefix>_<domain>_<generator>.csv``, or folders of that name with files
+    ``part-<number>.csv``, with id, label (1 is human), text and original_id; name and labels must agree.
+    A file is one task's, since its quoted line ends can't be told from others when it is cut."""
     schema = "id string, label int, text string, original_id string"
     read = spark.read.option("header", True).option("multiLine", True).option("escape", '"').schema(schema).option("enforceSchema", False)
     rows = read.csv(f"{folder}/*/*.csv").withColumn("_path", F.url_decode(F.col("_metadata.file_path")))
+    rows = rows.withColumn("_path", F.regexp_replace("_path", r"(\.csv)/part-\d+\.csv$", "$1"))
     rows = rows.withColumn("domain", F.regexp_extract("_path", r"([^/]+)/[^/]+$", 1))
     stem = F.regexp_extract("_path", r"([^/]+)\.csv$", 1)
     start = F.concat(F.lit(f"{prefix}_"), F.replace("domain", F.lit(" "), F.lit("_")), F.lit("_"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -113,11 +115,22 @@ def build_report(shipped: DataFrame, dropped: DataFrame, contaminated: DataFrame
     }
 
 
-def write_named_csv(rows: DataFrame, folder: str, name: str) -> None:
-    """One CSV with a header for each value of ``name``, a path under ``folder``; its rows go through one task,
-    which streams them. Other columns are written as text, a null as nothing."""
+#: Bytes of a file of ``write_named_csv``, about; a name with more has several files.
+NAMED_BYTES = 64 << 20
+
+
+def write_named_csv(rows: DataFrame, folder: str, name: str, size: int = NAMED_BYTES) -> None:
+    """CSV with a header for each value of ``name``, a path under ``folder``: one file if its rows hold
+    ``size`` bytes at most, else a folder of that name with files of about ``size`` bytes each. A file's rows go
+    through one task, which streams them; equal rows share a file. Other columns are written as text, a null as nothing."""
     columns = [c for c in rows.columns if c != name]
-    text = rows.select(name, *[F.col(c).cast("string").alias(c) for c in columns])
+    text = rows.select(F.coalesce(F.col(name), F.lit("None")).alias(name), *[F.col(c).cast("string").alias(c) for c in columns])
+    sizes = text.groupBy(name).agg(F.sum(reduce(Column.__add__, [F.coalesce(F.octet_length(c), F.lit(0)) + 3 for c in columns])).alias("_bytes"))
+    files = store.materialise(sizes.select(name, F.ceil(F.col("_bytes") / size).cast("int").alias("_files")))
+    # rows are dealt by their content, so that a task that runs again deals them alike
+    dealt = text.join(store.small(files), name).withColumn("_file", F.pmod(F.xxhash64(*columns), F.col("_files")).cast("int"))
+    file = F.when(F.col("_files") == 1, F.col(name)).otherwise(F.format_string("%s/part-%05d.csv", name, "_file"))
+    dealt = dealt.select(file.alias(name), *columns)
 
     def run(batches):
         fs, root = pafs.FileSystem.from_uri(folder)
@@ -140,4 +153,4 @@ def write_named_csv(rows: DataFrame, folder: str, name: str) -> None:
         if out:
             out.close()
 
-    store.text_batches(text.repartition(name).sortWithinPartitions(name)).mapInArrow(run, "n long").agg(F.sum("n")).collect()
+    store.text_batches(dealt.repartition(name).sortWithinPartitions(name)).mapInArrow(run, "n long").agg(F.sum("n")).collect()

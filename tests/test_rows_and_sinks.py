@@ -50,6 +50,21 @@ def test_files_by_domain(spark, tmp_path):
         normalize.files_by_domain(spark, str(tmp_path), "files", "Set").collect()
 
 
+def test_named_csv_in_several_files(spark, tmp_path):
+    """A name of many bytes was one file and one task; a small one still is."""
+    rows = [("a news/Set_a_news_m1.csv", i, 0, f'made, "{i}"\n' + "x" * 1000, i // 2) for i in range(200)]
+    rows += [("a news/Set_a_news_human.csv", i, 1, f"own {i}", None) for i in range(5)]
+    df = spark.createDataFrame(rows, "path string, id long, label int, text string, original_id long")
+    sinks.write_named_csv(df, f"file://{tmp_path}", "path", size=20_000)
+    assert (tmp_path / "a news/Set_a_news_human.csv").is_file()
+    files = list((tmp_path / "a news/Set_a_news_m1.csv").glob("part-*.csv"))
+    assert len(files) == 11 and max(f.stat().st_size for f in files) < 45_000
+    got = normalize.files_by_domain(spark, f"file://{tmp_path}", "files", "Set")
+    assert sorted((r.source_id, r.variant, r.text) for r in got.collect()) == sorted(
+        (f"a news:{i if label else o}", "human" if label else "generated:m1", text) for _, i, label, text, o in rows
+    )
+
+
 def _index(n, *parts):
     return int(hashlib.sha256("\0".join(parts).encode()).hexdigest(), 16) % n
 
