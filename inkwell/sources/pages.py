@@ -1,10 +1,12 @@
 """Landed pages of posts: read backward by a keyset cursor as a stream, or from a bisected start.
 
-Pages lie as Parquet in ``page=<number>`` folders; each holds posts with a time (a long) and an id.
+Pages lie as Parquet in ``page=<number>`` folders, or many in a ``pages_from=<number>`` folder in order; each holds posts
+with a time (a long) and an id.
 """
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 
@@ -21,15 +23,21 @@ from pyspark.sql.types import StructType
 from inkwell.operators import ranking
 
 
+#: Posts in a folder of many pages, about.
+BLOCK_POSTS = 200_000
 #: Pages whose keys are asked for ahead of the walk, by so many threads; pages that one task reads.
 AHEAD, THREADS, A_TASK = 256, 16, 64
 
 
 def land(posts: DataFrame, path: str, size: int, time: str = "created", id_col: str = "id", newest_first: bool = True, again: int = 0) -> None:
-    """Write ``posts`` as pages of ``size``, by falling (time, id) or rising. Each page but the first repeats the
-    ``again`` last posts of the one before, as a fetcher does that asks for what isn't newer than the
-    oldest post it has."""
-    write(paged(posts, size, time, id_col, newest_first, again), path)
+    """Write ``posts`` as pages of ``size``, by falling (time, id) in a folder each or rising in folders of many (see
+    ``write_blocks``). Each page but the first repeats the ``again`` last posts of the one before, as a fetcher does that
+    asks for what isn't newer than the oldest post it has."""
+    rows = paged(posts, size, time, id_col, newest_first, again)
+    if newest_first:
+        write(rows, path)
+    else:
+        write_blocks(rows, path, max(1, BLOCK_POSTS // size))
 
 
 def paged(posts: DataFrame, size: int, time: str = "created", id_col: str = "id", newest_first: bool = True, again: int = 0) -> DataFrame:
@@ -47,6 +55,27 @@ def write(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").partitionBy("page").parquet(path)
 
 
+def write_blocks(rows: DataFrame, path: str, pages: int) -> None:
+    """Write ``paged`` rows to a folder for each ``pages`` of them, named by the first; there ``page`` is a column, and
+    pages are in order."""
+    rows = rows.withColumn("pages_from", (F.floor(F.col("page") / pages) * pages).cast("int")).repartition("pages_from")
+    rows.sortWithinPartitions("pages_from", "_n_before").drop("_n_before").write.mode("append").partitionBy("pages_from").parquet(path)
+
+
+def _between(spark: SparkSession, path: str) -> Callable[[int, int], DataFrame]:
+    """What gives the rows of pages ``first`` to ``last``, of folders of many pages reading those that can hold them alone."""
+    rows = spark.read.parquet(path)
+    if "pages_from" not in rows.columns:
+        return lambda first, last: rows.where(F.col("page").between(first, last))
+    starts = sorted(r[0] for r in rows.select("pages_from").distinct().collect())  # a folder has some 200,000 posts
+
+    def between(first: int, last: int) -> DataFrame:
+        start = starts[max(0, bisect.bisect_right(starts, first) - 1)]
+        return rows.where(F.col("pages_from").between(start, last) & F.col("page").between(first, last)).drop("pages_from")
+
+    return between
+
+
 class _Pages:
     """The pages under a path that pyarrow can open, and their keys."""
 
@@ -188,15 +217,14 @@ def bisected(n_pages: int, stamp: Callable[[int], int | None], target: int) -> i
     return lo
 
 
-def upper_median(spark: SparkSession, path: str, time: str = "created") -> Callable[[int], int | None]:
-    """The upper-middle time of a page, reading that page alone; each page once."""
+def upper_median(between: Callable[[int, int], DataFrame], time: str = "created") -> Callable[[int], int | None]:
+    """The upper-middle time of a page, reading its folder alone; each page once."""
     known: dict[int, int | None] = {}
-    pages = spark.read.parquet(path)
 
     def stamp(page: int) -> int | None:
         if page not in known:
             times = F.array_sort(F.collect_list(time))  # a page is small
-            known[page] = pages.where(F.col("page") == page).select(time).agg(F.get(times, F.floor(F.size(times) / 2).cast("int"))).first()[0]
+            known[page] = between(page, page).select(time).agg(F.get(times, F.floor(F.size(times) / 2).cast("int"))).first()[0]
         return known[page]
 
     stamp.known = known
@@ -209,7 +237,8 @@ def in_range(spark: SparkSession, path: str, n_pages: int, since: int, until: in
     The middle of a page may be past a bound that its first posts are not, so one page before the
     bisected start is read as well; pages past the bisected end are not.
     """
-    stamp = upper_median(spark, path, time)
+    between = _between(spark, path)
+    stamp = upper_median(between, time)
     first, last = bisected(n_pages, stamp, since), bisected(n_pages, stamp, until)
-    rows = spark.read.parquet(path).where(F.col("page").between(max(0, first - 1), last))
+    rows = between(max(0, first - 1), last)
     return rows.where((F.col(time) >= since) & (F.col(time) < until)), len(stamp.known)

@@ -77,3 +77,18 @@ def test_a_task_reads_many_pages(spark, tmp_path):
     parts = reader.partitions({"page": 0}, {"page": 70})
     assert len(parts) == 2
     assert sorted(r["id"] for p in parts for b in reader.read(p) for r in b.to_pylist()) == list(range(70))
+
+
+def test_rising_pages_share_folders(spark, tmp_path, monkeypatch):
+    """34 pages lie in 7 folders, where each had its own; pages from any folder, its first and its last are found."""
+    monkeypatch.setattr(pages, "BLOCK_POSTS", 45)
+    posts, uri = _posts(300, 9), f"file://{tmp_path}/pages"
+    pages.land(spark.createDataFrame(posts, "created long, id long, body string"), uri, 9, newest_first=False)
+    assert len([p for p in (tmp_path / "pages").iterdir() if p.is_dir()]) == 7
+    ordered = sorted(p[:2] for p in posts)
+    between = pages._between(spark, uri)
+    for first, last in ((0, 0), (4, 5), (5, 5), (9, 20), (33, 33), (0, 33)):
+        assert sorted(tuple(r) for r in between(first, last).select("created", "id").collect()) == ordered[9 * first : 9 * (last + 1)]
+    for since, until in ((10, 20), (0, 1), (49, 60), (-5, 100)):
+        rows, _ = pages.in_range(spark, uri, 34, since, until)
+        assert sorted(tuple(r) for r in rows.select("created", "id", "body").collect()) == sorted(p for p in posts if since <= p[0] < until)
