@@ -85,3 +85,34 @@ def test_accumulator_closes_at_the_target_and_stops_at_the_cap():
     assert list(acc.rest()) == [(1, "f")]
     assert list(acc.add(["ghij", "k", "l"])) == [(1, "f\nghij")]
     assert list(acc.rest()) == [] and acc.full
+
+
+class _State:
+    """A state value that is kept outside, with the calls that reach it."""
+
+    def __init__(self):
+        self.value, self.calls = None, []
+
+    def getValueState(self, name, schema):  # noqa: N802  as the handle names it
+        return self
+
+    def get(self):
+        self.calls.append("get")
+        return self.value
+
+    def update(self, value):
+        self.calls.append("update")
+        self.value = value
+
+
+def test_a_conversation_asks_for_its_state_once_a_batch():
+    """However many turns wait; each was a call of its own before, and there were three besides."""
+    state = _State()
+    t = threads.Threads(threads.lines_of, len, 5, 3, 0, ("conv_id", "turn", "text"))
+    t.init(state)
+    rows = lambda *turns: iter([{"turn": n, "text": x} for n, x in turns])
+    first = list(t.handleInputRows((7,), rows((3, "ddd"), (1, "bbb"), (2, "ccc"), (5, None)), None))
+    assert [(r.number, r.passage, r.closed, r.turns) for r in first] == [(0, "bbb\nccc", False, 4), (1, "ddd", False, 4)]
+    then = list(t.handleInputRows((7,), rows((0, "aaa"), (1, "again")), None))
+    assert [(r.number, r.passage, r.closed) for r in then] == [(0, "aaa\nbbb", True), (1, "ccc\nddd", True)] and then[0].turns == 5
+    assert state.calls == ["get", "update"] * 2
