@@ -101,7 +101,7 @@ def with_variants(benchmark: str, rows: DataFrame, editors: dict[str, tuple[str,
 def prompted(benchmark: str, rows: DataFrame, order: str) -> DataFrame:
     """Rows whose source is their prompt, or their text without one; the row's place salts its identity."""
     label = F.col("label").cast("int")
-    source = F.concat_ws(":", "domain", F.sha2(F.coalesce("prompt", "text"), 256))
+    source = F.concat(F.coalesce("domain", F.lit("")), F.lit(":"), F.coalesce(F.sha2(F.coalesce("prompt", "text"), 256), F.lit("")))
     human = label == 0
     variant = _fail(~F.coalesce(label.isin(0, 1), F.lit(False)), "invalid label", F.when(human, "human").otherwise(F.concat(F.lit("generated:"), "model")))
     return release_rows(rows, benchmark, source, variant, F.col("text"), F.col(order), label_binary=label, domain=F.col("domain"), generator=F.when(~human, F.col("model")))

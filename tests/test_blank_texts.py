@@ -10,6 +10,7 @@ from inkwell.plans.catalog import ORACLES, QUERIES
 TEXTS = [t for t in ("own words", "", " \n\t", None, 'a "quoted" \\ text', "ends\r\nof lines\r") for _ in range(4)]
 NAMES = [
     "normalize_polished",
+    "normalize_prompted",
 ]
 
 
