@@ -123,9 +123,11 @@ def three_way(benchmark: str, rows: DataFrame, labels: DataFrame, phase: str, la
 def files_by_domain(spark: SparkSession, folder: str, benchmark: str, prefix: str, language: str = "zh-CN") -> DataFrame:
     """CSV files ``folder/<domain>/<prefix>_<domain>_<generator>.csv``, or folders of that name with files
     ``part-<number>.csv``, with id, label (1 is human), text and original_id; name and labels must agree.
-    A file is one task's, since its quoted line ends can't be told from others when it is cut."""
+    A file is one task's, since its quoted line ends can't be told from others when it is cut. A value that is
+    quoted nothing is an empty text, one that isn't quoted a null."""
     schema = "id string, label int, text string, original_id string"
     read = spark.read.option("header", True).option("multiLine", True).option("escape", '"').schema(schema).option("enforceSchema", False)
+    read = read.option("nullValue", "\0")  # Spark takes quoted nothing as null as well while that stands for null
     rows = read.csv(f"{folder}/*/*.csv").withColumn("_path", F.url_decode(F.col("_metadata.file_path")))
     rows = rows.withColumn("_path", F.regexp_replace("_path", r"(\.csv)/part-\d+\.csv$", "$1"))
     rows = rows.withColumn("domain", F.regexp_extract("_path", r"([^/]+)/[^/]+$", 1))
@@ -136,7 +138,7 @@ def files_by_domain(spark: SparkSession, folder: str, benchmark: str, prefix: st
     human = F.col("label") == 1
     variant = F.when(human, "human").otherwise(F.concat(F.lit("generated:"), "_by"))
     variant = _fail(human != (F.col("_by") == "human"), "file name and label differ", variant)
-    source = F.concat_ws(":", "domain", F.when(human, F.col("id")).otherwise(F.coalesce("original_id", "id")))
+    source = F.concat_ws(":", "domain", F.when(human, F.col("id")).otherwise(F.coalesce(F.nullif("original_id", F.lit("")), "id")))
     return release_rows(
         rows, benchmark, source, variant, F.col("text"),
         language=F.lit(language), label_binary=(~human).cast("int"), domain=F.col("domain"), generator=F.when(~human, F.col("_by")),

@@ -11,6 +11,7 @@ TEXTS = [t for t in ("own words", "", " \n\t", None, 'a "quoted" \\ text', "ends
 NAMES = [
     "normalize_polished",
     "normalize_prompted",
+    "normalize_files",
 ]
 
 
