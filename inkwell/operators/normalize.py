@@ -11,7 +11,7 @@ from pyspark.sql.types import ArrayType, StringType
 
 from inkwell.operators.joins import one_to_one
 from inkwell.sources import store
-from inkwell.textfn import strip
+from inkwell.textfn import let, strip
 
 #: The optional columns of a release row and their types.
 FIELDS = {"language": "string", "label_binary": "int", "label_ternary": "int", "edit_target": "double", "domain": "string", "generator": "string"}
@@ -73,19 +73,23 @@ def literal_texts(value: pd.Series) -> pd.Series:
     return value.map(one)
 
 
-def edit_texts(rows: DataFrame, name: str) -> Column:
-    """The non-blank texts of a column that holds an array of strings or a Python literal."""
+def edit_texts(rows: DataFrame, name: str, bare: bool = False) -> Column:
+    """The non-blank texts of a column that holds an array of strings or a Python literal. With ``bare`` an
+    array's nulls stay, and a value of blank texts alone is one blank text, a null value one null."""
+    value = F.col(f"`{name}`")
     if isinstance(rows.schema[name].dataType, StringType):
         store.text_batches(rows)
-        return literal_texts(F.col(f"`{name}`"))
-    return F.coalesce(F.filter(F.col(f"`{name}`"), lambda t: strip(t) != ""), F.array().cast("array<string>"))
+        found = literal_texts(value)
+    else:
+        found = F.coalesce(F.filter(value, lambda t: F.coalesce(strip(t) != "", F.lit(bare))), F.array().cast("array<string>"))
+    return let(found, lambda x: F.when(F.size(x) > 0, x).otherwise(F.array(F.when(value.isNotNull(), "")))) if bare else found
 
 
-def with_variants(benchmark: str, rows: DataFrame, editors: dict[str, tuple[str, str]]) -> DataFrame:
+def with_variants(benchmark: str, rows: DataFrame, editors: dict[str, tuple[str, str]], bare: bool = False) -> DataFrame:
     """A source row as its human, generated and edited texts; ``editors`` maps a variant to
-    (column, generator), each of whose texts is a row ``variant:i``."""
+    (column, generator), each of whose texts (see ``edit_texts``) is a row ``variant:i``."""
     common = {"domain": F.col("category")}
-    flat = rows.select("id", "category", "human_output", "model_output", "model", *[edit_texts(rows, c).alias(f"_e{i}") for i, (c, _) in enumerate(editors.values())])
+    flat = rows.select("id", "category", "human_output", "model_output", "model", *[edit_texts(rows, c, bare).alias(f"_e{i}") for i, (c, _) in enumerate(editors.values())])
     entry = lambda v, t, b, n, g: F.struct(v.alias("variant"), t.alias("text"), F.lit(b).alias("b"), F.lit(n).alias("t"), g.cast("string").alias("generator"))
     fixed = F.array(entry(F.lit("human"), F.col("human_output"), 0, 0, F.lit(None)), entry(F.lit("generated"), F.col("model_output"), 1, 1, F.col("model")))
 

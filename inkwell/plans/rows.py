@@ -160,12 +160,14 @@ y AS (SELECT doc_id, r.v AS variant, r.t AS text, r.l::INT AS label_ternary FROM
 
 @query(f"{_VARIANTS} SELECT {_row_id('expert', 'doc_id', 'variant')}, variant, label_ternary FROM y")
 def normalize_variants(spark, sf_dir):
-    t = F.col("text")
+    t = quoted = F.col("text")
+    for c, escaped in (("\\", "\\\\"), ('"', '\\"'), ("\r", "\\r"), ("\0", "\\x00")):  # a literal has no line end but \n, and no NUL
+        quoted = F.replace(quoted, F.lit(c), F.lit(escaped))
     d = docs_of(spark, sf_dir).select(
         F.col("doc_id").alias("id"), F.col("source").alias("category"), t.alias("human_output"), F.concat(F.lit("u"), t).alias("model_output"), F.lit("m").alias("model"),
-        F.array(F.concat(F.lit("l"), t), F.lit(" "), F.concat(F.lit("z"), t)).alias("a"), F.concat(F.lit('["""'), F.replace(F.replace(t, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"""]')).alias("b"),
+        F.array(F.concat(F.lit("l"), t), F.lit(" "), F.concat(F.lit("z"), t)).alias("a"), F.concat(F.lit('["""'), quoted, F.lit('"""]')).alias("b"),
     )
-    return normalize.with_variants("expert", d, {"a": ("a", "g1"), "b": ("b", "g2")}).select("row_id", "variant", "label_ternary")
+    return normalize.with_variants("expert", d, {"a": ("a", "g1"), "b": ("b", "g2")}, bare=True).select("row_id", "variant", "label_ternary")
 
 
 @query(f"""SELECT {_row_id('prompted', "concat(source, ':', sha256(coalesce(CASE WHEN doc_id % 2 = 0 THEN lang END, text)))", "CASE WHEN doc_id % 4 = 0 THEN 'human' ELSE 'generated:' || lang END", 'doc_id')},

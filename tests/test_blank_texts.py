@@ -12,6 +12,7 @@ NAMES = [
     "normalize_polished",
     "normalize_prompted",
     "normalize_files",
+    "normalize_variants",
 ]
 
 
