@@ -13,6 +13,7 @@ NAMES = [
     "normalize_prompted",
     "normalize_files",
     "normalize_variants",
+    "release_normalize",
 ]
 
 
