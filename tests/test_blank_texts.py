@@ -14,6 +14,7 @@ NAMES = [
     "normalize_files",
     "normalize_variants",
     "release_normalize",
+    "snapshot_digest",
 ]
 
 
