@@ -12,8 +12,8 @@ from pyspark.sql.types import StringType, StructField, StructType
 from inkwell.textfn import let, strip
 
 
-def chunks(text: Column, size_of, target: int, most: int) -> Column:
-    """Up to ``most`` passages of whole non-blank lines, each closed once its lines' sizes
+def chunks(text: Column, size_of, target: int, most: int | None = None) -> Column:
+    """The passages of whole non-blank lines (the first ``most``, if given), each closed once its lines' sizes
     (``size_of`` a line) reach ``target``; a shorter rest is a passage too. Null of a null text.
 
     Sizes are Spark's; where passages end depends on all lines before, which one pass over a text's
