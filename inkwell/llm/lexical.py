@@ -79,7 +79,8 @@ def index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
     Two numbers of the whole table go before: the documents with a term and their terms, counted by
     Spark. Null and empty texts, and those without a term, are in no shard. Repeated rows, repeated
     and null ids are documents of their own. Other columns are not read. A task builds its shards
-    one after another, so it holds one shard, whatever its rows.
+    one after another, so it holds one shard, whatever its rows; each is a row group, so that what reads
+    them holds one too.
     """
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     n = F.regexp_count("text", F.lit(TERM)).cast("long")
@@ -111,7 +112,7 @@ def index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
             yield _shard(ids, sizes, vocabulary, term, times, n_docs, n_terms)
 
     encoded = text_batches(src).select("doc_id", F.col("text").cast("binary").alias("text"))
-    return Index(materialise(encoded.mapInArrow(run, _SHARDS), "lexical-index"), n_docs, n_terms)
+    return Index(materialise(encoded.mapInArrow(run, _SHARDS), "lexical-index", group_rows=1), n_docs, n_terms)
 
 
 def document_frequencies(found: Index, wanted: list[str]) -> dict[str, int]:
