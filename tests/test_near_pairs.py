@@ -83,3 +83,14 @@ def test_many_near_copies_are_linear_work(spark, monkeypatch, few):
     assert {r.id for r in gone.collect()} == wanted and len(kept) > 5
     if few < 160:
         assert sum(seen) < 3000
+
+
+def test_grams_of_texts_stay_in_python(spark, monkeypatch):
+    """They came to the JVM and went back to Python for each step before."""
+    monkeypatch.setattr(dedup.grams, "shingle_hashes", lambda *_: pytest.fail("grams cross over"))
+    rng = random.Random(7)
+    base = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(200)) for _ in range(40)]
+    rows = [(i, t, "en") for i, t in enumerate([*base, *(t + " more" for t in base[:9]), *base[:3], "", "x", "x", None])]
+    pairs, copies = dedup.near_text_pairs(spark.createDataFrame(rows, "doc_id long, text string, language string"), "doc_id", ["language"], "language")
+    assert sorted((r.a, r.b) for r in pairs.collect()) == [(i, 40 + i) for i in range(9)]
+    assert sorted((r.id, r.rep) for r in copies.collect()) == [(49, 0), (50, 1), (51, 2), (54, 53)]
