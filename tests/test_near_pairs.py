@@ -94,3 +94,15 @@ def test_grams_of_texts_stay_in_python(spark, monkeypatch):
     pairs, copies = dedup.near_text_pairs(spark.createDataFrame(rows, "doc_id long, text string, language string"), "doc_id", ["language"], "language")
     assert sorted((r.a, r.b) for r in pairs.collect()) == [(i, 40 + i) for i in range(9)]
     assert sorted((r.id, r.rep) for r in copies.collect()) == [(49, 0), (50, 1), (51, 2), (54, 53)]
+
+
+@pytest.mark.parametrize("n, most, written", [(40, 50, False), (60, 50, True)])
+def test_rows_are_narrowed_by_broadcast_ids(spark, monkeypatch, n, most, written):
+    """Ids had the bound of wider rows before, beyond which texts are shuffled and written."""
+    monkeypatch.setattr(store, "BROADCAST_ROWS", 10)
+    monkeypatch.setattr(store, "BROADCAST_IDS", most)
+    seen, real = [], store.materialise
+    monkeypatch.setattr(store, "materialise", lambda df: seen.append(df) or real(df))
+    rows = spark.range(100).selectExpr("id", "string(id) AS text")
+    found = store.narrowed(rows, real(spark.range(n)), "id", "left_semi")
+    assert found.count() == n and bool(seen) == written
