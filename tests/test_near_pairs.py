@@ -106,3 +106,24 @@ def test_rows_are_narrowed_by_broadcast_ids(spark, monkeypatch, n, most, written
     rows = spark.range(100).selectExpr("id", "string(id) AS text")
     found = store.narrowed(rows, real(spark.range(n)), "id", "left_semi")
     assert found.count() == n and bool(seen) == written
+
+
+def test_rounds_read_the_texts_that_are_left(spark, monkeypatch):
+    """Each round read all texts before, to narrow them to those with a candidate."""
+    monkeypatch.setattr(dedup, "FEW_SETS", 0)
+    rng = random.Random(8)
+    base = [[f"w{rng.randrange(10**6)}" for _ in range(200)] for _ in range(30)]
+    rows = [(i, " ".join(t), "en") for i, t in enumerate([*base, *([*t, "more"] for t in base[:9]), *([*t, "most"] for t in base[:9])])]
+    seen, real = [], dedup.unshingled
+
+    def spied(*args):
+        out = real(*args)
+        seen.append("InMemoryRelation" in out._jdf.queryExecution().optimizedPlan().toString())
+        return out
+
+    monkeypatch.setattr(dedup, "unshingled", spied)
+    cached = lambda: spark._jsc.sc().getPersistentRDDs().size()
+    before = cached()
+    gone = dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string, language string"), "doc_id", ["language"], store.materialise)
+    assert sorted(r.id for r in gone.collect()) == list(range(30, 48)) and cached() == before
+    assert seen[:3] == [False] * 3 and all(seen[3:]) and len(seen) > 4
