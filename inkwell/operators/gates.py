@@ -49,7 +49,7 @@ def drop_reason() -> Column:
     # count. Only mirrors go to Python
     copied = grams.share_a_gram(F.when(mirror, text), F.when(mirror, src), F.coalesce(lang == "en", F.lit(False)), COPY_WORDS, COPY_CHARS)
     gates = [
-        ("empty", ai & (textfn.strip(text) == "")),
+        ("empty", ai & F.rlike(text, F.lit(r"(?U)\A\s*\z"))),
         ("truncated", ai & (F.col("finish_reason") == "length")),
         ("refusal", ai & refusal),
         ("wrong_script_simplified", ai & (lang == "zh-tw") & (simplified > SIMPLIFIED_SHARE)),

@@ -38,8 +38,10 @@ def units(text: Column, english: Column) -> Column:
 
 
 def strip(text: Column) -> Column:
-    """Without leading and trailing white space, Unicode's included."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    """Without leading and trailing white space, Unicode's included. Only a text that has some is searched for it,
+    and a run of white space within it once, not from each of its places."""
+    ends = F.concat(F.substring(text, 1, 1), F.substring(text, -1, 1))
+    return F.when(F.rlike(ends, F.lit(r"(?U)\s")), F.regexp_replace(text, r"(?U)^\s+|\s(?<!\s\s)\s*$", "")).otherwise(text)
 
 
 def ngrams(tokens: Column, n: int, whole_if_short: bool = False, hashed: bool = False) -> Column:
